@@ -207,3 +207,23 @@ def zones_column(zones=cfg.ZONES) -> Column:
 
 def flags_column(flags: Sequence[str], value: int) -> Column:
     return F.array_compact(F.array(*[F.when(F.col(c) == value, F.lit(c)) for c in flags]))
+
+
+def multi_query_plan(df: DataFrame, request: str, factors: Column, text: Column) -> DataFrame:
+    """One search per factor, heaviest first (ties in report order), then a general one of weight 1.
+
+    Each search text is the factor name followed by the whole query text of the record.
+    """
+    by_weight = F.transform(
+        F.sort_array(F.transform(factors, lambda f: F.struct(-f["weight"], f["ord"], f["factor"], f["weight"]))),
+        lambda s: F.struct(F.replace(s["factor"], F.lit("_"), F.lit(" ")).alias("context"), s["weight"].alias("weight")),
+    )
+    general = F.array(F.struct(F.lit(None).cast("string").alias("context"), F.lit(1).alias("weight")))
+    return (
+        df.select(request, text.alias("_text"), by_weight.alias("_specific"))
+        .select(request, "_text", F.posexplode(F.concat("_specific", general)).alias("query_ord", "q"))
+        .select(
+            request, "query_ord", F.col("q.weight").alias("weight"),
+            F.concat_ws(" ", F.col("q.context"), F.col("_text")).alias("query_text"),
+        )
+    )
