@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -70,7 +71,7 @@ def gamma_upper(a: float, x: float) -> float:
     return front * total
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p of a Pearson r over n pairs: I_{1-r^2}((n-2)/2, 1/2)."""
     return pd.Series(
@@ -82,7 +83,7 @@ def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_p(stat: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series(
         [None if pd.isna(s) else gamma_upper(d / 2.0, s / 2.0) for s, d in zip(stat, dof)],
