@@ -1,4 +1,4 @@
 """Imports every query module, so that the registry is complete."""
 
-from carelake.plans import profile_queries, record_queries  # noqa: F401
+from carelake.plans import feedback_queries, metric_queries, profile_queries, record_queries  # noqa: F401
 from carelake.plans.registry import REGISTRY  # noqa: F401

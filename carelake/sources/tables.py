@@ -78,7 +78,9 @@ def read_feedback(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_feedback(df: DataFrame, path: str) -> None:
-    df.select(FEEDBACK_SCHEMA.names).write.mode("append").option("header", True).csv(path)
+    """Append rows as CSV part files; earlier files are not touched."""
+    stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    df.withColumn("timestamp", stamp).select(FEEDBACK_SCHEMA.names).write.mode("append").option("header", True).csv(path)
 
 
 def assemble_documents(
