@@ -34,7 +34,7 @@ from carelake.operators import clean, feedback, metrics, retrieve
 from carelake.operators.ranks import one_row
 from carelake.operators.split import stratified_folds, stratified_split
 from carelake.plans import clinical as cfg
-from carelake.session import materialize, run_dir
+from carelake.session import materialize, run_dir, spread
 
 CLASSES = list(cfg.TARGET_CODES)
 
@@ -64,7 +64,7 @@ def _pipeline(classifier, features: Sequence[str]) -> Pipeline:
 
 
 def train_forest(train: DataFrame, features: Sequence[str] = tuple(cfg.FEATURES), **parameters) -> PipelineModel:
-    return _pipeline(RandomForestClassifier(**{**cfg.FOREST, **parameters}), features).fit(train)
+    return _pipeline(RandomForestClassifier(**{**cfg.FOREST, **parameters}), features).fit(spread(train))
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -245,7 +245,7 @@ def compare_models(
     """The five metrics of every classifier on the test part, from one pass over all predictions."""
 
     def predictions(name: str) -> DataFrame:
-        return classifiers[name](train, features)(test).withColumn("model", F.lit(name))
+        return classifiers[name](spread(train), features)(test).withColumn("model", F.lit(name))
 
     parts = _in_threads(predictions, list(classifiers), parallelism)
     together = parts[0]

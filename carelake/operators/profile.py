@@ -11,12 +11,15 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carelake.functions.tails import chi2_p, correlation_p
 from carelake.operators.clean import value_frequencies
 from carelake.operators.ranks import SMALL_DOMAIN, counts_below, exact_quantiles, medians, one_row
+from carelake.session import materialize
 
 
 def _per_column(df: DataFrame, columns: Sequence[str], **stats) -> DataFrame:
@@ -285,11 +288,18 @@ def kde_grid(df: DataFrame, column: str, points: int = 200, cut: float = 3.0) ->
 
 
 def corr_pairs(df: DataFrame, columns: Sequence[str], complete_rows: bool = True) -> DataFrame:
-    """``(a, b, r, n)`` of every column pair a < b, over complete rows or pairwise complete ones."""
+    """``(a, b, r, n)`` of every column pair a < b, over complete rows or pairwise complete ones.
+
+    Complete rows share one covariance matrix of the columns; pairwise complete rows differ per pair.
+    """
     data = df.select([F.col(c).cast("double").alias(c) for c in columns])
-    if complete_rows:
-        data = data.dropna()
     pairs = list(combinations(range(len(columns)), 2))
+    if complete_rows:
+        vectors = VectorAssembler(inputCols=list(columns), outputCol="v").transform(data.dropna())
+        n = vectors.count()
+        r = Correlation.corr(vectors, "v").first()[0].toArray()
+        rows = [(columns[i], columns[j], float(r[i, j]) if np.isfinite(r[i, j]) else None, n) for i, j in pairs]
+        return df.sparkSession.createDataFrame(rows, "a string, b string, r double, n bigint")
     wide = data.agg(
         *[F.corr(columns[i], columns[j]).alias(f"r_{i}_{j}") for i, j in pairs],
         *[F.count_if(F.col(columns[i]).isNotNull() & F.col(columns[j]).isNotNull()).alias(f"n_{i}_{j}") for i, j in pairs],
@@ -349,6 +359,7 @@ def spearman_by_group(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
         .groupBy(F.col(group).alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    cells = materialize(cells, "cells")
 
     def ranks(side: str) -> DataFrame:
         counts = cells.groupBy("g", side).agg(F.sum("n").alias("k"))

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from carelake.session import materialize
+
 BUCKETS = 1024
 SMALL_DOMAIN = 100_000
 
@@ -112,8 +114,10 @@ def counts_below(
 ) -> DataFrame:
     """Add ``below_<m>`` (sum of m over smaller values) and ``total_<m>`` per key, exactly.
 
-    ``counts`` has one row per key and distinct value.
+    ``counts`` has one row per key and distinct value. It is written once, because its range, the bucket
+    totals and the running sums each read it.
     """
+    counts = materialize(counts, "counts")
     span = one_row(counts.agg(F.min(value).alias("lo"), F.max(value).alias("hi")))
     bucketed = counts.withColumn("_bucket", _bucket(F.col(value), span["lo"], span["hi"]))
     over_keys = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))

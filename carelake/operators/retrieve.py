@@ -9,7 +9,7 @@ so neither side is ever whole in one place.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -223,10 +223,14 @@ def relevant(hits: DataFrame, floor: float = cfg.RELEVANCE_FLOOR) -> DataFrame:
     return hits.where(F.col("relevance") >= floor)
 
 
-def with_valid_text(hits: DataFrame, chunks: DataFrame, corpus_id: str, text: str = "text", pattern: str = cfg.TABLE_REFERENCE) -> DataFrame:
-    """Attach the repaired chunk text and drop hits without a usable one."""
-    checked = chunks.select(corpus_id, tx.validate(F.col(text), pattern).alias("text"))
-    return hits.join(checked, corpus_id).where("text <> ''")
+def with_valid_text(hits: DataFrame, chunks: DataFrame, corpus_id: str, text: str = "text", terms: Sequence[str] = tuple(cfg.TABLE_TERMS)) -> DataFrame:
+    """Attach the repaired chunk text and drop hits without a usable one.
+
+    The text is checked once per chunk; exploding the usable ones, unlike a filter, does not check it again.
+    """
+    usable = F.filter(F.array(tx.validate(F.col(text), terms)), lambda t: t != "")
+    checked = spread(chunks.select(corpus_id, text)).select(corpus_id, F.explode(usable).alias("text"))
+    return hits.join(checked, corpus_id)
 
 
 def fuse(hits: DataFrame, request: str, prefix: int = cfg.DEDUP_PREFIX, step: float = cfg.WEIGHT_STEP) -> DataFrame:
@@ -274,13 +278,13 @@ def advice(people: DataFrame, fused: DataFrame, request: str, level: Column, sum
 
 def search_requests(
     plan: DataFrame, index: DataFrame, encoder, request: str, corpus_id: str, k: int = cfg.HITS_PER_QUERY,
-    floor: float = cfg.RELEVANCE_FLOOR, pattern: str = cfg.TABLE_REFERENCE,
+    floor: float = cfg.RELEVANCE_FLOOR, terms: Sequence[str] = tuple(cfg.TABLE_TERMS),
 ) -> DataFrame:
     """Run every query of every request against the index and fuse the hits per request."""
     keyed = plan.withColumn("_query", F.concat_ws("-", F.col(request).cast("string"), F.col("query_ord").cast("string")))
     vectors = encoder.encode(keyed.select("_query", "query_text"), "query_text")
     hits = relevant(top_k(index, vectors, k, corpus_id, "_query"), floor)
-    valid = with_valid_text(hits, index, corpus_id, pattern=pattern)
+    valid = with_valid_text(hits, index, corpus_id, terms=terms)
     return fuse(valid.join(keyed.select("_query", request, "query_ord", "weight"), "_query"), request)
 
 

@@ -237,10 +237,11 @@ ADVICE_ITEM = ("**Preporuka ", "** (relevantnost: ", "%):")
 # Chunking and retrieval parameters.
 CHUNK_SIZE, CHUNK_OVERLAP, CHUNK_MIN_CHARS = 600, 100, 40
 CHUNK_SEPARATORS = [". ", "? ", "! ", "\n\n", "\n", "; "]
-TABLE_REFERENCE = (
-    r"tabela|tablica|tabla|table|slika|grafikon|prilog|aneks|appendix"
-    r"|vidjeti tabelu|prema tabeli|u tabeli|tabeli \d|tabela \d|tablica \d|grafikon \d|slika \d"
-)
+# words that mention a table or figure, matched anywhere and in any case; \d is a digit
+TABLE_TERMS = [
+    "tabela", "tablica", "tabla", "table", "slika", "grafikon", "prilog", "aneks", "appendix",
+    "vidjeti tabelu", "prema tabeli", "u tabeli", r"tabeli \d", r"tabela \d", r"tablica \d", r"grafikon \d", r"slika \d",
+]
 RELEVANCE_FLOOR = 0.45
 HITS_PER_SEARCH, HITS_PER_QUERY, ADVICE_ITEMS = 10, 6, 4
 DEDUP_PREFIX = 80

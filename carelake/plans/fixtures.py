@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from carelake.operators import clean, risk
 from carelake.plans import clinical as cfg
+from carelake.session import spread
 from carelake.sources.tables import table
 
 PATIENTS_RAW = """
@@ -51,7 +52,7 @@ FROM {events}
 
 
 def patients_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(PATIENTS_RAW, orders=table(spark, sf_dir, "orders"))
+    return spark.sql(PATIENTS_RAW, orders=spread(table(spark, sf_dir, "orders").select("o_orderkey")))
 
 
 def patients(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from carelake.functions.columns import to_number
+from carelake.functions.columns import nan_to_null, to_number
 from carelake.plans import clinical as cfg
 
 FEEDBACK_SCHEMA = T.StructType(
@@ -28,8 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def coerce_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Numeric reading of text columns; what does not parse becomes null."""
-    return df.withColumns({c: to_number(F.col(c)) for c in columns if c in df.columns})
+    """Numeric reading of columns; text that does not parse and NaN become null."""
+
+    def read(field: T.StructField):
+        if isinstance(field.dataType, T.FractionalType) and not isinstance(field.dataType, T.DecimalType):
+            return nan_to_null(F.col(field.name)).cast("double")
+        if isinstance(field.dataType, T.NumericType):
+            return F.col(field.name).cast("double")
+        return to_number(F.col(field.name))
+
+    return df.withColumns({f.name: read(f) for f in df.schema if f.name in columns})
 
 
 def read_csv_table(
