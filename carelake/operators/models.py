@@ -37,6 +37,7 @@ from carelake.plans import clinical as cfg
 from carelake.session import materialize, run_dir, spread
 
 CLASSES = list(cfg.TARGET_CODES)
+ROWS_PER_TASK = 200_000
 
 
 def labelled(df: DataFrame, features: Sequence[str] = tuple(cfg.FEATURES), key: str = "patient_id") -> DataFrame:
@@ -230,10 +231,10 @@ CLASSIFIERS: dict[str, Callable[[DataFrame, Sequence[str]], Fitted]] = {
 CV_CLASSIFIERS = {**CLASSIFIERS, "XGBoost": _ml(GBTClassifier, maxIter=100, maxDepth=6, stepSize=0.3, seed=42)}
 
 
-def _in_threads(work: Callable, items: Sequence, parallelism: int) -> list:
+def _in_threads(spark: SparkSession, work: Callable, items: Sequence, parallelism: int) -> list:
     pool = ThreadPool(parallelism)
     try:
-        return pool.map(inheritable_thread_target(work), items)
+        return pool.map(inheritable_thread_target(spark)(work), items, chunksize=1)
     finally:
         pool.close()
 
@@ -247,7 +248,7 @@ def compare_models(
     def predictions(name: str) -> DataFrame:
         return classifiers[name](spread(train), features)(test).withColumn("model", F.lit(name))
 
-    parts = _in_threads(predictions, list(classifiers), parallelism)
+    parts = _in_threads(train.sparkSession, predictions, list(classifiers), parallelism)
     together = parts[0]
     for part in parts[1:]:
         together = together.unionByName(part)
@@ -258,21 +259,26 @@ def cross_validate(
     df: DataFrame, key: str = "patient_id", features: Sequence[str] = tuple(cfg.FEATURES), k: int = 5,
     classifiers=CV_CLASSIFIERS, seed: int = 42, parallelism: int = 8,
 ) -> DataFrame:
-    """Mean and population deviation of the five metrics over stratified folds, best F1 first."""
+    """Mean and population deviation of the five metrics over stratified folds, best F1 first.
+
+    Fits run side by side; a small table is one task per fit, a large one keeps its splits.
+    """
     spark = df.sparkSession
     path = run_dir(spark, "folds")
     stratified_folds(df, "label", key, k, seed).write.partitionBy("fold").parquet(path)
     folds = spark.read.parquet(path)
-    out = run_dir(spark, "fold-predictions")
+    tasks = math.ceil(folds.count() / ROWS_PER_TASK) or 1
 
-    def run(job: tuple[str, int]) -> None:
+    def run(job: tuple[str, int]) -> str:
         name, fold = job
-        fitted = classifiers[name](folds.where(F.col("fold") != fold).drop("fold"), features)
-        predicted = fitted(folds.where(F.col("fold") == fold).drop("fold"))
-        predicted.withColumns({"model": F.lit(name), "fold": F.lit(fold)}).write.mode("append").parquet(out)
-
-    _in_threads(run, [(name, fold) for name in classifiers for fold in range(k)], parallelism)
-    scores = evaluate(spark.read.parquet(out), by=["model", "fold"])
+        fitted = classifiers[name](folds.where(F.col("fold") != fold).drop("fold").coalesce(tasks), features)
+        predicted = fitted(folds.where(F.col("fold") == fold).drop("fold").coalesce(tasks))
+        out = run_dir(spark, "fold-predictions")
+        predicted.withColumns({"model": F.lit(name), "fold": F.lit(fold)}).write.parquet(out)
+        return out
+
+    written = _in_threads(spark, run, [(name, fold) for name in classifiers for fold in range(k)], parallelism)
+    scores = evaluate(spark.read.parquet(*written), by=["model", "fold"])
     names = ["accuracy", "precision", "recall", "f1", "roc_auc"]
     summary = scores.groupBy("model").agg(
         *[F.round(F.avg(m), 4).alias(f"mean_{m}") for m in names],

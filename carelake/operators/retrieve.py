@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from carelake.functions import text as tx
 from carelake.operators import risk
 from carelake.plans import clinical as cfg
-from carelake.session import spread
+from carelake.session import materialize, spread
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 20_000
@@ -252,27 +252,26 @@ def fuse(hits: DataFrame, request: str, prefix: int = cfg.DEDUP_PREFIX, step: fl
 
 def advice(people: DataFrame, fused: DataFrame, request: str, level: Column, summary: Column, n: int = cfg.ADVICE_ITEMS) -> DataFrame:
     """Advice text per person: banner, summary and the first n usable hits, or a fallback."""
-    usable = fused.where(F.col("fused_rank") <= 2 * n)
-    listed = Window.partitionBy(request).orderBy("fused_rank")
+    shown = F.length("text") >= cfg.CHUNK_MIN_CHARS
+    number = F.count_if(shown).over(Window.partitionBy(request).orderBy("fused_rank"))
     head, middle, tail = cfg.ADVICE_ITEM
     percent = F.rint(F.col("relevance") * 100).cast("int").cast("string")
+    item = F.concat(
+        F.lit(head), F.col("_no").cast("string"), F.lit(middle), percent, F.lit(tail + "\n"), F.col("text"), F.lit("\n")
+    )
+    # at most 2n hits per request; a request without a usable one keeps an empty list
     items = (
-        usable.where(F.length("text") >= cfg.CHUNK_MIN_CHARS)
-        .withColumn("_no", F.row_number().over(listed))
-        .where(F.col("_no") <= n)
-        .withColumn(
-            "_item",
-            F.concat(F.lit(head), F.col("_no").cast("string"), F.lit(middle), percent, F.lit(tail + "\n"), F.col("text"), F.lit("\n")),
-        )
+        fused.where(F.col("fused_rank") <= 2 * n)
+        .withColumn("_no", number)
         .groupBy(request)
-        .agg(F.sort_array(F.collect_list(F.struct("_no", "_item"))).alias("_items"))
+        .agg(F.sort_array(F.collect_list(F.when(shown & (F.col("_no") <= n), F.struct("_no", item.alias("_item"))))).alias("_items"))
     )
-    searched = usable.select(request).distinct().withColumn("_searched", F.lit(True))
-    body = F.coalesce(F.array_join(F.transform("_items", lambda x: x["_item"]), "\n"), F.lit(cfg.ADVICE_EMPTY))
+    listed = F.array_join(F.transform("_items", lambda x: x["_item"]), "\n")
+    body = F.when(F.size("_items") > 0, listed).otherwise(F.lit(cfg.ADVICE_EMPTY))
     text = F.when(
-        F.col("_searched"), F.concat_ws("\n", risk.banner_column(level), summary, body)
+        F.col("_items").isNotNull(), F.concat_ws("\n", risk.banner_column(level), summary, body)
     ).otherwise(F.lit(cfg.ADVICE_NONE))
-    joined = people.join(searched, request, "left").join(items, request, "left")
+    joined = people.join(items, request, "left")
     return joined.select(request, F.coalesce(F.size("_items"), F.lit(0)).alias("n_items"), text.alias("advice"))
 
 
@@ -282,7 +281,7 @@ def search_requests(
 ) -> DataFrame:
     """Run every query of every request against the index and fuse the hits per request."""
     keyed = plan.withColumn("_query", F.concat_ws("-", F.col(request).cast("string"), F.col("query_ord").cast("string")))
-    vectors = encoder.encode(keyed.select("_query", "query_text"), "query_text")
+    vectors = materialize(encoder.encode(keyed.select("_query", "query_text"), "query_text").drop("query_text"), "query-vectors")
     hits = relevant(top_k(index, vectors, k, corpus_id, "_query"), floor)
     valid = with_valid_text(hits, index, corpus_id, terms=terms)
     return fuse(valid.join(keyed.select("_query", request, "query_ord", "weight"), "_query"), request)
