@@ -66,7 +66,7 @@ def regression_metrics(spark, sf_dir):
 
 @query("topn", with_views("classified", "SELECT patient_id, total FROM classified ORDER BY total DESC, patient_id LIMIT 5"))
 def topn(spark, sf_dir):
-    return ranking.topn(classified(spark, sf_dir).select("patient_id", F.col("total").cast("bigint").alias("total")), "total", "patient_id", 5)
+    return ranking.topn(classified(spark, sf_dir).select("patient_id", "total"), "total", "patient_id", 5)
 
 
 _CUTS = [6, 8, 10, 12, 14]

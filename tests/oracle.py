@@ -12,6 +12,7 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
+SQL_TYPE = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 def connect(sf_dir: str):
@@ -39,6 +40,10 @@ def compare(spark_df, con, sql: str) -> str | None:
     sql_names = [d[0] for d in cur.description]
     if sorted(sql_names) != names:
         return f"columns {names} != {sorted(sql_names)}"
+    spark_types, sql_types = dict(spark_df.dtypes), {d[0]: str(d[1]) for d in cur.description}
+    differ = {c: (spark_types[c], sql_types[c]) for c in names if SQL_TYPE.get(spark_types[c]) != sql_types[c]}
+    if differ:
+        return f"schema {differ}"
     pick = [sql_names.index(c) for c in names]
     expected = [tuple(family(r[i]) for i in pick) for r in cur.fetchall()]
     if len(rows) != len(expected):
