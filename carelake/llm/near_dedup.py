@@ -165,7 +165,7 @@ def _spanning(near: np.ndarray, rows: np.ndarray, cols: np.ndarray, n: int) -> n
 
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spanning links between the agreeing members of each pair of blocks of a bucket."""
-    a, b = [], []
+    a, b, held = [], [], 0
     for group in _groups(batches, ("key", "lo", "hi")):
         ids = group["id"].to_numpy()
         planes = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint64).reshape(len(ids), 8)
@@ -179,9 +179,10 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             at = np.flatnonzero(root != np.arange(len(ids)))
             a.append(ids[at])
             b.append(ids[root[at]])
-        if sum(map(len, a)) > 50_000:
+            held += len(at)
+        if held > 50_000:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-            a, b = [], []
+            a, b, held = [], [], 0
     if a:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
