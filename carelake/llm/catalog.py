@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 
 from carelake.llm import oracles
 from carelake.llm.decontaminate import contamination_report
+from carelake.llm.html_main_text import extract_main_text
+from carelake.llm.mixing import mix_report
 from carelake.llm.near_dedup import near_duplicates
+from carelake.llm.secrets import secret_report
+from carelake.llm.token_files import token_report
+from carelake.llm.warc import warc_report, write_warc
+from carelake.session import run_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +44,30 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_near_duplicates", oracles.OP9)
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query("op8_source_mix")
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(_table(spark, sf_dir, "documents"))
+
+
+@_query("op6_token_files")
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_report(_table(spark, sf_dir, "documents"))
+
+
+@_query("op10_secrets")
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(_table(spark, sf_dir, "documents"))
+
+
+@_query("op7_warc", oracles.OP7)
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = run_dir(spark, "warc")
+    write_warc(_table(spark, sf_dir, "pages"), path)
+    return warc_report(spark, path)
+
+
+@_query("op5_main_text")
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
