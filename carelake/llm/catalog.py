@@ -12,8 +12,10 @@ from carelake.llm.decontaminate import contamination_report
 from carelake.llm.html_main_text import extract_main_text
 from carelake.llm.mixing import mix_report
 from carelake.llm.near_dedup import near_duplicates
+from carelake.llm.quality import quality_scores
 from carelake.llm.secrets import secret_report
 from carelake.llm.token_files import token_report
+from carelake.llm.toxicity import toxicity_scores
 from carelake.llm.warc import warc_report, write_warc
 from carelake.session import run_dir
 
@@ -71,3 +73,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op5_main_text")
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+@_query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query("op4_quality")
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from carelake.llm.labelled import Adam, held_out, sigmoid, training_sample
 from carelake.llm.textbytes import mix64, shards
 
-PER_CLASS, BUCKETS, SIZE, SPAN = 1500, 1 << 16, 8, (3, 5)
-STEPS, RATE, DECAY = 60, 0.03, 0.002
+PER_CLASS, BUCKETS, SIZE, SPAN, MIN_Z = 2000, 1 << 18, 8, (3, 5), 4.0
+STEPS, RATE, DECAY = 150, 0.1, 0.002
 #: Averages are small numbers; this scale keeps the steps of training of order one.
 SCALE = 100.0
 _INSIDE = np.array([48 <= c <= 57 or 97 <= c <= 122 for c in range(128)])
@@ -97,33 +97,52 @@ def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
-    """(logit of class 1 against 0 by bucket, bias), from vectors and outputs that are trained together."""
+    """(logit of class 1 against 0 by bucket, bias), from vectors and outputs that are trained together.
+
+    Vectors are for the buckets whose share of rows differs between the classes by ``MIN_Z`` standard errors; all others
+    stay zero. A fifth of the rows is only watched; the step at which their loss is least is kept.
+    """
     rng = np.random.default_rng(seed)
-    vectors = rng.normal(0, 0.1, (BUCKETS, SIZE)).astype(np.float32)
-    out, bias = rng.normal(0, 0.1, (SIZE, 2)).astype(np.float32), np.log(np.array([[weight[y == 0].sum(), weight[y == 1].sum()]]) / weight.sum()).astype(np.float32)
-    index, share = np.concatenate([r[0] for r in rows]).astype(np.int64), np.concatenate([r[1] for r in rows])[:, None] * np.float32(SCALE)
+    index, share = np.concatenate([r[0] for r in rows]).astype(np.int64), np.concatenate([r[1] for r in rows]) * np.float32(SCALE)
     doc = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    has = np.array([len(r[0]) > 0 for r in rows])
+    n = np.array([(y == 0).sum(), (y == 1).sum()])
+    seen = np.stack([np.bincount(index[y[doc] == k], minlength=BUCKETS) for k in (0, 1)])
+    pooled = (seen.sum(0) + 1) / (n.sum() + 2)
+    common = np.abs(seen[1] / n[1] - seen[0] / n[0]) >= MIN_Z * np.sqrt(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]))
+    number = np.cumsum(common) - 1
+    index, share, doc = number[index[common[index]]], share[common[index]][:, None], doc[common[index]]
+    vectors = rng.normal(0, 0.1, (int(common.sum()), SIZE)).astype(np.float32)
+    out, bias = rng.normal(0, 0.1, (SIZE, 2)).astype(np.float32), np.log(np.array([[weight[y == 0].sum(), weight[y == 1].sum()]]) / weight.sum()).astype(np.float32)
+    watched = rng.permutation(len(rows)) % 5 == 0
+    has = np.bincount(doc, minlength=len(rows)) > 0
     heads = np.flatnonzero(np.diff(doc, prepend=-1))
-    turn = np.argsort(index, kind="stable")
+    turn = np.flatnonzero(~watched[doc])
+    turn = turn[np.argsort(index[turn], kind="stable")]
     used = index[turn]
     columns = np.flatnonzero(np.diff(used, prepend=-1))
-    by_column = used[columns]
+    by_column, doc_turn, share_turn = used[columns], doc[turn], share[turn]
     goal = np.stack((1 - y, y), 1).astype(np.float32)
-    w = (weight / weight.sum()).astype(np.float32)[:, None]
-    adam = Adam([vectors, out, bias], RATE, DECAY)
+    w = (weight * ~watched / (weight * ~watched).sum()).astype(np.float32)[:, None]
+    watch = weight * watched / max((weight * watched).sum(), 1e-12)
+    adam, least, best = Adam([vectors, out, bias], RATE, DECAY), np.inf, None
     for _ in range(STEPS):
         mean = np.zeros((len(rows), SIZE), np.float32)
-        mean[has] = np.add.reduceat(vectors[index] * share, heads)
+        if len(heads):
+            mean[has] = np.add.reduceat(vectors[index] * share, heads)
         z = mean @ out + bias
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
+        loss = -float((watch * np.log(np.maximum(p[np.arange(len(y)), y], 1e-9))).sum())
+        if loss < least:
+            least, best = loss, (vectors @ (out[:, 1] - out[:, 0]), float(bias[0, 1] - bias[0, 0]))
         d = (p - goal) * w
-        back = (d @ out.T)[doc[turn]] * share[turn]
         grad = np.zeros_like(vectors)
-        grad[by_column] = np.add.reduceat(back, columns)
+        if len(columns):
+            grad[by_column] = np.add.reduceat((d @ out.T)[doc_turn] * share_turn, columns)
         adam.step([grad, mean.T @ d, d.sum(0, keepdims=True)])
-    return (vectors @ (out[:, 1] - out[:, 0]) * np.float32(SCALE)).astype(np.float64), float(bias[0, 1] - bias[0, 0])
+    table = np.zeros(BUCKETS)
+    table[common] = best[0].astype(np.float64) * SCALE
+    return table, best[1]
 
 
 def score(texts: list[str], table: np.ndarray, bias: float) -> np.ndarray:
