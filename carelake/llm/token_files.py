@@ -22,6 +22,8 @@ import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +38,11 @@ END = 1
 LANES, CHECK = 32, 512
 BLOCK_IDS, GROUP_IDS = 1 << 16, 1 << 21
 #: Words whose ids a worker remembers; when there are more it starts again.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 MAGIC = 0x31534E52
 _LOW = np.uint64(1 << 31)
-_BLOCKS = "part long, block long, base long, n_docs long, n_ids long, payload binary"
+_ENCODED = "part long, block long, base long, n_ids long, kind string, docs array<long>, sizes array<long>, ids binary"
+_BLOCKS = "part long, block long, base long, n_ids long, payload binary"
 
 
 def default_tokenizer() -> str:
@@ -49,7 +52,7 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """Token ids of many texts, each distinct word encoded once."""
+    """Token ids of many texts, each distinct word encoded once while a worker remembers it."""
 
     def __init__(self, json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -59,41 +62,75 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.start, self.count, self.ids, self.total = [], [], [], 0
+        # open addressing by word hash: key and number of the word; 0 is no hash
+        self.keys, self.values = np.zeros(4 * CACHE_WORDS, np.uint64), np.zeros(4 * CACHE_WORDS, np.int32)
+        self.start, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 for an unknown one."""
+        out, left, n = np.full(len(h), -1, np.int64), np.arange(len(h)), np.uint64(len(self.keys))
+        slot = (h % n).astype(np.int64)
+        while len(left):
+            k = self.keys[slot[left]]
+            hit = k == h[left]
+            out[left[hit]] = self.values[slot[left[hit]]]
+            left = left[~hit & (k != 0)]
+            slot[left] = (slot[left] + 1) % len(self.keys)
+        return out
+
+    def _add(self, h: np.ndarray, chunks: list[str]) -> None:
+        lists = []
+        for k in range(0, len(chunks), 10_000):
+            lists += [e.ids for e in self.tokenizer.encode_batch_fast(chunks[k : k + 10_000], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        first = len(self.start)
+        self.start = np.append(self.start, len(self.ids) + np.cumsum(sizes) - sizes)
+        self.count = np.append(self.count, sizes)
+        self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())))
+        left, slot = np.arange(len(h)), (h % np.uint64(len(self.keys))).astype(np.int64)
+        while len(left):
+            free = left[self.keys[slot[left]] == 0]
+            _, one = np.unique(slot[free], return_index=True)
+            won = free[one]
+            self.keys[slot[won]], self.values[slot[won]] = h[won], first + won
+            left = np.setdiff1d(left, won, assume_unique=True)
+            slot[left] = (slot[left] + 1) % len(self.keys)
 
     def encode(self, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by the end id; number of ids of each text)."""
         words = words_of(texts, SPACED, lower=False)
-        each, at, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        if len(self.known) > CACHE_WORDS:
+        h = words.hashes()
+        if len(self.start) > CACHE_WORDS:
             self.forget()
-        hashes = each.tolist()
-        new = [i for i, h in enumerate(hashes) if h not in self.known]
-        raw = words.buf.tobytes()
-        for k in range(0, len(new), 10_000):
-            some = new[k : k + 10_000]
-            chunks = [raw[words.starts[at[i]] : words.ends[at[i]]].decode() for i in some]
-            for i, e in zip(some, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-                self.known[hashes[i]] = len(self.start)
-                self.start.append(self.total)
-                self.count.append(len(e.ids))
-                self.ids.append(np.array(e.ids, np.uint32))
-                self.total += len(e.ids)
-        table = np.concatenate(self.ids) if self.ids else np.zeros(0, np.uint32)
-        self.ids = [table]
-        place = np.fromiter((self.known[h] for h in hashes), np.int64, len(hashes))[back] if hashes else np.zeros(0, np.int64)
-        first, n = np.array(self.start, np.int64)[place], np.array(self.count, np.int64)[place]
+        place = self._find(h)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            each, at = np.unique(h[new], return_index=True)
+            if len(each) + len(self.start) > 3 * CACHE_WORDS:  # a giant text: a table for it alone
+                self.keys, self.values = np.zeros(4 * len(each), np.uint64), np.zeros(4 * len(each), np.int32)
+                self.start, self.count, self.ids = self.start[:0], self.count[:0], self.ids[:0]
+                each, at = np.unique(h, return_index=True)
+                new = np.arange(len(h))
+            raw, at = words.buf.tobytes(), new[at]
+            self._add(each, [raw[a:b].decode() for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)])
+            place[new] = self._find(h[new])
+        n = self.count[place]
         sizes = np.bincount(words.doc, weights=n, minlength=words.n_docs).astype(np.int64) + 1
         out = np.empty(sizes.sum(), np.uint32)
         ends = np.cumsum(sizes) - 1
         body = np.ones(len(out), bool)
         body[ends] = False
         out[ends] = end
-        out[body] = table[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
+        out[body] = self.ids[np.arange(n.sum()) + np.repeat(self.start[place] - np.cumsum(n) + n, n)]
         return out, sizes
 
 
+@lru_cache(maxsize=1)
+def _encoder(json: str) -> WordEncoder:
+    """Kept by a worker from task to task."""
+    return WordEncoder(json)
+
+
 class Coder:
     """The shared table and the two directions of the code, over many blocks at once."""
 
@@ -217,54 +254,57 @@ def unpack_block(raw: bytes) -> tuple[list[int | None], np.ndarray, list[tuple[n
     return [int(i) if k else None for i, k in zip(ids, known, strict=True)], sizes, segments
 
 
-def _count(json) -> Callable:
+def _block(json) -> Callable:
+    """Encodes sorted documents to blocks of whole documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, total = WordEncoder(json.value), np.zeros(0, np.int64)
+        encoder, number = _encoder(json.value), TaskContext.get().partitionId()
+        block, base = 0, 0
         for batch in batches:
             for part in shards(batch, "text"):
-                n = np.bincount(encoder.encode(part.column("text"))[0])
-                if len(n) > len(total):
-                    n, total = total, n
-                total[: len(n)] += n
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
+                ids = part.column("doc_id").to_pylist()
+                tokens, sizes = encoder.encode(part.column("text"))
+                cut, a, rows = np.concatenate(([0], np.cumsum(sizes))), 0, []
+                while a < len(ids):
+                    b = max(a + 1, int(np.searchsorted(cut, cut[a] + BLOCK_IDS, "right")) - 1)
+                    own = tokens[cut[a] : cut[b]]
+                    kind = "<u2" if own.max() < 1 << 16 else "<u4"
+                    rows.append((number, block, base, len(own), kind, ids[a:b], sizes[a:b], own.astype(kind).tobytes()))
+                    block, base, a = block + 1, base + len(own), b
+                kinds = (*[pa.int64()] * 4, pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+                cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(cols, names=["part", "block", "base", "n_ids", "kind", "docs", "sizes", "ids"])
 
     return run
 
 
-def _write(json, table) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, (freq, bits) = WordEncoder(json.value), table.value
-        coder, number = Coder(freq, bits), TaskContext.get().partitionId()
-        held: list[tuple[list, np.ndarray, np.ndarray]] = []
-        block, base = 0, 0
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(0, np.int64)
+    for batch in batches:
+        for raw, kind in zip(batch.column("ids"), batch.column("kind"), strict=True):
+            n = np.bincount(np.frombuffer(raw.as_buffer(), kind.as_py()))
+            if len(n) > len(total):
+                n, total = total, n
+            total[: len(n)] += n
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
+
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal block, base
-            rows = []
-            for (ids, sizes, _), coded in zip(held, coder.encode([h[2] for h in held]), strict=True):
-                rows.append((number, block, base, len(ids), int(sizes.sum()), pack_block(ids, sizes, coded)))
-                block, base = block + 1, base + int(sizes.sum())
-            held.clear()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True))[:5]] + [pa.array([r[5] for r in rows], pa.binary())],
-                names=["part", "block", "base", "n_docs", "n_ids", "payload"],
-            )
+def _code(table) -> Callable:
+    """Codes blocks, those of about GROUP_IDS ids together."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(*table.value)
         for batch in batches:
-            for part in shards(batch, "text"):
-                ids = part.column("doc_id").to_pylist()
-                tokens, sizes = encoder.encode(part.column("text"))
-                cut, a = np.concatenate(([0], np.cumsum(sizes))), 0
-                while a < len(ids):  # whole documents until a block is full
-                    b = max(a + 1, int(np.searchsorted(cut, cut[a] + BLOCK_IDS, "right")) - 1)
-                    size = int(cut[b] - cut[a])
-                    if held and (len(held) + 1) * max(size, *(len(h[2]) for h in held)) > GROUP_IDS:
-                        yield from flush()
-                    held.append((ids[a:b], sizes[a:b], tokens[cut[a] : cut[b]]))
-                    a = b
-        if held:
-            yield from flush()
+            n_ids, a = batch.column("n_ids").to_pylist(), 0
+            while a < batch.num_rows:
+                b, longest = a + 1, n_ids[a]
+                while b < batch.num_rows and (b + 1 - a) * max(longest, n_ids[b]) <= GROUP_IDS:
+                    longest, b = max(longest, n_ids[b]), b + 1
+                some, a = batch.slice(a, b - a), b
+                blocks = [np.frombuffer(x.as_buffer(), k.as_py()).astype(np.uint32) for x, k in zip(some.column("ids"), some.column("kind"), strict=True)]
+                packed = [pack_block(i, np.array(s), c) for i, s, c in zip(some.column("docs").to_pylist(), some.column("sizes").to_pylist(), coder.encode(blocks), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("part", "block", "base", "n_ids")), pa.array(packed, pa.binary())], names=["part", "block", "base", "n_ids", "payload"])
 
     return run
 
@@ -302,21 +342,27 @@ def _read(table) -> Callable:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
-    """Encode all documents in ascending id order and write the folder. The table needs one pass before the coding one."""
+    """Encode all documents in ascending id order and write the folder.
+
+    Ids are written once as they are, counted for the shared table, and then coded block by block.
+    """
     spark = docs.sparkSession
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         text = f.read()
     json = spark.sparkContext.broadcast(text)  # a vocabulary file, a few MB
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = {r["id"]: r["n"] for r in docs.mapInArrow(_count(json), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    keyed = docs.withColumns({"h": F.xxhash64("text"), "m": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange("doc_id", "h", "m").sortWithinPartitions("doc_id", "h", "m").select("doc_id", "text")
+    encoded = run_dir(spark, "token-ids")
+    ordered.mapInArrow(_block(json), _ENCODED).write.option("compression", "zstd").parquet(encoded)
+    blocks = spark.read.schema(_ENCODED).parquet(encoded)
+    counts = {r["id"]: r["n"] for r in blocks.select("kind", "ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
     size = max([END, *counts]) + 1  # at most the vocabulary
     bits = max(16, (size - 1).bit_length() + 2)
     freq = frequencies(counts, size, bits)
     rows = [(i, int(n)) for i, n in enumerate(freq) if n]
     spark.createDataFrame(rows, "id long, freq long").withColumns({"size": F.lit(size), "bits": F.lit(bits)}).coalesce(1).write.parquet(f"{path}/table")
-    keyed = docs.withColumns({"h": F.xxhash64("text"), "m": F.monotonically_increasing_id()})
-    ordered = keyed.repartitionByRange("doc_id", "h", "m").sortWithinPartitions("doc_id", "h", "m").select("doc_id", "text")
-    ordered.mapInArrow(_write(json, spark.sparkContext.broadcast((freq, bits))), _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    blocks.mapInArrow(_code(spark.sparkContext.broadcast((freq, bits))), _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
