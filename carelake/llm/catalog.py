@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from carelake.llm import oracles
 from carelake.llm.decontaminate import contamination_report
+from carelake.llm.embedding_dedup import embedding_links
 from carelake.llm.html_main_text import extract_main_text
 from carelake.llm.mixing import mix_report
 from carelake.llm.near_dedup import near_duplicates
@@ -83,3 +85,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_quality")
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query("op2_embedding_links", oracles.OP2)
+def op2_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(_table(spark, sf_dir, "embeddings"))
+
+
+@_query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
