@@ -28,8 +28,16 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
-def nan_to_null(c: Column) -> Column:
-    return F.when(~F.isnan(c), c)
+def finite(c: Column) -> Column:
+    """A number, or null where it is NaN or infinite."""
+    x = c.cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), c)
+
+
+def absent(c: Column) -> Column:
+    """Null, NaN or infinite; text that is no number is present."""
+    x = c.try_cast("double")
+    return c.isNull() | F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(False))
 
 
 def to_number(c: Column) -> Column:

@@ -9,13 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+STEPS = 100_000
+#: Pairs beyond which a correlation's t is normal to more digits than a double's tail needs.
+NORMAL_FROM = 10_000_000
+
+
+class NotConverged(ArithmeticError):
+    """A series that has not settled within ``STEPS`` terms."""
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function (modified Lentz)."""
     tiny = 1e-300
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     total = d
-    for m in range(1, 100_000):
+    for m in range(1, STEPS):
         for step in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -26,8 +35,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             total *= c * d
         if abs(c * d - 1.0) < 1e-15:
-            break
-    return total
+            return total
+    raise NotConverged
 
 
 def beta_tail(a: float, b: float, x: float) -> float:
@@ -60,32 +69,42 @@ def gamma_upper(a: float, x: float) -> float:
     b, c = x + 1.0 - a, 1e300
     d = 1.0 / b
     total = d
-    for i in range(1, 100_000):
+    for i in range(1, STEPS):
         step = -i * (i - a)
         b += 2.0
         d = 1.0 / (step * d + b)
         c = b + step / c
         total *= c * d
         if abs(c * d - 1.0) < 1e-15:
-            break
-    return front * total
+            return front * total
+    raise NotConverged
+
+
+def correlation_tail(r: float, n: int) -> float | None:
+    """Two-sided p of a Pearson r over n pairs: I_{1-r^2}((n-2)/2, 1/2), by the normal tail for very many pairs."""
+    if r * r >= 1.0:
+        return 0.0
+    if n > NORMAL_FROM:
+        return math.erfc(abs(r) * math.sqrt((n - 2) / (2.0 * (1.0 - r * r))))
+    try:
+        return beta_tail((n - 2) / 2.0, 0.5, 1.0 - r * r)
+    except NotConverged:
+        return None
+
+
+def chi2_tail(stat: float, dof: float) -> float | None:
+    try:
+        return gamma_upper(dof / 2.0, stat / 2.0)
+    except NotConverged:
+        return None
 
 
 @F.pandas_udf(T.DoubleType())
 def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
-    """Two-sided p of a Pearson r over n pairs: I_{1-r^2}((n-2)/2, 1/2)."""
-    return pd.Series(
-        [
-            None if pd.isna(ri) or ni < 3 else beta_tail((ni - 2) / 2.0, 0.5, 1.0 - min(1.0, ri * ri))
-            for ri, ni in zip(r, n)
-        ],
-        dtype="float64",
-    )
+    """p of each correlation; null below three pairs and where the series does not converge."""
+    return pd.Series([None if pd.isna(ri) or ni < 3 else correlation_tail(ri, ni) for ri, ni in zip(r, n)], dtype="float64")
 
 
 @F.pandas_udf(T.DoubleType())
 def chi2_p(stat: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if pd.isna(s) else gamma_upper(d / 2.0, s / 2.0) for s, d in zip(stat, dof)],
-        dtype="float64",
-    )
+    return pd.Series([None if pd.isna(s) else chi2_tail(s, d) for s, d in zip(stat, dof)], dtype="float64")

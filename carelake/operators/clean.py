@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelake.functions.columns import fahrenheit_to_celsius
+from carelake.functions.columns import absent, fahrenheit_to_celsius, finite
 from carelake.operators.ranks import medians, one_row
 from carelake.plans import clinical as cfg
 from carelake.sources.tables import coerce_numbers
@@ -37,14 +37,15 @@ def clean_report(df: DataFrame, target: str, age: str, sentinel: float, lo: floa
 
 
 def missing_fields(fields: Sequence[str]) -> Column:
-    """Names of required fields that are null, in the order given."""
-    return F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in fields]))
+    """Names of required fields that are null or no finite number, in the order given."""
+    return F.array_compact(F.array(*[F.when(absent(F.col(c)), F.lit(c)) for c in fields]))
 
 
 def violations(limits: Mapping[str, tuple[Column, float, float]], flags: Mapping[str, Column]) -> Column:
     """``array<struct<field, reason>>`` of failed checks: empty, min or max, and option for 0/1 fields."""
     checks = []
     for field, (value, lo, hi) in limits.items():
+        value = finite(value)
         reason = F.when(value.isNull(), "empty").when(value < lo, "min").when(value > hi, "max")
         checks.append((field, reason))
     for field, value in flags.items():
@@ -87,12 +88,14 @@ def fill_constant(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
 
 
 def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    df = coerce_numbers(df, columns)
     found = medians(df, columns)
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(found[c])) for c in columns})
 
 
 def imputation_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column the number of filled values and the median that fills them."""
+    df = coerce_numbers(df, columns)
     found = medians(df, columns)
     nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
     rows = [F.struct(F.lit(c).alias("column"), F.col(c).alias("filled"), F.lit(found[c]).cast("double").alias("median")) for c in columns]
@@ -101,6 +104,7 @@ def imputation_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def skew_fill_values(df: DataFrame, columns: Sequence[str], limit: float = 1.0) -> DataFrame:
     """Per column skewness, the method it selects and the fill value."""
+    df = coerce_numbers(df, columns)
     found = medians(df, columns)
     moments = df.agg(
         *[F.skewness(c).alias(f"skew_{c}") for c in columns], *[F.avg(c).alias(f"mean_{c}") for c in columns]
@@ -120,6 +124,7 @@ def skew_fill_values(df: DataFrame, columns: Sequence[str], limit: float = 1.0)
 
 
 def impute_by_skew(df: DataFrame, columns: Sequence[str], limit: float = 1.0) -> DataFrame:
+    df = coerce_numbers(df, columns)
     chosen = one_row(
         skew_fill_values(df, columns, limit).agg(
             *[F.max(F.when(F.col("column") == c, F.col("fill_value"))).alias(c) for c in columns]
@@ -188,7 +193,9 @@ def prepare_training(
     flags: Sequence[str] = tuple(cfg.FLAGS),
     target: str = cfg.TARGET,
 ) -> DataFrame:
-    """Raw records to training records: Celsius, label present, age range, medians, zero flags."""
+    """Raw records to training records: numbers, Celsius, label present, age range, medians, zero flags."""
+    types = dict(raw.dtypes)
+    raw = coerce_numbers(raw, [*vitals, *(c for c in flags if types[c] in ("string", "float", "double"))])
     converted = raw.withColumn("tjelesna_temp", fahrenheit_to_celsius(F.col("tjelesna_temp")))
     kept = keep_age_range(
         drop_null_target(converted, target), "dob", cfg.AGE_SENTINEL, cfg.AGE_MIN, cfg.AGE_MAX

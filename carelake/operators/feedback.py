@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelake.functions.columns import celsius
+from carelake.functions.columns import absent, celsius
 from carelake.operators.clean import complete_cases
 from carelake.operators.ranks import one_row
 from carelake.plans import clinical as cfg
@@ -60,17 +60,28 @@ def correct_last_pending(df: DataFrame, correct_risk: str, key: str, arrived: st
     )
 
 
-def apply_corrections(df: DataFrame, corrections: DataFrame, key: str) -> DataFrame:
-    """Set pending rows from ``(key, correct_risk)``; rows that are not pending keep their label."""
+def apply_corrections(df: DataFrame, corrections: DataFrame, key: str, at: str | None = None) -> DataFrame:
+    """Set pending rows from ``(key, correct_risk)``; rows that are not pending keep their label.
+
+    Of several corrections of a key the latest by ``at`` counts, on a tie or without times the greatest text.
+    """
     code = (F.col("correct_risk") == "High").cast("int")
-    joined = df.join(corrections.select(key, "correct_risk"), key, "left")
+    order = F.struct(*([at] if at else []), "correct_risk")
+    last = corrections.where("correct_risk IS NOT NULL").groupBy(key).agg(F.max_by("correct_risk", order).alias("correct_risk"))
+    joined = df.join(last, key, "left")
     fixed = F.when(pending() & F.col("correct_risk").isNotNull(), code).otherwise(F.col("feedback_risk"))
     return joined.withColumn("feedback_risk", fixed).select(df.columns)
 
 
-def mark_trained(df: DataFrame, include_pending: bool = False) -> DataFrame:
-    """Mark the rows a retraining used; with ``include_pending`` also rows that had no label yet."""
+def mark_trained(df: DataFrame, include_pending: bool = False, features: Sequence[str] = ()) -> DataFrame:
+    """Mark the rows a retraining used; with ``include_pending`` also rows that had no label yet.
+
+    A row with a missing one of ``features`` was not used and stays new.
+    """
     used = F.lit(True) if include_pending else F.col("feedback_risk").isNotNull()
+    if not include_pending:
+        for c in features:
+            used = used & ~absent(F.col(c))
     return df.withColumn("trained", F.when(used, F.lit(True)).otherwise(F.col("trained")))
 
 

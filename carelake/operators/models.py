@@ -34,10 +34,10 @@ from carelake.operators import clean, feedback, metrics, retrieve
 from carelake.operators.ranks import one_row
 from carelake.operators.split import stratified_folds, stratified_split
 from carelake.plans import clinical as cfg
-from carelake.session import materialize, run_dir, spread
+from carelake.session import materialize, run_dir
+from carelake.sources.tables import coerce_numbers
 
 CLASSES = list(cfg.TARGET_CODES)
-ROWS_PER_TASK = 200_000
 
 
 def labelled(df: DataFrame, features: Sequence[str] = tuple(cfg.FEATURES), key: str = "patient_id") -> DataFrame:
@@ -65,7 +65,7 @@ def _pipeline(classifier, features: Sequence[str]) -> Pipeline:
 
 
 def train_forest(train: DataFrame, features: Sequence[str] = tuple(cfg.FEATURES), **parameters) -> PipelineModel:
-    return _pipeline(RandomForestClassifier(**{**cfg.FOREST, **parameters}), features).fit(spread(train))
+    return _pipeline(RandomForestClassifier(**{**cfg.FOREST, **parameters}), features).fit(train)
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -106,13 +106,19 @@ def apply_model(model: PipelineModel, df: DataFrame) -> DataFrame:
 def score_batch(model: PipelineModel, requests: DataFrame, features: Sequence[str] = tuple(cfg.FEATURES), key: str = "patient_id") -> DataFrame:
     """One result per request: level, code, confidence and both probabilities, or an error.
 
-    A request with a missing field becomes an error row and does not stop the others.
+    A request with a missing field, or with one that is no finite number, becomes an error row that names it and does
+    not stop the others.
     """
+    given = requests.withColumn("_given", F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in features])))
+    read = coerce_numbers(given, features)
+    unread = [F.when(F.col(c).isNull() & F.array_contains("_given", c), F.lit(c)) for c in features]
+    absent = [F.when(~F.array_contains("_given", c), F.lit(c)) for c in features]
     temp = celsius(F.col("tjelesna_temp"), cfg.FAHRENHEIT_ABOVE)
-    ready = requests.withColumn("tjelesna_temp", temp).select(
-        key, *[F.col(c).cast("double").alias(c) for c in features], clean.missing_fields(features).alias("_missing")
+    ready = read.select(
+        key, *[(temp if c == "tjelesna_temp" else F.col(c)).alias(c) for c in features],
+        F.array_compact(F.array(*absent)).alias("_missing"), F.array_compact(F.array(*unread)).alias("_unread"),
     )
-    complete = F.size("_missing") == 0
+    complete = (F.size("_missing") == 0) & (F.size("_unread") == 0)
     level = F.when(F.col("prediction") == 1, "High").otherwise("Low")
     best = F.greatest("p_low", "p_high")
     good = apply_model(model, ready.where(complete)).select(
@@ -120,7 +126,12 @@ def score_batch(model: PipelineModel, requests: DataFrame, features: Sequence[st
         F.concat(format_fixed(best * 100, 1), F.lit("%")).alias("confidence_text"), F.lit(None).cast("string").alias("error"),
     )
     bad = ready.where(~complete).select(
-        key, F.concat(F.lit("missing: "), F.array_join("_missing", ", ")).alias("error")
+        key,
+        F.concat_ws(
+            "; ",
+            F.when(F.size("_missing") > 0, F.concat(F.lit("missing: "), F.array_join("_missing", ", "))),
+            F.when(F.size("_unread") > 0, F.concat(F.lit("not a number: "), F.array_join("_unread", ", "))),
+        ).alias("error"),
     )
     return good.unionByName(bad, allowMissingColumns=True)
 
@@ -162,6 +173,12 @@ def _ml(classifier: type, **settings) -> Callable[[DataFrame, Sequence[str]], Fi
     return fit
 
 
+def _fit_logistic(train: DataFrame, features: Sequence[str], c: float = 1.0) -> Fitted:
+    """L2-regularised logistic regression with the inverse strength ``c`` of the summed loss."""
+    strength = 1.0 / (c * train.count())
+    return _ml(LogisticRegression, maxIter=1000, regParam=strength, elasticNetParam=0.0, standardization=False)(train, features)
+
+
 def _fit_knn(train: DataFrame, features: Sequence[str]) -> Fitted:
     """Five nearest neighbours on scaled features."""
     parameters = metrics.scale_parameters(train, features)
@@ -219,7 +236,7 @@ def _fit_svm(train: DataFrame, features: Sequence[str], dimensions: int = 256, c
 
 # The compared classifiers and their settings. Unbounded trees get Spark's depth limit.
 CLASSIFIERS: dict[str, Callable[[DataFrame, Sequence[str]], Fitted]] = {
-    "Logistic Regression": _ml(LogisticRegression, maxIter=1000),
+    "Logistic Regression": _fit_logistic,
     "Decision Tree": _ml(DecisionTreeClassifier, maxDepth=30, seed=42),
     "Random Forest": _ml(RandomForestClassifier, numTrees=100, maxDepth=30, featureSubsetStrategy="sqrt", seed=42),
     "SVM (RBF)": _fit_svm,
@@ -227,8 +244,8 @@ CLASSIFIERS: dict[str, Callable[[DataFrame, Sequence[str]], Fitted]] = {
     "Gradient Boosting": _ml(GBTClassifier, maxIter=100, maxDepth=3, stepSize=0.1, seed=42),
     "Naive Bayes": _ml(NaiveBayes, modelType="gaussian"),
 }
-# The cross-validation adds an eighth model with the boosting library's default depth and step.
-CV_CLASSIFIERS = {**CLASSIFIERS, "XGBoost": _ml(GBTClassifier, maxIter=100, maxDepth=6, stepSize=0.3, seed=42)}
+# The cross-validation adds an eighth model: Spark's boosting with depth 6 and step 0.3.
+CV_CLASSIFIERS = {**CLASSIFIERS, "Gradient Boosting (depth 6)": _ml(GBTClassifier, maxIter=100, maxDepth=6, stepSize=0.3, seed=42)}
 
 
 def _in_threads(spark: SparkSession, work: Callable, items: Sequence, parallelism: int) -> list:
@@ -243,16 +260,17 @@ def compare_models(
     train: DataFrame, test: DataFrame, features: Sequence[str] = tuple(cfg.FEATURES),
     classifiers=CLASSIFIERS, parallelism: int = 4,
 ) -> DataFrame:
-    """The five metrics of every classifier on the test part, from one pass over all predictions."""
+    """The five metrics and the confusion matrix of every classifier on the test part, from one pass over all predictions."""
 
     def predictions(name: str) -> DataFrame:
-        return classifiers[name](spread(train), features)(test).withColumn("model", F.lit(name))
+        return classifiers[name](train, features)(test).withColumn("model", F.lit(name))
 
     parts = _in_threads(train.sparkSession, predictions, list(classifiers), parallelism)
     together = parts[0]
     for part in parts[1:]:
         together = together.unionByName(part)
-    return evaluate(materialize(together, "compared"), by=["model"])
+    together = materialize(together, "compared")
+    return evaluate(together, by=["model"]).join(metrics.confusion_matrix(together, by=["model"]), "model")
 
 
 def cross_validate(
@@ -261,18 +279,17 @@ def cross_validate(
 ) -> DataFrame:
     """Mean and population deviation of the five metrics over stratified folds, best F1 first.
 
-    Fits run side by side; a small table is one task per fit, a large one keeps its splits.
+    Fits run side by side.
     """
     spark = df.sparkSession
     path = run_dir(spark, "folds")
     stratified_folds(df, "label", key, k, seed).write.partitionBy("fold").parquet(path)
     folds = spark.read.parquet(path)
-    tasks = math.ceil(folds.count() / ROWS_PER_TASK) or 1
 
     def run(job: tuple[str, int]) -> str:
         name, fold = job
-        fitted = classifiers[name](folds.where(F.col("fold") != fold).drop("fold").coalesce(tasks), features)
-        predicted = fitted(folds.where(F.col("fold") == fold).drop("fold").coalesce(tasks))
+        fitted = classifiers[name](folds.where(F.col("fold") != fold).drop("fold"), features)
+        predicted = fitted(folds.where(F.col("fold") == fold).drop("fold"))
         out = run_dir(spark, "fold-predictions")
         predicted.withColumns({"model": F.lit(name), "fold": F.lit(fold)}).write.parquet(out)
         return out
@@ -292,11 +309,12 @@ def cross_validate(
 
 def retrain(
     original: DataFrame, log: DataFrame, models: str, threshold: int = cfg.RETRAIN_THRESHOLD, force: bool = False,
-    features: Sequence[str] = tuple(cfg.FEATURES),
+    features: Sequence[str] = tuple(cfg.FEATURES), logs: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Gate, train on original plus labelled feedback, store a new model version, mark the used rows.
 
-    Returns one result row and the updated log. Accuracy is on the training rows.
+    Returns one result row and the updated log, which is also written to ``logs`` by version. The new version becomes
+    the current model. Accuracy is on the training rows.
     """
     spark = original.sparkSession
     gate = one_row(feedback.retrain_gate(log, threshold, force))
@@ -312,5 +330,16 @@ def retrain(
     version = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S%f")
     save_model(model, f"{models}/version={version}")
     log_run(spark, f"{models}/model_runs", version, n["all"], model)
+    updated = feedback.mark_trained(log, features=features)
+    if logs:
+        updated.write.parquet(f"{logs}/version={version}")
+        updated = spark.read.parquet(f"{logs}/version={version}")
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{models}/current")
     row = [(True, version, gate["new_samples"], gate["labelled_samples"], n["feedback"], n["all"], accuracy)]
-    return spark.createDataFrame(row, schema), feedback.mark_trained(log)
+    return spark.createDataFrame(row, schema), updated
+
+
+def current_model(spark: SparkSession, models: str) -> PipelineModel:
+    """The model that the last retraining stored."""
+    version = spark.read.parquet(f"{models}/current").first()["version"]
+    return load_model(f"{models}/version={version}")

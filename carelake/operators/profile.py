@@ -16,9 +16,10 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from carelake.functions.columns import finite
 from carelake.functions.tails import chi2_p, correlation_p
 from carelake.operators.clean import value_frequencies
-from carelake.operators.ranks import SMALL_DOMAIN, counts_below, exact_quantiles, medians, one_row
+from carelake.operators.ranks import counts_below, exact_quantiles, medians, one_row
 from carelake.session import materialize
 
 
@@ -107,9 +108,17 @@ def kurtosis(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 # ---- contingency --------------------------------------------------------------------------
 
 
-def crosstab(df: DataFrame, row: str, col: str, values: Sequence) -> DataFrame:
-    """Counts with one output column per listed value."""
+def crosstab(df: DataFrame, row: str, col: str, values: Sequence | None = None) -> DataFrame:
+    """Counts with one output column per value; without a list the values are those of the data, in order.
+
+    A value that is not on a given list stops the job and is named.
+    """
     data = df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
+    if values is None:
+        values = sorted(r[0] for r in data.select(col).distinct().collect())  # one output column for each
+    else:
+        unlisted = F.raise_error(F.concat(F.lit("unlisted value: "), F.col(col).cast("string"))).cast(dict(df.dtypes)[col])
+        data = data.withColumn(col, F.when(F.col(col).isin(*values), F.col(col)).otherwise(unlisted))
     return data.groupBy(row).pivot(col, list(values)).agg(F.count(F.lit(1))).fillna(0)
 
 
@@ -179,10 +188,10 @@ def chi_square(df: DataFrame, row: str, col: str) -> DataFrame:
     )
 
 
-def expected_counts(df: DataFrame, row: str, col: str, values: Sequence) -> DataFrame:
+def expected_counts(df: DataFrame, row: str, col: str, values: Sequence | None = None) -> DataFrame:
     """Observed and expected count of every cell, empty ones included."""
     table = crosstab(df, row, col, values)
-    names = [str(v) for v in values]
+    names = [c for c in table.columns if c != row]
     totals = one_row(table.agg(*[F.sum(v).alias(v) for v in names]))
     n = float(sum(totals.values()))
     in_row = sum((F.col(v) for v in names[1:]), F.col(names[0]))
@@ -218,7 +227,11 @@ def flag_overlap(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, columns: Sequence[str], bins: int = 15) -> DataFrame:
-    """Equal-width bins over each column's range, last bin closed; empty bins are listed."""
+    """Equal-width bins over each column's range, last bin closed; empty bins are listed.
+
+    NaN and infinite values are left out.
+    """
+    df = df.select(*[finite(F.col(c)).alias(c) for c in columns])
     span = one_row(
         df.agg(*[F.min(c).cast("double").alias(f"lo{i}") for i, c in enumerate(columns)],
                *[F.max(c).cast("double").alias(f"hi{i}") for i, c in enumerate(columns)])
@@ -233,7 +246,10 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 15) -> DataFram
         cells.append(
             F.struct(
                 F.lit(c).alias("column"),
-                F.least(F.width_bucket(F.col(c).cast("double"), F.lit(lo), F.lit(hi), F.lit(bins)), F.lit(bins)).cast("int").alias("bin"),
+                F.when(
+                    F.col(c).isNotNull(),  # the least of a null and a number is the number
+                    F.least(F.width_bucket(F.col(c).cast("double"), F.lit(lo), F.lit(hi), F.lit(bins)), F.lit(bins)),
+                ).cast("int").alias("bin"),
             )
         )
         frames += [(c, b + 1, lo + (hi - lo) * b / bins, lo + (hi - lo) * (b + 1) / bins) for b in range(bins)]
@@ -250,21 +266,17 @@ def kde_grid(df: DataFrame, column: str, points: int = 200, cut: float = 3.0) ->
     """Gaussian kernel density (Scott bandwidth) on an even grid, with mean and median.
 
     Each task sums its rows onto the grid and emits one partial vector, so only
-    ``points`` rows per task are shuffled. A column of few distinct values is counted first.
+    ``points`` rows per task are shuffled. Equal values are counted first.
     """
-    data = df.select(F.col(column).cast("double").alias("x")).where("x IS NOT NULL")
+    data = df.select(finite(F.col(column).cast("double")).alias("x")).where("x IS NOT NULL")
     s = one_row(
         data.agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
-                 F.min("x").alias("lo"), F.max("x").alias("hi"), F.approx_count_distinct("x").alias("distinct"))
+                 F.min("x").alias("lo"), F.max("x").alias("hi"))
     )
     middle = medians(data, ["x"])["x"]
     width = s["std"] * s["n"] ** -0.2
     grid = np.linspace(s["lo"] - cut * width, s["hi"] + cut * width, points)
-    weighted = (
-        data.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-        if s["distinct"] <= SMALL_DOMAIN
-        else data.withColumn("n", F.lit(1).cast("bigint"))
-    )
+    weighted = data.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(points)
@@ -317,7 +329,8 @@ def corr_pairs(df: DataFrame, columns: Sequence[str], complete_rows: bool = True
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Full symmetric matrix as rows, pairwise complete."""
     half = corr_pairs(df, columns, complete_rows=False)
-    unit = df.sparkSession.createDataFrame([(c, c, 1.0) for c in columns], "a string, b string, r double")
+    own = _per_column(df, columns, r=lambda c: F.when(F.min(c) < F.max(c), 1.0))  # null for a constant column, as off the diagonal
+    unit = own.select(F.col("column").alias("a"), F.col("column").alias("b"), "r")
     return half.select("a", "b", "r").union(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "r")).union(unit)
 
 

@@ -1,23 +1,19 @@
 """Exact order statistics without a global sort or an unbounded group.
 
-A column with few distinct values (measured first) goes through the built-in ``percentile``, whose
-state is one counter per distinct value. Beyond that bound rows are pre-aggregated to distinct values
-with counts, values fall into equal-width buckets, and only bucket totals (a bounded table) are
-accumulated over a whole column. Within a bucket the running sum is a window over that bucket alone.
+Rows are counted by distinct value first, in parallel. The counts are then dealt into ranges of about equal numbers of
+rows, cut by a sample of the values themselves, so neither an outlier nor a narrow group fills one range. Only range
+totals (one row for each range) are accumulated over a whole column; inside a range a running sum is enough.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carelake.session import materialize
-
-BUCKETS = 1024
-SMALL_DOMAIN = 100_000
-
+from carelake.sources.tables import coerce_numbers
 
 def one_row(aggregate: DataFrame) -> dict:
     """The single row of a global aggregate; its values go into later plans as literals.
@@ -27,48 +23,23 @@ def one_row(aggregate: DataFrame) -> dict:
     return aggregate.first().asDict()
 
 
-def _bucket(value: Column, lo: float | None, hi: float | None) -> Column:
-    if lo is None or not hi > lo:
-        return F.lit(0)
-    width = (hi - lo) / BUCKETS
-    return F.least(F.floor((value - F.lit(lo)) / F.lit(width)), F.lit(BUCKETS - 1)).cast("int")
+def in_ranges(counts: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Written in ranges of ``order``, which ``_part`` numbers in that order."""
+    return materialize(counts.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
 
 
-def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], small_domain: int = SMALL_DOMAIN
-) -> DataFrame:
-    """``(column, p, value)`` with linear interpolation between order statistics; nulls ignored."""
-    data = df.select([F.col(c).cast("double").alias(c) for c in columns])
-    indexed = list(enumerate(columns))
-    span = one_row(
-        data.agg(*[F.min(c).alias(f"lo{i}") for i, c in indexed],
-                 *[F.max(c).alias(f"hi{i}") for i, c in indexed],
-                 *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in indexed])
-    )
-    if max(span[f"d{i}"] for i, _ in indexed) <= small_domain:
-        levels = [F.lit(float(p)) for p in probs]
-        found = data.agg(*[F.percentile(c, F.array(*levels)).alias(f"q{i}") for i, c in indexed])
-        cells = [
-            F.struct(F.lit(c).alias("column"), p.alias("p"), F.get(F.col(f"q{i}"), k).alias("value"))
-            for i, c in indexed
-            for k, p in enumerate(levels)
-        ]
-        return found.select(F.inline(F.array(*cells)))
-    entries = [
-        F.struct(
-            F.lit(c).alias("column"),
-            _bucket(F.col(c), span[f"lo{i}"], span[f"hi{i}"]).alias("bucket"),
-            F.col(c).alias("value"),
-        )
-        for i, c in enumerate(columns)
-    ]
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """``(column, p, value)`` with linear interpolation between order statistics; what is no finite number is ignored."""
+    data = coerce_numbers(df.select(*columns), columns)
+    entries = [F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns]
     counts = (
         data.select(F.inline(F.array(*entries)))
         .where("value IS NOT NULL")
-        .groupBy("column", "bucket", "value")
+        .groupBy("column", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    by_bucket = Window.partitionBy("column").orderBy("bucket")
+    counts = in_ranges(counts, ["column", "value"])
+    by_part = Window.partitionBy("column").orderBy("_part")
     ranks = F.array(
         *[
             F.struct(F.lit(float(p)).alias("p"), (F.lit(float(p)) * (F.col("total") - 1)).alias("pos"))
@@ -81,19 +52,19 @@ def exact_quantiles(
     )
     # at most two rows per column and probability
     targets = (
-        counts.groupBy("column", "bucket")
-        .agg(F.sum("n").alias("in_bucket"))
-        .withColumn("through", F.sum("in_bucket").over(by_bucket))
-        .withColumn("total", F.sum("in_bucket").over(Window.partitionBy("column")))
-        .withColumn("before", F.col("through") - F.col("in_bucket"))
-        .select("column", "bucket", "before", "through", F.inline(ranks))
+        counts.groupBy("column", "_part")
+        .agg(F.sum("n").alias("in_part"))
+        .withColumn("through", F.sum("in_part").over(by_part))
+        .withColumn("total", F.sum("in_part").over(Window.partitionBy("column")))
+        .withColumn("before", F.col("through") - F.col("in_part"))
+        .select("column", "_part", "before", "through", F.inline(ranks))
         .select("*", F.inline(sides))
         .where("rank >= before AND rank < through")
-        .select("column", "bucket", "p", "pos", "side", (F.col("rank") - F.col("before")).alias("offset"))
+        .select("column", "_part", "p", "pos", "side", (F.col("rank") - F.col("before")).alias("offset"))
     )
     in_order = Window.partitionBy("column", "p", "side").orderBy("value")
     picked = (
-        counts.join(F.broadcast(targets), ["column", "bucket"])
+        counts.join(F.broadcast(targets), ["column", "_part"])
         .withColumn("upto", F.sum("n").over(in_order))
         .where("offset < upto AND offset >= upto - n")
     )
@@ -114,23 +85,20 @@ def counts_below(
 ) -> DataFrame:
     """Add ``below_<m>`` (sum of m over smaller values) and ``total_<m>`` per key, exactly.
 
-    ``counts`` has one row per key and distinct value. It is written once, because its range, the bucket
-    totals and the running sums each read it.
+    ``counts`` has one row per key and distinct value.
     """
-    counts = materialize(counts, "counts")
-    span = one_row(counts.agg(F.min(value).alias("lo"), F.max(value).alias("hi")))
-    bucketed = counts.withColumn("_bucket", _bucket(F.col(value), span["lo"], span["hi"]))
+    parts = in_ranges(counts, [*keys, value])
     over_keys = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    offsets = bucketed.groupBy(*keys, "_bucket").agg(*[F.sum(m).alias(f"_in_{m}") for m in measures])
+    offsets = parts.groupBy(*keys, "_part").agg(*[F.sum(m).alias(f"_in_{m}") for m in measures])
     offsets = offsets.select(
         *keys,
-        "_bucket",
-        *[(F.sum(f"_in_{m}").over(over_keys.orderBy("_bucket")) - F.col(f"_in_{m}")).alias(f"_off_{m}") for m in measures],
+        "_part",
+        *[(F.sum(f"_in_{m}").over(over_keys.orderBy("_part")) - F.col(f"_in_{m}")).alias(f"_off_{m}") for m in measures],
         *[F.sum(f"_in_{m}").over(over_keys).alias(f"total_{m}") for m in measures],
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(value)
-    ranked = bucketed.withColumns({f"_run_{m}": F.sum(m).over(inside) - F.col(m) for m in measures})
-    return ranked.join(offsets, [*keys, "_bucket"]).select(
+    inside = Window.partitionBy(*keys, "_part").orderBy(value)
+    ranked = parts.withColumns({f"_run_{m}": F.sum(m).over(inside) - F.col(m) for m in measures})
+    return ranked.join(offsets, [*keys, "_part"]).select(
         *counts.columns,
         *[(F.col(f"_off_{m}") + F.col(f"_run_{m}")).alias(f"below_{m}") for m in measures],
         *[f"total_{m}" for m in measures],

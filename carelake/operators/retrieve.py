@@ -19,9 +19,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carelake.functions import text as tx
+from carelake.functions.columns import render
 from carelake.operators import risk
 from carelake.plans import clinical as cfg
-from carelake.session import materialize, spread
+from carelake.session import materialize
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 20_000
@@ -110,7 +111,7 @@ def _shipped(c: DataFrame, q: DataFrame, k: int, metric: str) -> DataFrame:
             rows, ids, scores = best
             yield _hits_batch((query_ids.type, id_type), query_ids.take(pa.array(rows)), ids, scores)
 
-    return spread(c).mapInArrow(search, _hits_schema(c, q))
+    return c.mapInArrow(search, _hits_schema(c, q))
 
 
 def _numbers(n: Column) -> Column:
@@ -229,7 +230,7 @@ def with_valid_text(hits: DataFrame, chunks: DataFrame, corpus_id: str, text: st
     The text is checked once per chunk; exploding the usable ones, unlike a filter, does not check it again.
     """
     usable = F.filter(F.array(tx.validate(F.col(text), terms)), lambda t: t != "")
-    checked = spread(chunks.select(corpus_id, text)).select(corpus_id, F.explode(usable).alias("text"))
+    checked = chunks.select(corpus_id, text).select(corpus_id, F.explode(usable).alias("text"))
     return hits.join(checked, corpus_id)
 
 
@@ -254,10 +255,9 @@ def advice(people: DataFrame, fused: DataFrame, request: str, level: Column, sum
     """Advice text per person: banner, summary and the first n usable hits, or a fallback."""
     shown = F.length("text") >= cfg.CHUNK_MIN_CHARS
     number = F.count_if(shown).over(Window.partitionBy(request).orderBy("fused_rank"))
-    head, middle, tail = cfg.ADVICE_ITEM
     percent = F.rint(F.col("relevance") * 100).cast("int").cast("string")
     item = F.concat(
-        F.lit(head), F.col("_no").cast("string"), F.lit(middle), percent, F.lit(tail + "\n"), F.col("text"), F.lit("\n")
+        render(cfg.ADVICE_ITEM, {"n": F.col("_no").cast("string"), "p": percent}), F.lit("\n"), F.col("text"), F.lit("\n")
     )
     # at most 2n hits per request; a request without a usable one keeps an empty list
     items = (

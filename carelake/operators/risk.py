@@ -8,15 +8,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelake.functions.columns import classify, gauge_percent, render
+from carelake.functions.columns import classify, finite, gauge_percent, render
 from carelake.plans import clinical as cfg
 
 
 def with_classes(df: DataFrame, bands=cfg.BANDS, columns=cfg.BAND_COLUMNS) -> DataFrame:
-    """Add ``class_<param>`` for each banded measurement; null when absent or not positive."""
+    """Add ``class_<param>`` for each banded measurement; null when absent, not finite or not positive."""
     return df.withColumns(
         {
-            f"class_{p}": F.when(F.col(columns[p]) > 0, classify(F.col(columns[p]), b, cfg.UNKNOWN_CLASS))
+            f"class_{p}": F.when(finite(F.col(columns[p])) > 0, classify(F.col(columns[p]), b, cfg.UNKNOWN_CLASS))
             for p, b in bands.items()
         }
     )
@@ -28,16 +28,24 @@ def band_table(spark, bands=cfg.BANDS) -> DataFrame:
     return spark.createDataFrame(rows, "param string, ord int, label string, lo double, hi double")
 
 
-def classify_by_table(long: DataFrame, bands: DataFrame, max_broadcast_rows: int = 100_000) -> DataFrame:
+SALTS = 32
+
+
+def classify_by_table(long: DataFrame, bands: DataFrame) -> DataFrame:
     """Range join of ``(.., param, value)`` rows with a band table on parameter and interval.
 
-    The band table is broadcast only when its row count is within the bound; otherwise Spark joins
-    on ``param`` by shuffle. Bands of a parameter do not overlap, so at most one matches.
+    A few parameters hold all rows, so rows are dealt over salts and each band is given to every salt; the join
+    then spreads over parameters times salts. Bands of a parameter do not overlap, so at most one matches.
     """
-    few = bands.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
-    b = (F.broadcast(bands) if few else bands).select(F.col("param").alias("_p"), "label", "lo", "hi")
-    inside = (F.col("param") == F.col("_p")) & (F.col("value") >= F.col("lo")) & (F.col("value") < F.col("hi"))
-    return long.join(b, inside, "left").select(
+    b = bands.select(
+        F.col("param").alias("_p"), "label", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s")
+    )
+    salted = long.withColumn("_salt", F.pmod(F.xxhash64(*long.columns), F.lit(SALTS)).cast("int"))
+    inside = (
+        (F.col("param") == F.col("_p")) & (F.col("_salt") == F.col("_s"))
+        & (F.col("value") >= F.col("lo")) & (F.col("value") < F.col("hi"))
+    )
+    return salted.join(b, inside, "left").select(
         *long.columns, F.coalesce("label", F.lit(cfg.UNKNOWN_CLASS)).alias("label")
     )
 
@@ -190,7 +198,7 @@ def zones_column(zones=cfg.ZONES) -> Column:
     """``array<struct<param, value, zone, percent>>`` of the display gauges; null values are left out."""
     cells = []
     for name, (lo, hi, bands) in zones.items():
-        value = F.col(name).cast("double")
+        value = finite(F.col(name).cast("double"))
         cells.append(
             F.when(
                 value.isNotNull(),

@@ -2,6 +2,7 @@
 
 from carelake.plans import (  # noqa: F401
     corpus_queries,
+    dirty_queries,
     feedback_queries,
     metric_queries,
     model_queries,

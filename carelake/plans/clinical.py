@@ -232,7 +232,7 @@ ADVICE_NONE = (
 ADVICE_EMPTY = (
     "Nije pronađen dovoljno relevantan sadržaj. Obratite se svom ginekologu za detaljne smjernice."
 )
-ADVICE_ITEM = ("**Preporuka ", "** (relevantnost: ", "%):")
+ADVICE_ITEM = "**Preporuka {n}** (relevantnost: {p}%):"
 
 # Chunking and retrieval parameters.
 CHUNK_SIZE, CHUNK_OVERLAP, CHUNK_MIN_CHARS = 600, 100, 40

@@ -131,7 +131,7 @@ def chunk_validate(spark, sf_dir):
 
 
 @query("chunk_ids", _windows(tail=False) + _CUT + """ SELECT doc_id, source, chunk_id,
-  substr(md5(concat(substr(text, 1, 100), '_', chunk_id)), 1, 16) AS chunk_uid FROM chunks""")
+  substr(md5(concat(doc_id, '_', coalesce(source, ''), '_', substr(text, 1, 100), '_', chunk_id)), 1, 16) AS chunk_uid FROM chunks""")
 def chunk_ids(spark, sf_dir):
     path = run_dir(spark, "chunk-index")
     chunks = corpus.chunk_documents(table(spark, sf_dir, "documents"), ["doc_id", "source"], terms=REFERENCE)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from carelake.functions.columns import nan_to_null, to_number
+from carelake.functions.columns import finite, to_number
 from carelake.plans import clinical as cfg
 
 FEEDBACK_SCHEMA = T.StructType(
@@ -28,11 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def coerce_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Numeric reading of columns; text that does not parse and NaN become null."""
+    """Numeric reading of columns; text that does not parse, NaN and the infinities become null."""
 
     def read(field: T.StructField):
         if isinstance(field.dataType, T.FractionalType) and not isinstance(field.dataType, T.DecimalType):
-            return nan_to_null(F.col(field.name)).cast("double")
+            return finite(F.col(field.name)).cast("double")
         if isinstance(field.dataType, T.NumericType):
             return F.col(field.name).cast("double")
         return to_number(F.col(field.name))
@@ -112,6 +112,13 @@ def assemble_documents(
     )
 
 
+def _is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to the folder was committed; an empty or broken folder does not count."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def write_index(chunks: DataFrame, path: str, force_rebuild: bool = False) -> None:
-    """Write the chunk index once; an existing index is kept unless a rebuild is forced."""
-    chunks.write.mode("overwrite" if force_rebuild else "ignore").parquet(path)
+    """Write the chunk index once; a committed index is kept unless a rebuild is forced."""
+    if force_rebuild or not _is_complete(chunks.sparkSession, path):
+        chunks.write.mode("overwrite").parquet(path)

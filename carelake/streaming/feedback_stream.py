@@ -41,18 +41,44 @@ def label_submissions(stream: DataFrame) -> DataFrame:
     )
 
 
-def start_ingest(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def with_measurements(stream: DataFrame, people: DataFrame, key: str = "patient_id") -> DataFrame:
+    """Submissions with the measurements they were made on, so that the log can be trained on."""
+    return stream.join(people.select(key, *cfg.FEATURES), key, "left")
+
+
+def start_ingest(stream: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Append to the log; ``every`` is a processing interval, without one all that is there is taken once."""
     return (
         label_submissions(stream)
         .writeStream.format("parquet")
         .option("path", out)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**_trigger(every))
         .start()
     )
 
 
-def start_running_stats(stream: DataFrame, out: str, checkpoint: str, threshold: int = cfg.RETRAIN_THRESHOLD) -> StreamingQuery:
+def _trigger(every: str | None) -> dict:
+    return {"processingTime": every} if every else {"availableNow": True}
+
+
+def start_daily_stats(stream: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Submissions, agreements and corrections in tumbling days. The state is one row for each day, and no row is late."""
+    day = F.window("submitted_at", "1 day")
+    daily = label_submissions(stream).groupBy(day).agg(
+        F.count(F.lit(1)).alias("total_feedback"), F.count_if("user_confirmation").alias("agreed_with_model"),
+        F.count_if(F.col("feedback_risk").isNull()).alias("pending_correction"),
+    )
+
+    def publish(batch: DataFrame, _: int) -> None:
+        batch.select(F.col("window.start").alias("day"), "total_feedback", "agreed_with_model", "pending_correction").write.mode("overwrite").parquet(out)
+
+    return (
+        daily.writeStream.outputMode("complete").foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start()
+    )
+
+
+def start_running_stats(stream: DataFrame, out: str, checkpoint: str, threshold: int = cfg.RETRAIN_THRESHOLD, every: str | None = None) -> StreamingQuery:
     """Keep one row of statistics current; the state is that one row."""
 
     def publish(batch: DataFrame, _: int) -> None:
@@ -63,7 +89,7 @@ def start_running_stats(stream: DataFrame, out: str, checkpoint: str, threshold:
         .writeStream.outputMode("complete")
         .foreachBatch(publish)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**_trigger(every))
         .start()
     )
 
@@ -78,3 +104,9 @@ def stats_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = run_dir(spark, "feedback-stats")
     start_running_stats(submissions(spark, sf_dir), f"{base}/stats", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/stats")
+
+
+def daily_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = run_dir(spark, "feedback-daily")
+    start_daily_stats(submissions(spark, sf_dir), f"{base}/stats", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/stats")
