@@ -26,6 +26,8 @@ from carelake.session import materialize
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 20_000
+# rows that fit the cells of an approximate search, and of them rows that set its number of visits
+FIT_ROWS, PROBE_ROWS = 50_000, 5_000
 ROUND_TO = {"cosine": 12, "euclidean": 9}
 
 
@@ -176,23 +178,44 @@ def top_k(
     return _finish(partial, corpus_id, query_id, k, metric)
 
 
+def _probes_for(rows: np.ndarray, centers: np.ndarray, k: int, recall: float, queries: int = 200) -> int:
+    """How many of its nearest cells a query must visit to find ``recall`` of its k nearest rows in a sample."""
+    if not len(rows):
+        return 1
+    m = _unit(rows)
+    d = (centers * centers).sum(1)[None, :] - 2.0 * m @ centers.T
+    home, order = d.argmin(1), np.argsort(d[:queries], axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
+    near = np.argsort(-(m[:queries] @ m.T), axis=1, kind="stable")[:, :k]
+    return int(np.quantile(np.take_along_axis(place, home[near], axis=1), recall, method="higher")) + 1
+
+
 def top_k_probed(
     corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str, query_id: str, vector: str = "embedding",
-    cells: int = 16, probes: int = 4, seed: int = 42,
+    cells: int | None = None, probes: int | None = None, recall: float = 0.95, fit_rows: int = FIT_ROWS, seed: int = 42,
 ) -> DataFrame:
     """Approximate search: the corpus is clustered into cells and a query visits its nearest ones.
 
-    Visiting every cell gives the exact result. Crowded cells are split into blocks like the exact search.
+    By default the cells grow as the square root of the corpus, and as many are visited as find ``recall`` of the exact
+    hits of sampled queries. Cells and visits are fitted on at most ``fit_rows`` rows, those with the smallest hashes of
+    their ids; every row is indexed. Visiting every cell gives the exact result. Crowded cells are split into blocks
+    like the exact search.
     """
     c, q = _sides(corpus, queries, corpus_id, query_id, vector)
+    cells = cells or max(1, math.ceil(math.sqrt(c.count())))
 
     def unit(v: Column) -> Column:
         norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
         return array_to_vector(F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0))))
 
     clustered = c.withColumn("features", unit(F.col("_v")))
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(clustered)
+    sample = materialize(clustered.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows), "search-sample")
+    model = KMeans(k=cells, seed=seed, maxIter=10).fit(sample)
     centers = np.array(model.clusterCenters())
+    if probes is None:
+        rows = sample.select("_v").limit(PROBE_ROWS).toArrow()
+        probes = _probes_for(_matrix(rows.column("_v"), rows.num_rows), centers, k, recall)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,11 +302,15 @@ def search_requests(
     plan: DataFrame, index: DataFrame, encoder, request: str, corpus_id: str, k: int = cfg.HITS_PER_QUERY,
     floor: float = cfg.RELEVANCE_FLOOR, terms: Sequence[str] = tuple(cfg.TABLE_TERMS),
 ) -> DataFrame:
-    """Run every query of every request against the index and fuse the hits per request."""
-    keyed = plan.withColumn("_query", F.concat_ws("-", F.col(request).cast("string"), F.col("query_ord").cast("string")))
-    vectors = materialize(encoder.encode(keyed.select("_query", "query_text"), "query_text").drop("query_text"), "query-vectors")
+    """Run the queries of all requests against the index and fuse the hits per request.
+
+    Equal query texts are searched once.
+    """
+    keyed = plan.withColumn("_query", F.md5("query_text"))
+    texts = keyed.groupBy("_query").agg(F.min("query_text").alias("query_text"))
+    vectors = materialize(encoder.encode(texts, "query_text").drop("query_text"), "query-vectors")
     hits = relevant(top_k(index, vectors, k, corpus_id, "_query"), floor)
-    valid = with_valid_text(hits, index, corpus_id, terms=terms)
+    valid = materialize(with_valid_text(hits, index, corpus_id, terms=terms), "query-hits")
     return fuse(valid.join(keyed.select("_query", request, "query_ord", "weight"), "_query"), request)
 
 

@@ -12,7 +12,7 @@ from carelake.plans.fixtures import patients, with_views
 from carelake.plans.metric_queries import SCALED_VIEW
 from carelake.plans.record_queries import _summary_sql
 from carelake.plans.registry import query
-from carelake.session import materialize, run_dir
+from carelake.session import materialize, run_dir, spread
 from carelake.sources.tables import table, write_index
 
 # The given documents mention no table, so the reference test runs with a pattern they do contain.
@@ -89,19 +89,19 @@ _CUT = _CUT.format(
 
 @query("chunk_windows", _windows(tail=True) + ' SELECT doc_id, CAST(i AS INTEGER) AS window_id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM win')
 def chunk_windows(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return corpus.chunk_windows(docs, ["doc_id"], tail=True).select("doc_id", "window_id", "start", "end")
 
 
 @query("chunk_windows_no_tail", _windows(tail=False) + ' SELECT doc_id, CAST(i AS INTEGER) AS window_id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM win')
 def chunk_windows_no_tail(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return corpus.chunk_windows(docs, ["doc_id"]).select("doc_id", "window_id", "start", "end")
 
 
 @query("table_ref_filter", f"SELECT doc_id, {_reference('text')} AS has_reference, {_reference('text', cfg.TABLE_TERMS)} AS has_table_reference FROM documents")
 def table_ref_filter(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id", tx.has_reference(F.col("text"), REFERENCE).alias("has_reference"),
         tx.has_reference(F.col("text")).alias("has_table_reference"),
     )
@@ -109,23 +109,23 @@ def table_ref_filter(spark, sf_dir):
 
 @query("chunk_start_ok", f"SELECT doc_id, {_starts('text')} AS ok FROM documents")
 def chunk_start_ok(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.starts_complete(F.col("text")).alias("ok"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", tx.starts_complete(F.col("text")).alias("ok"))
 
 
 @query("chunk_end_ok", f"SELECT doc_id, {_ends('text')} AS ok FROM documents")
 def chunk_end_ok(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.ends_complete(F.col("text")).alias("ok"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", tx.ends_complete(F.col("text")).alias("ok"))
 
 
 @query("chunk_repair", _windows(tail=True) + _CUT + " SELECT doc_id, CAST(i AS INTEGER) AS window_id, t AS text FROM r")
 def chunk_repair(spark, sf_dir):
-    raw = corpus.chunk_windows(table(spark, sf_dir, "documents"), ["doc_id"], tail=True)
+    raw = corpus.chunk_windows(spread(table(spark, sf_dir, "documents")), ["doc_id"], tail=True)
     return raw.select("doc_id", "window_id", tx.repair(F.col("text"), REFERENCE).alias("text"))
 
 
 @query("chunk_validate", _windows(tail=True) + _CUT + ' SELECT doc_id, chunk_id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", text FROM chunks')
 def chunk_validate(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     chunks = corpus.chunk_documents(docs, ["doc_id"], tail=True, terms=REFERENCE)
     return chunks.select("doc_id", "chunk_id", "start", "end", "text")
 
@@ -134,7 +134,7 @@ def chunk_validate(spark, sf_dir):
   substr(md5(concat(doc_id, '_', coalesce(source, ''), '_', substr(text, 1, 100), '_', chunk_id)), 1, 16) AS chunk_uid FROM chunks""")
 def chunk_ids(spark, sf_dir):
     path = run_dir(spark, "chunk-index")
-    chunks = corpus.chunk_documents(table(spark, sf_dir, "documents"), ["doc_id", "source"], terms=REFERENCE)
+    chunks = corpus.chunk_documents(spread(table(spark, sf_dir, "documents")), ["doc_id", "source"], terms=REFERENCE)
     write_index(chunks, path)
     write_index(chunks, path)
     return spark.read.parquet(path).select("doc_id", "source", "chunk_id", "chunk_uid")
@@ -143,12 +143,12 @@ def chunk_ids(spark, sf_dir):
 @query("corpus_report", _windows(tail=False) + _CUT + """ SELECT source, count(DISTINCT doc_id) AS documents, count(*) AS windows,
   count(*) FILTER (text <> '') AS kept, count(*) FILTER (text = '') AS dropped, CAST(sum(length(text)) AS BIGINT) AS kept_chars FROM valid GROUP BY source""")
 def corpus_report(spark, sf_dir):
-    return corpus.corpus_report(table(spark, sf_dir, "documents"), "source", terms=REFERENCE)
+    return corpus.corpus_report(spread(table(spark, sf_dir, "documents")), "source", terms=REFERENCE)
 
 
 @query("embed_corpus")
 def embed_corpus(spark, sf_dir):
-    chunks = materialize(corpus.chunk_documents(table(spark, sf_dir, "documents"), ["doc_id"]), "chunks")
+    chunks = materialize(corpus.chunk_documents(spread(table(spark, sf_dir, "documents")), ["doc_id"]), "chunks")
     coded = corpus.HashedTextEncoder().fit(chunks).encode(chunks)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
     return coded.select("doc_id", "chunk_id", "chunk_uid", F.size("embedding").alias("dims"), F.round(norm, 4).alias("norm"))
@@ -163,7 +163,7 @@ hits AS (SELECT query_id, vec_id, rel, CAST(row_number() OVER (PARTITION BY quer
 
 
 def _search(spark, sf_dir, k):
-    vectors = table(spark, sf_dir, "embeddings")
+    vectors = spread(table(spark, sf_dir, "embeddings"))
     return retrieve.top_k(vectors, vectors.withColumnRenamed("vec_id", "query_id"), k, "vec_id", "query_id")
 
 
@@ -178,7 +178,7 @@ def vector_topk(spark, sf_dir):
 
 @query("vector_topk_tiled", "WITH " + _TOPK.format(k=10) + " SELECT query_id, rank, vec_id, round(1 - rel, 6) AS distance, round(rel, 6) AS relevance FROM hits")
 def vector_topk_tiled(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings")
+    vectors = spread(table(spark, sf_dir, "embeddings"))
     queries = vectors.withColumnRenamed("vec_id", "query_id")
     return _rounded_hits(retrieve.top_k(vectors, queries, cfg.HITS_PER_SEARCH, "vec_id", "query_id", broadcast_bytes=0))
 
@@ -190,14 +190,14 @@ def vector_topk_threshold(spark, sf_dir):
 
 @query("vector_topk_probed")
 def vector_topk_probed(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings")
+    vectors = spread(table(spark, sf_dir, "embeddings"))
     found = retrieve.top_k_probed(vectors, vectors.withColumnRenamed("vec_id", "query_id"), cfg.HITS_PER_SEARCH, "vec_id", "query_id")
     return _rounded_hits(found)
 
 
 @query("vector_topk_every_cell", "WITH " + _TOPK.format(k=10) + " SELECT query_id, rank, vec_id, round(1 - rel, 6) AS distance, round(rel, 6) AS relevance FROM hits")
 def vector_topk_every_cell(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings")
+    vectors = spread(table(spark, sf_dir, "embeddings"))
     queries = vectors.withColumnRenamed("vec_id", "query_id")
     return _rounded_hits(
         retrieve.top_k_probed(vectors, queries, cfg.HITS_PER_SEARCH, "vec_id", "query_id", cells=8, probes=8)
@@ -206,7 +206,7 @@ def vector_topk_every_cell(spark, sf_dir):
 
 @query("search_recall")
 def search_recall(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings")
+    vectors = spread(table(spark, sf_dir, "embeddings"))
     found = retrieve.top_k_probed(vectors, vectors.withColumnRenamed("vec_id", "query_id"), cfg.HITS_PER_SEARCH, "vec_id", "query_id")
     return retrieve.recall(found, _search(spark, sf_dir, cfg.HITS_PER_SEARCH), ["query_id", "vec_id"])
 
@@ -219,7 +219,7 @@ valid AS (SELECT hits.*, text FROM hits JOIN texts USING (vec_id) WHERE rel >= 0
 
 
 def _valid_hits(spark, sf_dir, k):
-    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "vec_id")
+    docs = spread(table(spark, sf_dir, "documents")).withColumnRenamed("doc_id", "vec_id")
     return retrieve.with_valid_text(retrieve.relevant(_search(spark, sf_dir, k), FLOOR), docs, "vec_id")
 
 

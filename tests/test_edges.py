@@ -334,3 +334,40 @@ def test_small_model_comparison(spark):
 
 def test_shared_folder(spark):
     assert run_dir(spark, "x").startswith(checkpoint_root(spark) + "/x-")
+
+
+def test_probed_search_recall_on_clusters(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 16))
+    rows = [(i, (centres[i % 40] + 0.15 * rng.normal(size=16)).tolist()) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = df.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    found = retrieve.top_k_probed(df, queries, 5, "vec_id", "query_id")
+    exact = retrieve.top_k(df, queries, 5, "vec_id", "query_id")
+    assert retrieve.recall(found, exact, ["query_id", "vec_id"]).first()["recall"] >= 0.9
+
+
+def test_quantiles_with_an_outlier_and_even_ranges(spark):
+    rows = [(float(i % 5000),) for i in range(20000)] + [(1e12,), (float("nan"),), (float("inf"),), (None,)]
+    df = spark.createDataFrame(rows, "v double").repartition(8)
+    found = {r["p"]: r["value"] for r in ranks.exact_quantiles(df, ["v"], [0.0, 0.5, 1.0]).collect()}
+    values = [v for (v,) in rows if v is not None and np.isfinite(v)]
+    assert found == {p: float(np.quantile(values, p)) for p in (0.0, 0.5, 1.0)}
+    counts = df.where("v < 1e13").groupBy("v").count()
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(conf, "false")
+    try:
+        sizes = [r["count"] for r in ranks.in_ranges(counts, ["v"]).groupBy("_part").count().collect()]
+    finally:
+        spark.conf.set(conf, "true")
+    assert max(sizes) <= 0.3 * sum(sizes) and len(sizes) >= 6
+
+
+def test_repeated_corrections_and_crosstab_values(spark):
+    log = spark.createDataFrame([(1, False, None), (2, True, 1)], "id int, user_confirmation boolean, feedback_risk int")
+    fixes = spark.createDataFrame([(1, "Low", 1), (1, "High", 3), (1, "Low", 2)], "id int, correct_risk string, at int")
+    assert sorted((r["id"], r["feedback_risk"]) for r in feedback.apply_corrections(log, fixes, "id", "at").collect()) == [(1, 1), (2, 1)]
+    df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "r string, c string")
+    assert profile.crosstab(df, "r", "c").columns == ["r", "x", "y", "z"]
+    with pytest.raises(Exception, match="unlisted value: z"):
+        profile.crosstab(df, "r", "c", ["x", "y"]).collect()
