@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carelake.llm.textbytes import ALNUM, Words, shards, words_of
+from carelake.llm.textbytes import ALNUM, SHARD_BYTES, Words, shards, words_of
 from carelake.session import materialize
 
 WINDOW = 10
@@ -193,7 +193,7 @@ def _scan(q, limit: int) -> Callable:
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = 4 << 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents with n_words, hits (positions of hit words, 64-bit little-endian) and items (sorted ids).
 
     No row is shuffled. A benchmark over ``block_bytes`` is taken in blocks, one pass over the documents each.

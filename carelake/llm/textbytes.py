@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
 LOWER = np.arange(256, dtype=np.uint8)
