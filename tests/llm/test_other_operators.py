@@ -226,3 +226,21 @@ def test_pipeline_stages(spark):
     assert counts[0] > counts[1] >= counts[2] >= counts[3] > 0
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
     assert last.count() == counts[4] and last.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_components_equal_brute_force(spark):
+    from carelake.llm.components import connected_components
+
+    rng = np.random.default_rng(6)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (330, 2))] + [(500 + i, 501 + i) for i in range(60)] + [(999, i) for i in range(700, 760)] + [(5, 5)]
+    label = {x: x for p in pairs if p[0] != p[1] for x in p}
+    for _ in label:
+        changed = False
+        for a, b in pairs:
+            if a != b and label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+        if not changed:
+            break
+    got = connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert {r["node"]: r["label"] for r in got} == label and len(got) == len(label)
