@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from carelake.llm.components import connected_components
 from carelake.session import materialize
 
-SAMPLE, CELL, RECALL, BLOCK, CHUNK = 20_000, 200, 0.999, 2048, 4096
+SAMPLE, CELL, RECALL, BLOCK, CHUNK = 20_000, 400, 0.99, 2048, 4096
 _OUT = "id long, n long, other long"
 
 
@@ -205,8 +205,10 @@ def fit_index(vectors: DataFrame, threshold: float, recall: float = RECALL, samp
 
 def embedding_links(embeddings: DataFrame, threshold: float = 0.9, recall: float = RECALL) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
-    every = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    whole = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))))
+    kind = embeddings.schema["embedding"].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"  # single precision is shuffled as such
+    every = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
+    whole = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v).cast("double") != float("inf")))
     usable = every.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & whole & F.exists("embedding", lambda v: v != 0.0))
     lengths = usable.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     own = usable.where(F.size("embedding") == (lengths[0]["d"] if lengths else 0))
@@ -216,7 +218,7 @@ def embedding_links(embeddings: DataFrame, threshold: float = 0.9, recall: float
     if index is None:
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     shared = embeddings.sparkSession.sparkContext.broadcast(index)  # two codebooks of bounded size
-    schema = "cell long, id long, m long, embedding array<double>"
+    schema = f"cell long, id long, m long, embedding {kind}"
     members = materialize(vectors.mapInArrow(_place(shared, False), schema), "members")
     visitors = vectors.mapInArrow(_place(shared, True), schema)
     cells = members.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
