@@ -33,8 +33,6 @@ _CONTEXT = re.compile(
 )
 _CONTEXT_HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "bearer", "login")
 MIN_VALUE, MIN_COST = 8, 10.0
-#: Longer values are random beyond doubt at this length; their cost is that of all their windows' least.
-WINDOW = 64
 
 # Words that guessers try first, most common first.
 COMMON_WORDS = (
@@ -48,6 +46,8 @@ COMMON_WORDS = (
 _RANK = {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
 _LEET = str.maketrans("013457@$!", "oleastasi")
 _WALKS = tuple(w + "|" + w[::-1] for w in ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz", "1qaz2wsx3edc4rfv5tgb6yhn7ujm"))
+#: Letters of the longest word, walk or date, and what a letter of a brute-force span costs at least.
+LONGEST, CHEAPEST = max(map(len, (*COMMON_WORDS, *_WALKS))), 0.5
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d")
 
 
@@ -61,7 +61,7 @@ def _brute(text: str) -> float:
 
 
 def _segment(text: str) -> float:
-    """log10 guesses of a whole piece as a word, a date, a repeat or a walk; infinite if it is none."""
+    """log10 guesses of a whole piece as a word, a date or a walk; infinite if it is none."""
     n, low, best = len(text), text.lower(), math.inf
     for word, turned in ((low, 0.0), (low.translate(_LEET), 1.0), (low[::-1], 0.3)):
         if rank := _RANK.get(word):
@@ -72,24 +72,50 @@ def _segment(text: str) -> float:
             best = min(best, 1.5 + 0.3 * n)
         if _DATE.fullmatch(text):
             best = min(best, 4.6)
-        for size in range(1, n // 2 + 1):
-            if n % size == 0 and text[:size] * (n // size) == text:
-                best = min(best, _brute(text[:size]) + math.log10(n // size))
-                break
     return best
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses for the cheapest segmentation; long values are costed by their cheapest window."""
-    if len(value) > WINDOW:
-        return min(guess_cost(value[i : i + WINDOW]) for i in range(0, len(value) - WINDOW + 1, WINDOW // 2))
+def guess_cost(value: str, enough: float = MIN_COST) -> float:
+    """log10 of the guesses for the cheapest segmentation of the whole value; costs from ``enough`` on read as ``enough``.
+
+    Costs never fall along a segmentation, so a start at ``enough`` is not extended. Repeats may have any length: a run is
+    carried from its first unit and priced wherever a unit ends.
+    """
     n = len(value)
     cost = [0.0] + [math.inf] * n
-    for end in range(1, n + 1):
-        for start in range(end):
-            piece = value[start:end]
-            cost[end] = min(cost[end], cost[start] + min(_segment(piece), _brute(piece)))
-    return cost[n]
+    runs: dict[int, list[tuple[int, float]]] = {}  # by unit size: start, and cost up to the end of the first unit
+    reach = 0  # last position that a piece from a cheap start ends at
+    for at in range(n + 1):
+        for size, starts in list(runs.items()):
+            if value[at - 1] != value[at - 1 - size]:
+                starts = [s for s in starts if s[0] + 2 * size >= at]  # two units were compared when the run began
+                if starts:
+                    runs[size] = starts
+                else:
+                    del runs[size]
+            for start, base in starts:
+                if (at - start) % size == 0 and at - start >= max(3, 2 * size):
+                    cost[at] = min(cost[at], base + math.log10((at - start) // size))
+        here = cost[at]
+        if here >= enough:
+            if at >= reach and not runs:
+                return enough
+            continue
+        for size in range(1, n - at + 1):
+            if size > LONGEST and here + 1.0 + CHEAPEST * size >= enough:
+                break
+            piece = value[at : at + size]
+            brute = here + _brute(piece)
+            step = min(brute, here + _segment(piece)) if size <= LONGEST else brute
+            if step < enough:
+                cost[at + size] = min(cost[at + size], step)
+                reach = max(reach, at + size)
+            if brute < enough and value.startswith(piece, at + size):
+                # a run that started earlier and goes on here stays cheaper if it is so at the second unit
+                older = runs.get(size, []) if value[at - size : at] == piece else []
+                if not any((at - p) % size == 0 and b + math.log10((at - p) // size + 2) <= brute + math.log10(2) for p, b in older):
+                    runs.setdefault(size, []).append((at, brute))
+    return min(cost[n], enough)
 
 
 def find_secrets(text: str) -> list[tuple[str, int, int]]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from carelake.llm import decontaminate as D
 from carelake.llm import mixing as M
 from carelake.llm import near_dedup as N
+from carelake.llm import secrets as S
 from carelake.llm import token_files as T
 from carelake.llm.secrets import find_secrets, guess_cost, secret_report
 
@@ -275,3 +276,34 @@ def test_guess_cost_orders_values():
     hard = ["Xk9$mQ2!vT7#", "04dbebab91ab8568", "tG7-pL2_wQ9.zR4"]
     assert max(map(guess_cost, easy)) < 8 < min(map(guess_cost, hard))
     assert guess_cost("") == 0 and guess_cost("Zq8!" * 1000) > 0
+
+
+def test_long_values_are_costed_whole():
+    secret = "Xk9$mQ2!vT7#bL4@zR8%wN3&yH6*cJ5^dF1(gS0)"
+    for n in (65, 80, 95, 96, 97, 127, 128, 160, 200):
+        pad = n - len(secret)
+        for value in ("0" * pad + secret, secret + "A" * pad, ("0aB" * n)[:pad] + secret, "0" * (pad // 2) + secret + "0" * (pad - pad // 2)):
+            assert guess_cost(value) == 10.0 and "guess" in {s[0] for s in find_secrets("bearer: " + value)}, value
+    for value in ("0" * 200, "A" * 65, "qwertyuiop" * 20, "0" * 100 + "a" * 100, "0" * 20_000):
+        assert guess_cost(value) < 10.0 and "guess" not in {s[0] for s in find_secrets("pwd: " + value)}, value
+
+
+def test_guess_cost_equals_all_segmentations():
+    def brute(value):
+        cost = [0.0] + [np.inf] * len(value)
+        for end in range(1, len(value) + 1):
+            for start in range(end):
+                piece = value[start:end]
+                step = min(S._segment(piece), S._brute(piece))
+                for size in range(1, len(piece) // 2 + 1) if len(piece) > 2 else ():
+                    if piece[:size] * (len(piece) // size) == piece:
+                        step = min(step, S._brute(piece[:size]) + np.log10(len(piece) // size))
+                cost[end] = min(cost[end], cost[start] + step)
+        return cost[-1]
+
+    rng = np.random.default_rng(7)
+    for _ in range(400):
+        parts = rng.choice(["0", "ab", "Aaa", "password", "2021", "qwert", "x", "!", "P4ss", "漢", "zyxw"], rng.integers(1, 9))
+        value = "".join(p * int(rng.choice([1, 1, 2, 3, 9])) for p in parts)[:70]
+        whole = brute(value)
+        assert guess_cost(value, 1000.0) == pytest.approx(whole) and guess_cost(value) == pytest.approx(min(whole, 10.0)), value
