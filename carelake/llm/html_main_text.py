@@ -6,6 +6,9 @@ The minimum cut (maximum flow) labels all blocks of a page together.
 
 Character references are decoded, white space inside a block is one space, and content blocks are joined by one space.
 
+Text inside noscript, template, svg, select and annotations is boilerplate; math and the fallback of an object belong to the
+text around them. Only script, style, title, textarea and iframe are skipped as raw text.
+
 Defined results: a null or empty html gives an empty text; markup that is not closed ends where its parent or the page
 does; a page without content blocks gives an empty text; repeated rows each get their own result.
 """
@@ -23,11 +26,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)/?>""", re.DOTALL)
-_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.IGNORECASE) for t in ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "select")}
+_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.IGNORECASE) for t in ("script", "style", "title", "textarea", "iframe")}
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
-_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img object param "
+    "math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup "
+    "msup mtable mtd mtext mtr munder munderover none semantics".split()
+)
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: Elements whose text is not shown in the line they stand in: boilerplate blocks beside the text around them.
+_BESIDE = frozenset("noscript template svg select annotation annotation-xml".split())
+#: Start tags that end an open svg, as the HTML standard has it.
+_LEAVES_SVG = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s "
+    "small span strong strike sub sup table tt u ul var".split()
+)
 _SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Words of class, id and role that name boilerplate.
 _HINTS = frozenset(
@@ -59,6 +73,9 @@ def parse_blocks(page: str) -> list[Block]:
     stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, number, in an article, boilerplate
     parts: list[str] = []
     linked, count, links, at = 0, 0, 0, 0
+    beside = 0  # place in the stack of the open element beside the text, or 0
+    around: tuple[list[str], int] = ([], 0)  # parts and linked of the text around it
+    held: list[Block] = []  # its blocks, which follow the block around it
 
     def flush() -> None:
         nonlocal linked
@@ -67,9 +84,12 @@ def parse_blocks(page: str) -> list[Block]:
             if text:
                 tag, _, article, bad = stack[-1]
                 block = next((t for t, *_ in reversed(stack) if t not in _INLINE), "")
-                out.append(Block(text, tuple(n for t, n, *_ in stack if t not in _INLINE), block, linked, article, bad))
+                (held if beside else out).append(Block(text, tuple(n for t, n, *_ in stack if t not in _INLINE), block, linked, article, bad))
             parts.clear()
         linked = 0
+        if held and not beside:
+            out.extend(held)
+            held.clear()
 
     def add(raw: str) -> None:
         nonlocal linked
@@ -86,6 +106,14 @@ def parse_blocks(page: str) -> list[Block]:
                 del stack[i:]
                 return
 
+    def leave() -> None:
+        nonlocal beside, linked, links
+        flush()
+        links -= sum(t == "a" for t, *_ in stack[beside:])
+        del stack[beside:]
+        beside = 0
+        parts[:], linked = around
+
     while m := _TOKEN.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
@@ -94,12 +122,21 @@ def parse_blocks(page: str) -> list[Block]:
             continue
         tag = m[2].lower()
         if m[1]:
+            if beside and any(t == tag for t, *_ in stack[1 : beside + 1]) and all(t != tag for t, *_ in stack[beside + 1 :]):
+                own = stack[beside][0] == tag
+                leave()
+                if own:
+                    continue
             if tag not in _INLINE:
                 flush()
             close(tag)
             continue
+        if beside and tag in _LEAVES_SVG and stack[beside][0] == "svg" and all(t != "foreignobject" for t, *_ in stack[beside:]):
+            leave()
+        if m[3].endswith("/") and (tag in ("svg", "math") or any(t in ("svg", "math") for t, *_ in stack)):
+            continue
         if tag in _RAW:
-            if tag not in _INLINE and tag in ("title", "textarea", "iframe", "select"):
+            if tag in ("title", "textarea", "iframe"):
                 flush()
             end = _RAW[tag].search(page, at)
             at = end.end() if end else len(page)
@@ -110,20 +147,24 @@ def parse_blocks(page: str) -> list[Block]:
         if tag in _INLINE:
             if tag in _VOID:
                 continue
+        elif tag in _BESIDE and not beside:
+            beside, around = len(stack), (parts[:], linked)
+            parts.clear()
+            linked = 0
         else:
             flush()
             if tag in _VOID:
                 continue
-            if tag in _CLOSES_P and any(t == "p" for t, *_ in stack):
+            if tag in _CLOSES_P and any(t == "p" for t, *_ in stack[beside:]):
                 close("p")
             for other in _SELF_CLOSING.get(tag, ()):
                 if stack[-1][0] == other:
                     close(other)
         count += 1
         _, _, article, bad = stack[-1]
-        bad = bad or tag in _BAD_TAGS or (tag == "header" and not article)
+        bad = bad or tag in _BAD_TAGS or tag in _BESIDE or (tag == "header" and not article)
         if tag in ("article", "main"):
-            bad, article = bad and any(t in _BAD_TAGS for t, *_ in stack), True
+            bad, article = bad and any(t in _BAD_TAGS or t in _BESIDE for t, *_ in stack), True
         if m[3] and tag not in ("body", "html"):
             for name, value in _ATTR.findall(m[3]):
                 name, value = name.lower(), value.strip("\"'").lower()
@@ -137,6 +178,8 @@ def parse_blocks(page: str) -> list[Block]:
         stack.append((tag, count, article, bad))
     if at < len(page):
         add(page[at:])
+    if beside:
+        leave()
     flush()
     return out
 

@@ -164,6 +164,31 @@ def test_main_text():
     assert len(main_text("<article>" + "<p>a b</p>" * 20_000 + "</article>")) == 20_000 * 4 - 1
 
 
+WHOLE, OPEN = "First words, then more.", "First words"
+
+
+@pytest.mark.parametrize(
+    ("inner", "first"),
+    [
+        ("<svg class='icon' width='1'/>", WHOLE), ("<math/>", WHOLE), ("<svg><path d='M0'/><title>icon</title><style/></svg>", WHOLE),
+        ("<svg><text>Label</text></svg>", WHOLE), ("<template><div>Inert</div></template>", WHOLE), ("<noscript><p>Turn it on</p></noscript>", WHOLE),
+        ("<svg><foreignObject><p>In a picture</p></foreignObject></svg>", WHOLE), ("<object data=x><param name=y>", WHOLE),
+        # not closed: ends with the paragraph, not at a later end tag or with the page
+        ("<svg><path d='M0'>", OPEN), ("<template><div>Inert</div>", OPEN), ("<noscript><img src=x>Turn it on", OPEN), ("<select><option>One<option>Two", OPEN),
+        ("<math><mi>E</mi><mo>=</mo><mi>m</mi></math>", "First wordsE=m, then more."), ("<object data=x>Seen</object>", "First wordsSeen, then more."),
+        ("<math><semantics><mi>x</mi><annotation>\\x</annotation></semantics></math>", "First wordsx, then more."), ("<object data=x>Seen", "First wordsSeen, then more."),
+    ],
+)
+def test_main_text_around_elements(inner, first):
+    for last in ("Last one here.", "Last <svg><text>L</text></svg>one here.", "Last one <noscript>N</noscript><template>T</template>here."):
+        page = f"<article><p>First words{inner}, then more.</p><p>{last}</p></article><svg><text>x</text></svg><noscript>y</noscript><template></template>"
+        assert main_text(page) == first + " Last one here."
+
+
+def test_svg_ends_at_html():
+    assert main_text("<article><p>One.</p><svg><path><p>Two.</p><p>Three.</p></article>") == "One. Two. Three."
+
+
 def test_minimum_cut_equals_brute_force():
     rng = np.random.default_rng(2)
     for _ in range(60):
