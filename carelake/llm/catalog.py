@@ -11,6 +11,7 @@ import corpus_pipeline
 from carelake.llm import oracles
 from carelake.llm.decontaminate import contamination_report
 from carelake.llm.embedding_dedup import embedding_links
+from carelake.llm.filter_audit import filter_audit
 from carelake.llm.html_main_text import extract_main_text
 from carelake.llm.mixing import mix_report
 from carelake.llm.near_dedup import near_duplicates
@@ -92,6 +93,11 @@ def op2_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(_table(spark, sf_dir, "embeddings"))
 
 
+@_query("op11_filter_audit", oracles.OP11)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @_query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

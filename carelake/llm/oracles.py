@@ -58,3 +58,33 @@ c AS (SELECT vec_id, min(other) AS c FROM reach GROUP BY vec_id)
 SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(c, e.vec_id) AS component_id, coalesce(c, e.vec_id) = e.vec_id AS kept
 FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
 """
+
+OP11 = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+flags AS (
+  SELECT part, doc_id, (CASE WHEN len(w) < 50 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+    || (CASE WHEN coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) THEN 'E' ELSE '' END) AS fails
+  FROM d),
+counts AS (
+  SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM flags LEFT JOIN marks USING (doc_id) GROUP BY 1, 2),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (
+  SELECT part, filter_order, step, filter_order[step] AS letter, n, good, toxic, fails, contains(fails, filter_order[step]) AS here,
+    translate(filter_order[1:step - 1], fails, '') = filter_order[1:step - 1] AS reached
+  FROM counts, orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+audit AS (
+  SELECT part, filter_order, step, letter, sum(CASE WHEN reached AND NOT here THEN n ELSE 0 END) AS kept, sum(CASE WHEN reached AND here THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN here AND NOT reached THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = letter THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN reached AND here THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN reached AND here THEN toxic ELSE 0 END) AS toxic_lost
+  FROM steps GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM audit
+"""
