@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from carelake.llm import oracles
+from carelake.llm.conversation_repair import damaged, repair_report
 from carelake.llm.decontaminate import contamination_report
 from carelake.llm.embedding_dedup import embedding_links
 from carelake.llm.filter_audit import filter_audit
@@ -98,6 +99,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+@_query("op12_conversation_repair", oracles.OP12)
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(damaged(_table(spark, sf_dir, "conversations")))
+
+
 @_query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

@@ -88,3 +88,64 @@ SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS remove
   good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
 FROM audit
 """
+
+OP12 = r"""
+WITH RECURSIVE bits AS (
+  SELECT k, k AS c, 0 AS i FROM range(256) r(k)
+  UNION ALL SELECT k, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i + 1 FROM bits WHERE i < 8),
+crc AS (SELECT list(c ORDER BY k) AS t FROM bits WHERE i = 8),
+raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') AS k,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+  FROM conversations),
+fated AS (
+  SELECT raw.*, xor(list_reduce(list_transform(range(1, length(key) + 1), lambda i: ord(key[i])::BIGINT),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS fate
+  FROM raw, crc),
+dam AS (
+  SELECT k, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM fated, range(2) r(again) WHERE fate <> 0 AND (again = 0 OR fate = 3)),
+ord AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, left(role, 1) AS c,
+    NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS unfinished
+  FROM dam),
+num AS (SELECT *, blank OR i > min(i) OVER (PARTITION BY k, role, text) AS must_go FROM ord),
+ins AS (SELECT * FROM (VALUES (0,0,0),(0,1,2),(0,2,3),(1,0,1),(1,1,2),(1,2,3),(2,0,2),(2,1,3),(3,0,3),(3,1,2)) v(st, j, y)),
+edit AS (SELECT unnest(['D', 'K', 'R']) AS e),
+walk AS (
+  SELECT DISTINCT k, 0::BIGINT AS i, 0 AS st, '000000000:' AS w FROM raw
+  UNION ALL
+  SELECT k, i, too, min(lpad((left(w, 9)::INT + spent)::VARCHAR, 9, '0') || ':' || w[11:] || repeat('I', j) || e)
+  FROM (
+    SELECT n.k, n.i, w, j, e,
+      CASE WHEN e = 'D' THEN y WHEN e = 'R' THEN CASE WHEN y = 2 THEN 3 ELSE 2 END ELSE CASE c WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END END AS too,
+      5 * j + CASE e WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN e <> 'D' AND unfinished THEN 5 ELSE 0 END AS spent
+    FROM walk JOIN num n ON n.k = walk.k AND n.i = walk.i + 1 JOIN ins ON ins.st = walk.st, edit
+    WHERE e = 'D' OR NOT must_go AND (e = 'R' OR c = 's' AND y = 0 OR c = 'u' AND y <> 2 OR c = 'a' AND y = 2))
+  GROUP BY k, i, too),
+n AS (SELECT k, max(i) AS n FROM walk GROUP BY k),
+done AS (
+  SELECT k, min(lpad((left(w, 9)::INT + CASE st WHEN 1 THEN 10 WHEN 2 THEN 5 ELSE 0 END)::VARCHAR, 9, '0') || ':' || w[11:]
+    || CASE st WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END) AS w
+  FROM walk JOIN n USING (k) WHERE i = n GROUP BY k),
+plan AS (SELECT k, left(w, 9)::BIGINT AS cost, w[11:] AS audit FROM done),
+steps AS (
+  SELECT k, p, audit[p] AS e, count(CASE WHEN audit[p] <> 'I' THEN 1 END) OVER o AS i, count(CASE WHEN audit[p] <> 'D' THEN 1 END) OVER o AS place
+  FROM (SELECT k, audit, unnest(range(1, length(audit) + 1)) AS p FROM plan) WINDOW o AS (PARTITION BY k ORDER BY p)),
+fixed AS (
+  SELECT s.k, s.e, s.place, n.role, n.c, CASE WHEN s.e = 'I' THEN '' ELSE n.text END AS text
+  FROM steps s LEFT JOIN num n ON n.k = s.k AND n.i = s.i AND s.e <> 'I' WHERE s.e <> 'D'),
+led AS (SELECT k, max(CASE WHEN place = 1 AND e = 'K' AND c = 's' THEN 1 ELSE 0 END) AS s FROM fixed GROUP BY k),
+texts AS (
+  SELECT k, string_agg(CASE WHEN e = 'K' THEN role WHEN (place - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY place) AS t
+  FROM fixed JOIN led USING (k) GROUP BY k),
+facts AS (
+  SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(CASE WHEN blank THEN 1 END) AS blank,
+    count(CASE WHEN must_go AND NOT blank THEN 1 END) AS duplicate, count(CASE WHEN unfinished AND NOT must_go THEN 1 END) AS truncated,
+    count(CASE WHEN NOT legal THEN 1 END) AS illegal
+  FROM (SELECT *, lag(c) OVER (PARTITION BY k ORDER BY i) || c IN ('su', 'ua', 'au') AS legal FROM num) GROUP BY k)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, cost, audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, k FROM raw) a JOIN plan USING (k) LEFT JOIN facts USING (k) LEFT JOIN texts USING (k)
+"""
