@@ -16,6 +16,7 @@ from carelake.llm.filter_audit import filter_audit
 from carelake.llm.html_main_text import extract_main_text
 from carelake.llm.mixing import mix_report
 from carelake.llm.near_dedup import near_duplicates
+from carelake.llm.personal_data import personal_data_report
 from carelake.llm.quality import quality_scores
 from carelake.llm.secrets import secret_report
 from carelake.llm.token_files import token_report
@@ -104,6 +105,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(damaged(_table(spark, sf_dir, "conversations")))
 
 
+@_query("op13_personal_data")
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_report(_table(spark, sf_dir, "documents"))
+
+
 @_query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
