@@ -1,15 +1,17 @@
 """How quality filters interact: what every filter removes in every order, from a sparse document-term matrix.
 
-Texts are cut into shards of whole rows. A shard keeps its rows as a sparse matrix over its own words; the words of all
-shards are then numbered once, densely, and the shards are recoded to those numbers. Row sums of the matrix are word counts,
+Texts are cut into shards of whole rows. A shard keeps its rows as a sparse matrix over its own words, ordered by hash. All
+shards' words are then numbered once: a range of hashes is a bucket, a bucket's task numbers its words in a dictionary by their
+bytes, and bucket and number together are the global term. Shards are recoded to terms. Row sums of the matrix are word counts,
 its stored entries per row are distinct words; these decide filters A and B. C, D and E are attached, documents are counted by
 part and set of failed filters, and all 120 orders are evaluated on those counts.
 
-Only a shard's vocabulary is shuffled, never its text, and a word occurs there once however often it stands in the shard.
+Only a shard's vocabulary goes to the buckets, never its text, and a word occurs there once however often it stands in the
+shard. Buckets grow in number with the vocabularies, so a task holds about ``BUCKET_BYTES`` of words; occurrences stream through.
 Copies meet by the SHA-256 of the text: their smallest id is aggregated first, and the written result is joined back, so that
 a large group of copies can be split. A part becomes at most 32 rows before orders are considered.
 
-Defined results: a null text is empty, a null source is the empty part; an empty text fails E only, if a smaller id is empty
+Defined results: a null text is empty, a null source is the empty part; an empty text fails A, and E if a smaller id is empty
 too. Rows that repeat an id count each, and are no copies of each other (E asks for a smaller id); a row without an id fails
 no E and has no label. An id with several label rows is good or toxic if any of them says so. An empty table gives no rows.
 """
@@ -21,14 +23,17 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from carelake.llm.textbytes import SPACED, shards, text_bytes, words_of
+from carelake.llm.textbytes import SPACED, Words, shards, text_bytes, words_of
 from carelake.session import materialize
 
 #: Bytes of text in a shard; a longer text is a shard of its own.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
+#: Bytes of words in a bucket of the dictionary.
+BUCKET_BYTES = 4 << 20
 FILTERS = "ABCDE"
 MIN_WORDS, MIN_DISTINCT, MAX_CAPITALS = 50, 65, 5
 _CAPITAL = np.array([65 <= b <= 90 for b in range(256)])
@@ -47,74 +52,139 @@ def _listed(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
+def _packed(values: np.ndarray, kind: type) -> pa.Array:
+    return pa.array([values.astype(kind).tobytes()], pa.binary())
+
+
 def _local_matrix(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """One row: the documents of a shard, their matrix over the shard's own words, and those words."""
+    """One row: the documents of a shard, their matrix over the shard's own words, and those words in order of their hashes."""
     texts = batch.column("text")
     buf, offsets = text_bytes(texts)
     words = words_of(texts, SPACED, lower=False)
     ends = np.concatenate([[0], np.cumsum(words.ends - words.starts)]).astype(np.int64)
-    letters = buf[SPACED[buf]] if len(buf) else buf
-    spelled = pa.LargeStringArray.from_buffers(len(words.starts), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(letters)))
-    coded = spelled.dictionary_encode()
+    letters = np.ascontiguousarray(buf[SPACED[buf]]) if len(buf) else buf
+    coded = pa.LargeStringArray.from_buffers(len(words.starts), pa.py_buffer(ends), pa.py_buffer(letters)).dictionary_encode()
     size = max(1, len(coded.dictionary))
-    cells, counts = np.unique(words.doc * size + coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+    spelled, at = text_bytes(coded.dictionary)
+    order = np.argsort(Words(spelled, at[:-1], at[1:], np.zeros(len(at) - 1, np.int64), 1).hashes(), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    local = rank[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
+    cells, counts = np.unique(words.doc * size + local, return_counts=True)
     indptr = np.concatenate([[0], np.cumsum(np.bincount(cells // size, minlength=len(texts)))])
     points = (offsets[1:] - offsets[:-1]) - _per_row(_FOLLOWS[buf], offsets)
     columns = {
-        "doc_ids": batch.column("doc_id"),
-        "parts": batch.column("part"),
-        "digests": batch.column("digest"),
-        "fails_c": pa.array(100 * _per_row(_CAPITAL[buf], offsets) > MAX_CAPITALS * points),
-        "fails_d": pa.array(_per_row(_MARK[buf], offsets) > 0),
-        "indptr": pa.array(indptr, pa.int64()),
-        "codes": pa.array(cells % size, pa.int32()),
-        "counts": pa.array(counts, pa.int32()),
-        "words": coded.dictionary.cast(pa.string()),
+        "doc_ids": _listed(batch.column("doc_id")),
+        "parts": _listed(batch.column("part")),
+        "digests": _listed(batch.column("digest")),
+        "fails_c": _listed(pa.array(100 * _per_row(_CAPITAL[buf], offsets) > MAX_CAPITALS * points)),
+        "fails_d": _listed(pa.array(_per_row(_MARK[buf], offsets) > 0)),
+        "indptr": _packed(indptr, np.int64),
+        "codes": _packed(cells % size, np.int32),
+        "counts": _packed(counts, np.int32),
+        "words": pc.binary_join(_listed(coded.dictionary.take(pa.array(order)).cast(pa.binary())), b"\n"),
     }
-    return pa.RecordBatch.from_arrays([_listed(c) for c in columns.values()], names=list(columns))
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _cells(bits: int):
+    """(bucket, shard, words) for every bucket that a shard has words of; the first ``bits`` bits of a hash are its bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, blob in zip(batch.column("shard"), batch.column("words"), strict=True):
+                words = words_of(pa.array([blob.as_buffer().to_pybytes().decode()]), SPACED, lower=False)
+                if len(words.starts):
+                    bucket = (words.hashes() >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(words.starts), np.int64)
+                    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+                    last = np.append(first[1:], len(bucket)) - 1
+                    parts = [words.buf[words.starts[i] : words.ends[j]].tobytes() for i, j in zip(first, last, strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(bucket[first]), pa.array([shard.as_py()] * len(first), pa.int64()), pa.array(parts, pa.binary())], names=["bucket", "shard", "words"]
+                    )
+
+    return run
+
+
+def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[bytes], dict[bytes, int]]]:
+    """(bucket, shard, words, numbers of the bucket's words so far) in the order of bucket and shard."""
+    at, known = None, {}
+    for batch in batches:
+        for bucket, shard, blob in zip(*(batch.column(c) for c in ("bucket", "shard", "words")), strict=True):
+            if bucket.as_py() != at:
+                at, known = bucket.as_py(), {}
+            yield at, shard.as_py(), blob.as_py().split(b"\n"), known
+
+
+def _terms(bits: int):
+    """The terms of a cell's words. A term is the word's number in its bucket, then the bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, shard, words, known in _bucket_rows(batches):
+            number = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+            row = [pa.array([shard], pa.int64()), pa.array([bucket], pa.int64()), _packed((number << bits) + bucket, np.int64)]
+            yield pa.RecordBatch.from_arrays(row, names=["shard", "bucket", "terms"])
+
+    return run
+
+
+def _vocabulary(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, _, words, known in _bucket_rows(batches):
+            new = [w.decode() for w in words if w not in known]
+            terms = [(len(known) + i << bits) + bucket for i in range(len(new))]
+            known.update((w.encode(), len(known)) for w in new)
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()), pa.array(terms, pa.int64())], names=["word", "term"])
+
+    return run
+
+
+_SHARD = ("doc_ids", "parts", "digests", "fails_c", "fails_d", "indptr", "codes", "counts")
 
 
 def _recode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shards with the numbers of the global dictionary, ascending in every row."""
+    """Shards over global terms, ascending in every row. A shard's own row comes first, then its terms by bucket."""
+    shard, terms = None, []
+
+    def recoded() -> pa.RecordBatch:
+        codes, counts = (np.frombuffer(shard.column(c)[0].as_py(), np.int32) for c in ("codes", "counts"))
+        indptr = np.frombuffer(shard.column("indptr")[0].as_py(), np.int64)
+        known = np.concatenate([np.frombuffer(t, np.int64) for t in terms]) if terms else np.zeros(0, np.int64)
+        new = known[codes]
+        order = np.lexsort((new, np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))))
+        changed = {"codes": _packed(new[order], np.int64), "counts": _packed(counts[order], np.int32)}
+        return pa.RecordBatch.from_arrays([changed.get(n, shard.column(n)) for n in _SHARD], names=list(_SHARD))
+
     for batch in batches:
         for row in range(batch.num_rows):
             one = batch.slice(row, 1)
-            codes, counts, indptr = (one.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("codes", "counts", "indptr"))
-            terms = one.column("terms").flatten().to_numpy(zero_copy_only=False)[codes] if len(codes) else np.zeros(0, np.int64)
-            order = np.lexsort((terms, np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))))
-            new = {"codes": _listed(pa.array(terms[order], pa.int64())), "counts": _listed(pa.array(counts[order], pa.int32()))}
-            names = [n for n in one.schema.names if n != "terms"]
-            yield pa.RecordBatch.from_arrays([new.get(n, one.column(n)) for n in names], names=names)
+            if one.column("bucket")[0].as_py() < 0:
+                if shard is not None:
+                    yield recoded()
+                shard, terms = one, []
+            else:
+                terms.append(one.column("terms")[0].as_py())
+    if shard is not None:
+        yield recoded()
 
 
 def _row_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every document with its row sum and its number of stored entries."""
     for batch in batches:
         for row in range(batch.num_rows):
-            one = {n: batch.column(n).slice(row, 1).flatten() for n in batch.schema.names}
-            indptr = one["indptr"].to_numpy(zero_copy_only=False)
-            total = np.concatenate([[0], np.cumsum(one["counts"].to_numpy(zero_copy_only=False).astype(np.int64))])
-            columns = [one["doc_ids"], one["parts"], one["digests"], one["fails_c"], one["fails_d"]]
-            columns += [pa.array(total[indptr[1:]] - total[indptr[:-1]], pa.int64()), pa.array(np.diff(indptr), pa.int64())]
+            one = {n: batch.column(n).slice(row, 1).flatten() for n in _SHARD[:5]}
+            indptr = np.frombuffer(batch.column("indptr")[row].as_py(), np.int64)
+            counts = np.frombuffer(batch.column("counts")[row].as_py(), np.int32)
+            total = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+            columns = [*one.values(), pa.array(total[indptr[1:]] - total[indptr[:-1]]), pa.array(np.diff(indptr))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "digest", "fails_c", "fails_d", "n_words", "n_distinct"])
 
 
-def numbered(values: DataFrame, name: str) -> DataFrame:
-    """Distinct rows with dense numbers from 0 in column ``name``; written, so that a repeated task sees the same numbers.
-
-    The driver learns one count for each partition.
-    """
-    rows = materialize(values.withColumn("_at", F.monotonically_increasing_id()), "vocabulary")
-    split = F.shiftright("_at", 33)
-    sizes = {r["split"]: r["count"] for r in rows.groupBy(split.alias("split")).count().collect()}
-    before = np.concatenate([[0], np.cumsum([sizes.get(k, 0) for k in range(max(sizes, default=-1) + 1)])]).tolist()
-    return rows.select("*", (F.get(F.lit(before), split.cast("int")) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias(name)).drop("_at")
-
-
-def term_matrix(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+def term_matrix(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
     """The vocabulary (word, term) and the matrix in shards, one row each.
 
-    A shard has doc_ids, parts, digests, fails_c, fails_d for its documents, and indptr, codes (terms) and counts.
+    A shard has doc_ids, parts, digests, fails_c, fails_d for its documents, and as packed numbers indptr (64 bits), codes
+    (terms, 64 bits) and counts (32 bits). No two words share a term; terms have gaps.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -123,18 +193,19 @@ def term_matrix(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFr
             for shard in shards(batch, "text", shard_bytes):
                 yield _local_matrix(shard)
 
-    rows = docs.select(
-        "doc_id", F.coalesce("source", F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("text"),
-        F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"),
-    )
-    meta = f"doc_ids array<{kind}>, parts array<string>, digests array<binary>, fails_c array<boolean>, fails_d array<boolean>"
-    local = rows.mapInArrow(build, f"{meta}, indptr array<bigint>, codes array<int>, counts array<int>, words array<string>")
-    local = materialize(local.withColumn("shard", F.monotonically_increasing_id()), "shards")
-    words = local.select("shard", F.posexplode("words").alias("at", "word"))
-    vocabulary = numbered(words.select("word").distinct(), "term")
-    terms = words.join(vocabulary, "word").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("at", "term"))).getField("term").alias("terms"))
-    joined = local.drop("words").join(terms, "shard", "left").drop("shard")
-    return vocabulary, joined.mapInArrow(_recode, f"{meta}, indptr array<bigint>, codes array<bigint>, counts array<int>")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    fields = f"doc_ids array<{kind}>, parts array<string>, digests array<binary>, fails_c array<boolean>, fails_d array<boolean>, indptr binary, codes binary, counts binary"
+    local = rows.mapInArrow(build, f"{fields}, words binary").withColumn("shard", F.monotonically_increasing_id())
+    local = materialize(local, "shards")
+    total = local.agg(F.sum(F.length("words"))).first()[0] or 0
+    bits = max(0, (total // bucket_bytes).bit_length())
+    cells = local.select("shard", "words").mapInArrow(_cells(bits), "bucket long, shard long, words binary")
+    cells = cells.repartition("bucket").sortWithinPartitions("bucket", "shard")
+    terms = cells.mapInArrow(_terms(bits), "shard long, bucket long, terms binary")
+    own = local.drop("words").withColumn("bucket", F.lit(-1).cast("long"))
+    both = own.unionByName(terms, allowMissingColumns=True).repartition("shard").sortWithinPartitions("shard", "bucket")
+    return cells.mapInArrow(_vocabulary(bits), "word string, term long"), both.mapInArrow(_recode, fields)
 
 
 def failed_filters(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:

@@ -1,6 +1,7 @@
 import re
 from itertools import permutations
 
+import numpy as np
 import pytest
 from llm_edges import edge_docs, no_docs  # noqa: F401
 
@@ -71,14 +72,17 @@ def test_empty_tables(spark, no_docs, edge_docs, labels):
     assert unlabelled.count() > 0 and unlabelled.where("good_lost + toxic_lost > 0").count() == 0
 
 
-def test_matrix_holds_every_word_once(spark, edge_docs):
-    vocabulary, matrix = A.term_matrix(edge_docs, 400)
-    words = {r["term"]: r["word"] for r in vocabulary.collect()}
+@pytest.mark.parametrize("bucket_bytes", [A.BUCKET_BYTES, 100])
+def test_matrix_holds_every_word_once(spark, edge_docs, bucket_bytes):
+    vocabulary, matrix = A.term_matrix(edge_docs, 400, bucket_bytes)
+    pairs = [(r["term"], r["word"]) for r in vocabulary.collect()]
+    words = dict(pairs)
     texts = [re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "") for r in edge_docs.collect()]
-    assert sorted(words) == list(range(len(words))) and sorted(words.values()) == sorted({w for t in texts for w in t})
+    assert len(words) == len(pairs) and sorted(words.values()) == sorted({w for t in texts for w in t})
     rows = []
     for s in matrix.collect():
-        for i in range(len(s["doc_ids"])):
-            a, b = s["indptr"][i : i + 2]
-            rows.append(sorted((words[c], n) for c, n in zip(s["codes"][a:b], s["counts"][a:b], strict=True)))
+        indptr, codes, counts = (np.frombuffer(s[c], k) for c, k in (("indptr", np.int64), ("codes", np.int64), ("counts", np.int32)))
+        for a, b in zip(indptr, indptr[1:], strict=False):
+            assert (np.diff(codes[a:b]) > 0).all()
+            rows.append(sorted((words[c], int(n)) for c, n in zip(codes[a:b], counts[a:b], strict=True)))
     assert sorted(rows) == sorted(sorted((w, t.count(w)) for w in set(t)) for t in texts)
