@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carelake.functions.columns import celsius, format_fixed
-from carelake.operators import clean, feedback, metrics, retrieve
+from carelake.operators import clean, feedback, metrics, neighbours
 from carelake.operators.ranks import one_row
 from carelake.operators.split import stratified_folds, stratified_split
 from carelake.plans import clinical as cfg
@@ -188,7 +188,7 @@ def _fit_knn(train: DataFrame, features: Sequence[str]) -> Fitted:
 
     def predict(df: DataFrame) -> DataFrame:
         test = ready(df)
-        voted = retrieve.knn_classify(ready(train), test, "patient_id", "label", k=5)
+        voted = neighbours.knn_classify(ready(train), test, "patient_id", "label", k=5)
         return voted.join(test.select("patient_id", "label"), "patient_id").select("label", "prediction", "p_high")
 
     return predict

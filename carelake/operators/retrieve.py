@@ -128,8 +128,8 @@ def _tiled(c: DataFrame, q: DataFrame, k: int, metric: str, cell: str | None = N
     def blocks(df: DataFrame) -> Column:
         # one entry per cell
         sizes = {r["_cell"]: r["count"] for r in df.groupBy("_cell").count().collect()}
-        pairs = [x for cell_id, n in sizes.items() for x in (F.lit(cell_id), F.lit(math.ceil(n / BLOCK_ROWS)))]
-        return F.coalesce(F.create_map(*pairs)[F.col("_cell")], F.lit(1)) if pairs else F.lit(1)
+        counts = [math.ceil(sizes.get(i, 1) / BLOCK_ROWS) for i in range(max(sizes, default=0) + 1)]
+        return F.coalesce(F.get(F.lit(counts), F.col("_cell")), F.lit(1))
 
     c_blocks, q_blocks = blocks(c), blocks(q)
     left = c.select(
@@ -312,14 +312,3 @@ def search_requests(
     hits = relevant(top_k(index, vectors, k, corpus_id, "_query"), floor)
     valid = materialize(with_valid_text(hits, index, corpus_id, terms=terms), "query-hits")
     return fuse(valid.join(keyed.select("_query", request, "query_ord", "weight"), "_query"), request)
-
-
-def knn_classify(train: DataFrame, test: DataFrame, key: str, label: str, k: int = 5, vector: str = "embedding") -> DataFrame:
-    """Share of positive labels among the k nearest training rows, and the majority vote."""
-    near = top_k(
-        train.withColumnRenamed(key, "_train"), test, k, "_train", key, vector, metric="euclidean"
-    )
-    labelled = near.join(train.select(F.col(key).alias("_train"), F.col(label).alias("_label")), "_train")
-    return labelled.groupBy(key).agg(F.avg("_label").alias("p_high")).withColumn(
-        "prediction", (F.col("p_high") > 0.5).cast("int")
-    )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from carelake.functions import text as tx
 from carelake.functions.columns import WHITESPACE, WS_CLASS
-from carelake.operators import corpus, metrics, retrieve, risk, split
+from carelake.operators import corpus, metrics, neighbours, retrieve, risk, split
 from carelake.plans import clinical as cfg
 from carelake.plans.fixtures import patients, with_views
 from carelake.plans.metric_queries import SCALED_VIEW
@@ -282,6 +282,14 @@ def advice_report(spark, sf_dir):
 # ---- nearest neighbours -------------------------------------------------------------------
 
 
+def _scaled_parts(spark, sf_dir):
+    df = split.stratified_split(patients(spark, sf_dir), cfg.TARGET, "patient_id")
+    scaled = metrics.standard_scale(df, metrics.scale_parameters(df.where("NOT is_test"), cfg.FEATURES))
+    ready = scaled.select("patient_id", "is_test", (F.col(cfg.TARGET) == "High").cast("int").alias("label"),
+                          F.array(*cfg.FEATURES).alias("embedding"))
+    return ready.where("NOT is_test"), ready.where("is_test")
+
+
 @query("knn_classify", with_views("patients", SCALED_VIEW + """, d AS (SELECT t.patient_id, r.patient_id AS near, r.nivo_rizika, round("""
        + " + ".join(f"(t.{c} - r.{c}) * (t.{c} - r.{c})" for c in cfg.FEATURES) + """, 9) AS d2
   FROM (SELECT * FROM z WHERE is_test) t, (SELECT * FROM z WHERE NOT is_test) r),
@@ -289,9 +297,14 @@ n AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY patient_id ORDER B
 SELECT patient_id, round(avg(CASE WHEN nivo_rizika = 'High' THEN 1 ELSE 0 END), 6) AS p_high,
   CASE WHEN avg(CASE WHEN nivo_rizika = 'High' THEN 1 ELSE 0 END) > 0.5 THEN 1 ELSE 0 END AS prediction FROM n GROUP BY patient_id"""))
 def knn_classify(spark, sf_dir):
-    df = split.stratified_split(patients(spark, sf_dir), cfg.TARGET, "patient_id")
-    scaled = metrics.standard_scale(df, metrics.scale_parameters(df.where("NOT is_test"), cfg.FEATURES))
-    ready = scaled.select("patient_id", "is_test", (F.col(cfg.TARGET) == "High").cast("int").alias("label"),
-                          F.array(*cfg.FEATURES).alias("embedding"))
-    found = retrieve.knn_classify(ready.where("NOT is_test"), ready.where("is_test"), "patient_id", "label", k=5)
+    train, test = _scaled_parts(spark, sf_dir)
+    found = neighbours.knn_classify(train, test, "patient_id", "label", k=5)
     return found.select("patient_id", F.round("p_high", 6).alias("p_high"), "prediction")
+
+
+@query("knn_pruning", with_views("patients", SCALED_VIEW + " SELECT count(*) * 5 AS hits, TRUE AS under_a_fifth FROM z WHERE is_test"))
+def knn_pruning(spark, sf_dir):
+    """Neighbours found, and whether less than a fifth of all pairs were compared for them, where there are ten million or more."""
+    train, test = _scaled_parts(spark, sf_dir)
+    join = neighbours.knn_join(train.withColumnRenamed("patient_id", "near"), test, 5, "near", "patient_id")
+    return join.hits.agg(F.count("*").alias("hits"), F.lit(5 * join.compared < join.possible or join.possible < 10**7).alias("under_a_fifth"))
