@@ -8,21 +8,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import partial
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    NaiveBayes,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carelake.functions.columns import celsius, format_fixed
-from carelake.operators import clean, feedback, metrics, neighbours
+from carelake.operators import clean, feedback, folds, metrics, neighbours, trees
 from carelake.operators.ranks import one_row
 from carelake.operators.split import stratified_folds, stratified_split
 from carelake.plans import clinical as cfg
@@ -160,38 +155,84 @@ def feature_importance(model: PipelineModel, spark: SparkSession) -> DataFrame:
     return table.withColumn("importance_pct", F.col("importance") * 100).orderBy(F.desc("importance"), "feature")
 
 
+# ---- forests and boosting on binned columns ---------------------------------------------------
+
+
+def grown_forest(train: DataFrame, features: Sequence[str] = tuple(cfg.FEATURES), key: str = "patient_id", **settings) -> trees.Ensemble:
+    """The risk forest with its smallest node to be cut, which the pipeline's classifier does not have."""
+    given = {"max_depth": cfg.FOREST["maxDepth"], "min_leaf": cfg.FOREST["minInstancesPerNode"], "min_split": cfg.FOREST_MIN_SPLIT, **settings}
+    members = trees.forest_members("forest", cfg.FOREST["numTrees"], cfg.FOREST["seed"], math.isqrt(len(features)), **given)
+    return trees.train(train, members, features, key)
+
+
+def grown_forest_report(ensemble: trees.Ensemble, test: DataFrame) -> DataFrame:
+    """One row: the five metrics and the confusion matrix on the test part."""
+    predicted = materialize(trees.score(ensemble, test, "forest").select("label", "prediction", "p_high"), "predicted")
+    cells = one_row(metrics.confusion_matrix(predicted))
+    return evaluate(predicted).withColumns({c: F.lit(n).cast("bigint") for c, n in cells.items()})
+
+
+def grown_importance(ensemble: trees.Ensemble, spark: SparkSession) -> DataFrame:
+    """Importance and percent per feature, largest first; one row per feature."""
+    rows = [(c, float(v)) for c, v in zip(ensemble.features, ensemble.importance("forest"), strict=True)]
+    table = spark.createDataFrame(rows, "feature string, importance double")
+    return table.withColumn("importance_pct", F.col("importance") * 100).orderBy(F.desc("importance"), "feature")
+
+
 # ---- comparison of classifiers --------------------------------------------------------------
 
-Fitted = Callable[[DataFrame], DataFrame]
+Fit = Callable[[DataFrame, DataFrame, Sequence[str]], DataFrame]
 
 
-def _ml(classifier: type, **settings) -> Callable[[DataFrame, Sequence[str]], Fitted]:
-    def fit(train: DataFrame, features: Sequence[str]) -> Fitted:
-        model = _pipeline(classifier(**settings), features).fit(train)
-        return lambda df: apply_model(model, df).select("label", "prediction", "p_high")
+@dataclass(frozen=True)
+class Classifier:
+    """A compared model: ``members`` grow together with those of other models, or ``fit`` takes training and test rows.
 
-    return fit
+    A fit that is ``shared`` also takes one frame with folds as both, and scores every row by a model of the other folds.
+    """
+
+    members: Callable[[int, Sequence[int]], list[trees.Member]] | None = None
+    fit: Fit | None = None
+    shared: bool = False
 
 
-def _fit_logistic(train: DataFrame, features: Sequence[str], c: float = 1.0) -> Fitted:
-    """L2-regularised logistic regression with the inverse strength ``c`` of the summed loss."""
-    strength = 1.0 / (c * train.count())
-    return _ml(LogisticRegression, maxIter=1000, regParam=strength, elasticNetParam=0.0, standardization=False)(train, features)
+def _scale(train: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
+    return folds.scale_parameters(folds.fold_moments(train.drop("fold"), features)[-1], features)
 
 
-def _fit_knn(train: DataFrame, features: Sequence[str]) -> Fitted:
+def _fit_knn(train: DataFrame, test: DataFrame, features: Sequence[str]) -> DataFrame:
     """Five nearest neighbours on scaled features."""
-    parameters = metrics.scale_parameters(train, features)
+    parameters = _scale(train, features)
 
     def ready(df: DataFrame) -> DataFrame:
         return metrics.standard_scale(df, parameters).select("patient_id", "label", F.array(*features).alias("embedding"))
 
-    def predict(df: DataFrame) -> DataFrame:
-        test = ready(df)
-        voted = neighbours.knn_classify(ready(train), test, "patient_id", "label", k=5)
-        return voted.join(test.select("patient_id", "label"), "patient_id").select("label", "prediction", "p_high")
+    asked = ready(test)
+    voted = neighbours.knn_classify(ready(train), asked, "patient_id", "label", k=5)
+    return voted.join(asked.select("patient_id", "label"), "patient_id")
 
-    return predict
+
+def nystroem_features(df: DataFrame, columns: Sequence[str], landmarks: np.ndarray, gamma: float) -> DataFrame:
+    """Coordinates in which inner products are the RBF kernel's projection on the span of the landmarks.
+
+    Between landmarks they are the kernel itself, so with every training row a landmark a linear machine on them is the kernel
+    machine.
+    """
+
+    def kernel(a: np.ndarray) -> np.ndarray:
+        d2 = (a * a).sum(1)[:, None] - 2.0 * a @ landmarks.T + (landmarks * landmarks).sum(1)[None, :]
+        return np.exp(-gamma * np.maximum(d2, 0.0))
+
+    values, vectors = np.linalg.eigh(kernel(landmarks))
+    kept = values > 1e-10 * values.max()
+    root = vectors[:, kept] / np.sqrt(values[kept])
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def project(rows: pa.Array) -> pa.Array:
+        z = kernel(rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), len(columns))) @ root
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1) * z.shape[1], pa.int32()), pa.array(z.ravel()))
+
+    return df.withColumn("features", array_to_vector(project(F.array(*columns))))
 
 
 def fourier_features(df: DataFrame, columns: Sequence[str], dimensions: int, gamma: float, seed: int) -> DataFrame:
@@ -209,13 +250,22 @@ def fourier_features(df: DataFrame, columns: Sequence[str], dimensions: int, gam
     return df.withColumn("features", array_to_vector(project(F.array(*columns))))
 
 
-def _fit_svm(train: DataFrame, features: Sequence[str], dimensions: int = 256, c: float = 1.0, seed: int = 42) -> Fitted:
-    """RBF support vector machine by random Fourier features, with logistic calibration of the margin."""
-    parameters = metrics.scale_parameters(train, features)
-    n = train.count()
+def _fit_svm(train: DataFrame, test: DataFrame, features: Sequence[str], landmarks: int = 256, c: float = 1.0, fourier: int = 0) -> DataFrame:
+    """RBF support vector machine on Nyström coordinates, with logistic calibration of the margin.
+
+    Landmarks are the ``landmarks`` training rows with the smallest hashes of their values: a bounded sample of the fit. With
+    ``fourier`` dimensions random Fourier features stand for the kernel instead.
+    """
+    parameters = _scale(train, features)
+    scaled = metrics.standard_scale(train, parameters)
+    near = scaled.select(F.array(*features).alias("v")).distinct().orderBy(F.xxhash64("v"), "v").limit(landmarks).collect()
+    points = np.array([r["v"] for r in near], float)
+    # as the kernel machine scales: one over columns times variance, which is 1 after scaling
+    gamma = 1.0 / len(features)
 
     def ready(df: DataFrame) -> DataFrame:
-        return fourier_features(metrics.standard_scale(df, parameters), features, dimensions, 1.0 / len(features), seed)
+        rows = metrics.standard_scale(df, parameters)
+        return fourier_features(rows, features, fourier, gamma, 42) if fourier else nystroem_features(rows, features, points, gamma)
 
     def margins(df: DataFrame) -> DataFrame:
         margin = vector_to_array("rawPrediction")[1]
@@ -223,29 +273,34 @@ def _fit_svm(train: DataFrame, features: Sequence[str], dimensions: int = 256, c
             "label", F.col("prediction").cast("int").alias("_vote"), array_to_vector(F.array(margin)).alias("features")
         )
 
-    svm = LinearSVC(regParam=1.0 / (c * n), maxIter=100).fit(ready(train))
+    seen = materialize(ready(train).select("label", "features"), "svm-features")
+    svm = LinearSVC(regParam=1.0 / (c * seen.count()), maxIter=200, tol=1e-5, standardization=False).fit(seen)
     calibration = LogisticRegression().fit(margins(train))
+    return calibration.transform(margins(test)).select(
+        "label", F.col("_vote").alias("prediction"), vector_to_array("probability")[1].alias("p_high")
+    )
 
-    def predict(df: DataFrame) -> DataFrame:
-        return calibration.transform(margins(df)).select(
-            "label", F.col("_vote").alias("prediction"), vector_to_array("probability")[1].alias("p_high")
-        )
 
-    return predict
+def _one(model: str, **settings) -> Callable[[int, Sequence[int]], list[trees.Member]]:
+    return lambda n, without: [trees.Member(model, seed=42, without=f, **settings) for f in without]
 
 
-# The compared classifiers and their settings. Unbounded trees get Spark's depth limit.
-CLASSIFIERS: dict[str, Callable[[DataFrame, Sequence[str]], Fitted]] = {
-    "Logistic Regression": _fit_logistic,
-    "Decision Tree": _ml(DecisionTreeClassifier, maxDepth=30, seed=42),
-    "Random Forest": _ml(RandomForestClassifier, numTrees=100, maxDepth=30, featureSubsetStrategy="sqrt", seed=42),
-    "SVM (RBF)": _fit_svm,
-    "k-NN (k=5)": _fit_knn,
-    "Gradient Boosting": _ml(GBTClassifier, maxIter=100, maxDepth=3, stepSize=0.1, seed=42),
-    "Naive Bayes": _ml(NaiveBayes, modelType="gaussian"),
+# The compared classifiers and their settings.
+CLASSIFIERS: dict[str, Classifier] = {
+    "Logistic Regression": Classifier(fit=folds.logistic, shared=True),
+    "Decision Tree": Classifier(_one("Decision Tree")),
+    "Random Forest": Classifier(lambda n, without: trees.forest_members("Random Forest", 100, 42, math.isqrt(n), without)),
+    "SVM (RBF)": Classifier(fit=_fit_svm),
+    "k-NN (k=5)": Classifier(fit=_fit_knn),
+    "Gradient Boosting": Classifier(_one("Gradient Boosting", rounds=100, rate=0.1, max_depth=3, curved_gain=False)),
+    "Naive Bayes": Classifier(fit=folds.naive_bayes, shared=True),
+}
+FOURIER = {"SVM (RBF)": Classifier(fit=partial(_fit_svm, fourier=256))}
+# The cross-validation adds an eighth model: second-order boosting with its usual depth, step and penalties.
+CV_CLASSIFIERS = {
+    **CLASSIFIERS,
+    "Second-order Boosting": Classifier(_one("Second-order Boosting", rounds=100, rate=0.3, max_depth=6, l2=1.0, min_weight=1.0)),
 }
-# The cross-validation adds an eighth model: Spark's boosting with depth 6 and step 0.3.
-CV_CLASSIFIERS = {**CLASSIFIERS, "Gradient Boosting (depth 6)": _ml(GBTClassifier, maxIter=100, maxDepth=6, stepSize=0.3, seed=42)}
 
 
 def _in_threads(spark: SparkSession, work: Callable, items: Sequence, parallelism: int) -> list:
@@ -256,46 +311,51 @@ def _in_threads(spark: SparkSession, work: Callable, items: Sequence, parallelis
         pool.close()
 
 
+def _predictions(train: DataFrame, test: DataFrame, features: Sequence[str], classifiers: dict[str, Classifier], without: Sequence[int], parallelism: int, key: str = "patient_id") -> DataFrame:
+    """(label, prediction, p_high, model, fold) of every classifier, written and read back.
+
+    Trees and boosting of all models and folds grow together; shared fits take all folds at once, the others one after another.
+    """
+    spark = train.sparkSession
+    grown = [n for n, c in classifiers.items() if c.members]
+    ensemble = trees.train(train, [m for n in grown for m in classifiers[n].members(len(features), without)], features, key) if grown else None
+
+    def run(job: tuple[str, int | None]) -> str:
+        name, fold = job
+        classifier = classifiers[name]
+        if classifier.members:
+            out = trees.score(ensemble, test, name)
+        elif fold is None:
+            out = classifier.fit(train, test, features)
+        else:
+            out = classifier.fit(train.where(F.col("fold") != fold), test.where(F.col("fold") == fold), features)
+        placed = F.lit(fold) if fold is not None else F.col("fold") if "fold" in out.columns else F.lit(-1)
+        path = run_dir(spark, "predictions")
+        out.select("label", F.col("prediction").cast("int").alias("prediction"), "p_high", F.lit(name).alias("model"), placed.cast("int").alias("fold")).write.parquet(path)
+        return path
+
+    alone = list(without) == [-1]
+    jobs = [(n, f) for n, c in classifiers.items() for f in ([None] if alone or c.members or c.shared else without)]
+    return spark.read.parquet(*_in_threads(spark, run, jobs, parallelism))
+
+
 def compare_models(
     train: DataFrame, test: DataFrame, features: Sequence[str] = tuple(cfg.FEATURES),
     classifiers=CLASSIFIERS, parallelism: int = 4,
 ) -> DataFrame:
     """The five metrics and the confusion matrix of every classifier on the test part, from one pass over all predictions."""
-
-    def predictions(name: str) -> DataFrame:
-        return classifiers[name](train, features)(test).withColumn("model", F.lit(name))
-
-    parts = _in_threads(train.sparkSession, predictions, list(classifiers), parallelism)
-    together = parts[0]
-    for part in parts[1:]:
-        together = together.unionByName(part)
-    together = materialize(together, "compared")
+    together = _predictions(train, test, features, classifiers, [-1], parallelism)
     return evaluate(together, by=["model"]).join(metrics.confusion_matrix(together, by=["model"]), "model")
 
 
 def cross_validate(
     df: DataFrame, key: str = "patient_id", features: Sequence[str] = tuple(cfg.FEATURES), k: int = 5,
-    classifiers=CV_CLASSIFIERS, seed: int = 42, parallelism: int = 8,
+    classifiers=CV_CLASSIFIERS, seed: int = 42, parallelism: int = 4,
 ) -> DataFrame:
-    """Mean and population deviation of the five metrics over stratified folds, best F1 first.
-
-    Fits run side by side.
-    """
-    spark = df.sparkSession
-    path = run_dir(spark, "folds")
-    stratified_folds(df, "label", key, k, seed).write.partitionBy("fold").parquet(path)
-    folds = spark.read.parquet(path)
-
-    def run(job: tuple[str, int]) -> str:
-        name, fold = job
-        fitted = classifiers[name](folds.where(F.col("fold") != fold).drop("fold"), features)
-        predicted = fitted(folds.where(F.col("fold") == fold).drop("fold"))
-        out = run_dir(spark, "fold-predictions")
-        predicted.withColumns({"model": F.lit(name), "fold": F.lit(fold)}).write.parquet(out)
-        return out
-
-    written = _in_threads(spark, run, [(name, fold) for name in classifiers for fold in range(k)], parallelism)
-    scores = evaluate(spark.read.parquet(*written), by=["model", "fold"])
+    """Mean and population deviation of the five metrics over stratified folds, best F1 first."""
+    dealt = materialize(stratified_folds(df, "label", key, k, seed), "folds")
+    together = _predictions(dealt, dealt, features, classifiers, list(range(k)), parallelism, key)
+    scores = evaluate(together, by=["model", "fold"])
     names = ["accuracy", "precision", "recall", "f1", "roc_auc"]
     summary = scores.groupBy("model").agg(
         *[F.round(F.avg(m), 4).alias(f"mean_{m}") for m in names],

@@ -261,3 +261,5 @@ MOSTLY_NULL = 0.98
 RETRAIN_THRESHOLD = 10
 FOREST = {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 2,
           "featureSubsetStrategy": "sqrt", "seed": 42}
+# Rows a node needs to be cut.
+FOREST_MIN_SPLIT = 5

@@ -127,7 +127,7 @@ def feedback_loop(spark, sf_dir):
 @query("feature_importance_check", "SELECT " + str(len(cfg.FEATURES)) + "::BIGINT AS features, TRUE AS sums_to_one, TRUE AS named")
 def feature_importance_check(spark, sf_dir):
     train, _ = models.train_test(models.labelled(patients(spark, sf_dir)))
-    found = models.feature_importance(models.train_forest(train, numTrees=20, maxDepth=5), spark)
+    found = models.grown_importance(models.grown_forest(train), spark)
     return found.agg(
         F.count("*").alias("features"), (F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"),
         (F.sort_array(F.collect_set("feature")) == F.sort_array(F.array(*[F.lit(c) for c in cfg.FEATURES]))).alias("named"),
@@ -148,7 +148,7 @@ def rf_metrics_check(spark, sf_dir):
     train, test = models.train_test(models.labelled(patients(spark, sf_dir)))
     n = test.count()
     guess = test.agg(F.greatest(F.avg("label"), 1 - F.avg("label"))).first()[0]
-    r = models.forest_report(models.train_forest(train, numTrees=20, maxDepth=8), test)
+    r = models.grown_forest_report(models.grown_forest(train), test)
     right = (F.col("tp") + F.col("tn")) / F.lit(n)
     return r.select(
         (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp") == n).alias("counts_add_up"),
