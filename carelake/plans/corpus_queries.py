@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from carelake.functions import text as tx
 from carelake.functions.columns import WHITESPACE, WS_CLASS
-from carelake.operators import corpus, metrics, neighbours, retrieve, risk, split
+from carelake.operators import corpus, graph_index, metrics, neighbours, retrieve, risk, split
 from carelake.plans import clinical as cfg
 from carelake.plans.fixtures import patients, with_views
 from carelake.plans.metric_queries import SCALED_VIEW
@@ -14,6 +14,7 @@ from carelake.plans.record_queries import _summary_sql
 from carelake.plans.registry import query
 from carelake.session import materialize, run_dir, spread
 from carelake.sources.tables import table, write_index
+from carelake.sources.versions import VersionedIndex
 
 # The given documents mention no table, so the reference test runs with a pattern they do contain.
 REFERENCE = ["licence", "license"]
@@ -140,6 +141,23 @@ def chunk_ids(spark, sf_dir):
     return spark.read.parquet(path).select("doc_id", "source", "chunk_id", "chunk_uid")
 
 
+@query("index_versions", _windows(tail=False) + _CUT + """, v AS (SELECT doc_id, chunk_id, text, substr(md5(concat(doc_id, '_', coalesce(source, ''), '_', substr(text, 1, 100), '_', chunk_id)), 1, 16) AS chunk_uid FROM chunks)
+  SELECT doc_id, chunk_id, chunk_uid, CASE WHEN doc_id % 11 = 0 THEN 'later' WHEN doc_id % 3 = 0 THEN concat('new ', text) ELSE text END AS text FROM v WHERE doc_id % 7 <> 0 OR doc_id % 11 = 0
+  UNION ALL SELECT doc_id, chunk_id, concat('n', chunk_uid), text FROM v WHERE doc_id % 5 = 0""")
+def index_versions(spark, sf_dir):
+    """Rows added to an index, replaced, removed, compacted and replaced again, as its last version has them."""
+    chunks = corpus.chunk_documents(spread(table(spark, sf_dir, "documents")), ["doc_id", "source"], terms=REFERENCE)
+    chunks = materialize(chunks.select("doc_id", "chunk_id", "chunk_uid", "text"), "chunks")
+    index = VersionedIndex(spark, run_dir(spark, "versions"), "chunk_uid")
+    index.rebuild(chunks)
+    changed = chunks.where("doc_id % 3 = 0").withColumn("text", F.concat(F.lit("new "), "text"))
+    index.upsert(changed.unionByName(chunks.where("doc_id % 5 = 0").withColumn("chunk_uid", F.concat(F.lit("n"), "chunk_uid"))))
+    index.remove(chunks.where("doc_id % 7 = 0"))
+    index.compact()
+    index.upsert(chunks.where("doc_id % 11 = 0").withColumn("text", F.lit("later")))
+    return index.read().select("doc_id", "chunk_id", "chunk_uid", "text")
+
+
 @query("corpus_report", _windows(tail=False) + _CUT + """ SELECT source, count(DISTINCT doc_id) AS documents, count(*) AS windows,
   count(*) FILTER (text <> '') AS kept, count(*) FILTER (text = '') AS dropped, CAST(sum(length(text)) AS BIGINT) AS kept_chars FROM valid GROUP BY source""")
 def corpus_report(spark, sf_dir):
@@ -211,6 +229,19 @@ def search_recall(spark, sf_dir):
     return retrieve.recall(found, _search(spark, sf_dir, cfg.HITS_PER_SEARCH), ["query_id", "vec_id"])
 
 
+@query("graph_recall", "SELECT count(*) AS queries, TRUE AS recalled, TRUE AS fewer_distances FROM embeddings")
+def graph_recall(spark, sf_dir):
+    """Every vector searched by the stored graphs: whether they find 95 % of the exact hits, with fewer distances than there are pairs."""
+    vectors = spread(table(spark, sf_dir, "embeddings"))
+    queries = vectors.withColumnRenamed("vec_id", "query_id")
+    path = run_dir(spark, "graph")
+    graph_index.write_graph_index(vectors, path, "vec_id")
+    found = graph_index.graph_search(spark, path, queries, cfg.HITS_PER_SEARCH, "vec_id", "query_id")
+    reached = retrieve.recall(found.hits, _search(spark, sf_dir, cfg.HITS_PER_SEARCH), ["query_id", "vec_id"])
+    asked = F.lit(queries.count()).cast("bigint").alias("queries")
+    return reached.select(asked, (F.col("recall") >= 0.95).alias("recalled"), F.lit(found.computed < found.possible).alias("fewer_distances"))
+
+
 _TEXTS = _repaired("documents", "doc_id", "text", "r", cfg.TABLE_TERMS) + f""",
 texts AS (SELECT doc_id AS vec_id, CASE WHEN length(d.text) < 40 THEN ''
   WHEN {_reference('d.text', cfg.TABLE_TERMS)} OR NOT {_starts('d.text')} OR NOT {_ends('d.text')} THEN CASE WHEN length(r.t) < 40 THEN '' ELSE r.t END
