@@ -344,7 +344,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each group, with its own columns; documents without words or id all stay."""
-    found = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    lone = docs.where("doc_id is null")
-    return docs.join(found, docs["doc_id"].cast("long") == found["kept_id"], "left_semi").dropDuplicates(["doc_id"]).unionByName(lone)
+    """One row of each group of near-duplicates, with its own columns; rows without words or without an id all stay.
+
+    Rows are compared, not ids: where an id repeats, its different texts are rows of their own. Of a group the row with the
+    smallest id stays, and of several with that id the first as they were read.
+    """
+    rows = materialize(docs.withColumn("_near_row", F.monotonically_increasing_id()), "dedup-rows")
+    known = rows.where("doc_id is not null")
+    found = near_duplicates(known.select(F.col("_near_row").alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("_near_row"), F.col("component_id").alias("_near_group"))
+    first = found.join(known.select("_near_row", F.col("doc_id").alias("_near_id")), "_near_row").groupBy("_near_group").agg(F.min(F.struct("_near_id", "_near_row")).getField("_near_row").alias("_near_row"))
+    kept = known.join(first.select("_near_row"), "_near_row", "left_semi")
+    return kept.unionByName(rows.where("doc_id is null")).select(*docs.columns)

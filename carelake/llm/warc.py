@@ -1,13 +1,19 @@
 """WARC archives as a PySpark Python data source, read and written (format name ``warc_pages``).
 
 Archives are WARC 1.1 with one gzip member per record. Each member carries its own length in the gzip header (the ``sl``
-extra field), so a reader inflates a record's headers alone and steps over the rest without decoding it. A commit writes a
-manifest of the files with split points and the record types between them; files of lost or repeated tasks are not in it.
+extra field), so a reader inflates a record's headers alone and steps over the rest without decoding it. Every commit writes a
+manifest of its files with split points and the record types between them; files of lost or repeated tasks are in none. An
+append adds a manifest; an overwrite adds one that names the manifests it replaces.
 
-The reader plans splits from the manifest, takes predicates on record_type, page_id, target_uri and payload_digest, leaves
+The reader plans splits from all manifests, takes predicates on record_type, page_id, target_uri and payload_digest, leaves
 out splits without the wanted types, parses headers first and inflates a payload only where the headers pass (and never
 with ``option("payload", "false")``).
 
+A path without a manifest is read as ordinary archives: a .warc or .warc.gz file, or all those in a folder, each a split that is
+read in order, whether a gzip member holds a record or all of them. Records of every type are rows; page_id and refers_to are only
+known of our own records. The payload of a response is its body as it was sent, that of a resource or conversion its block.
+A file that ends inside a record, or holds anything else, is an error that names it.
+
 Defined results: a null html is an empty payload; a null url or page_id has no header; control characters in a url are
 percent-encoded; rows that repeat the smallest page_id of a payload are all responses, and so are rows without an id if no
 row of the payload has one; an empty table gives a manifest without files.
@@ -15,6 +21,8 @@ row of the payload has one; an empty table gives a manifest without files.
 
 from __future__ import annotations
 
+import gzip
+import io
 import json
 import struct
 import uuid
@@ -107,6 +115,79 @@ class Written(WriterCommitMessage):
     splits: list = field(default_factory=list)
 
 
+def _manifests(fs: pafs.FileSystem, root: str) -> list | None:
+    """(file, splits) of all manifests that no other one replaces; None if there is no manifest."""
+    if fs.get_file_info(root).type != pafs.FileType.Directory:
+        return None
+    found = {}
+    for info in fs.get_file_info(pafs.FileSelector(root)):
+        if info.base_name.startswith("manifest-") and info.base_name.endswith(".json"):
+            with fs.open_input_stream(info.path) as f:
+                found[info.base_name] = json.loads(f.read())
+    if not found:
+        return None
+    gone = {name for m in found.values() for name in m["replaces"]}
+    return [tuple(x) for name in sorted(found) if name not in gone for x in found[name]["files"]]
+
+
+def _archives(fs: pafs.FileSystem, root: str) -> list[str]:
+    """What to append to the path for each ordinary archive."""
+    info = fs.get_file_info(root)
+    if info.type == pafs.FileType.File:
+        return [""]
+    if info.type == pafs.FileType.NotFound:
+        raise FileNotFoundError(root)
+    names = sorted(i.path for i in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if i.type == pafs.FileType.File)
+    return [n.removeprefix(root) for n in names if n.endswith((".warc", ".warc.gz"))]
+
+
+def _take(f: io.BufferedReader, n: int, path: str) -> bytes:
+    got = f.read(n)
+    if len(got) < n:
+        raise ValueError(f"{path} ends inside a record")
+    return got
+
+
+def _skip(f: io.BufferedReader, n: int, path: str) -> None:
+    while n:
+        n -= len(_take(f, min(n, READ_BYTES), path))
+
+
+def _next_headers(f: io.BufferedReader, path: str) -> dict[str, str] | None:
+    """Lower-case names and values of the next record's headers; None at the end. A continued line belongs to the one before."""
+    line = f.readline()
+    if not line:
+        return None
+    if not line.startswith(b"WARC/"):
+        raise ValueError(f"{path} holds something that is no record")
+    out: dict[str, str] = {}
+    name = ""
+    while (line := f.readline()) not in (b"\r\n", b"\n"):
+        if not line:
+            raise ValueError(f"{path} ends inside a record")
+        text = line.decode("utf-8", "replace").rstrip("\r\n")
+        if text[:1] in " \t" and name:
+            out[name] += " " + text.strip()
+        else:
+            name, _, value = text.partition(":")
+            name = name.strip().lower()
+            out[name] = value.strip()
+    if "content-length" not in out or "warc-type" not in out:
+        raise ValueError(f"{path} holds a record without a length or a type")
+    return out
+
+
+def _http_head(f: io.BufferedReader, length: int) -> bytes:
+    """The status line and headers of an HTTP block, at most the block."""
+    out = b""
+    while len(out) < length and not out.endswith((b"\r\n\r\n", b"\n\n")):
+        line = f.readline(length - len(out))
+        if not line:
+            break
+        out += line
+    return out
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.payload = options["path"].rstrip("/"), str(options.get("payload", "true")).lower() == "true"
@@ -127,9 +208,10 @@ class WarcReader(DataSourceReader):
     def partitions(self):
         fs, root = _open(self.path)
         wanted, out = self.equal.get("record_type"), []
-        with fs.open_input_stream(f"{root}/manifest.json") as f:
-            manifest = json.loads(f.read())
-        for name, splits in manifest:
+        manifests = _manifests(fs, root)
+        if manifests is None:
+            return [Split(f"{self.path}{name}", 0, -1) for name in _archives(fs, root)] or [Split("", 0, 0)]
+        for name, splits in manifests:
             out += [Split(f"{self.path}/{name}", a, b) for a, b, types in splits if wanted is None or wanted & set(types)]
         return out or [Split("", 0, 0)]
 
@@ -152,9 +234,36 @@ class WarcReader(DataSourceReader):
                 rows, size = [], 0
         yield batch()
 
+    def _plain_rows(self, path: str) -> Iterator[dict]:
+        fs, name = _open(path)
+        with fs.open_input_stream(name, compression=None) as f:
+            records = io.BufferedReader(gzip.GzipFile(fileobj=f) if name.endswith(".gz") else f, READ_BYTES)
+            while (h := _next_headers(records, path)) is not None:
+                length, kind = int(h["content-length"]), h["warc-type"]
+                row = {
+                    "record_type": kind, "page_id": int(h["page-id"]) if "page-id" in h else None, "target_uri": h.get("warc-target-uri", "").strip("<>") or None,
+                    "payload_digest": h.get("warc-payload-digest", h.get("warc-block-digest", "")).removeprefix("sha256:") or None, "payload_bytes": None,
+                    "refers_to": int(h["refers-to-page-id"]) if "refers-to-page-id" in h else None, "payload": None,
+                }
+                http = "application/http" in h.get("content-type", "")
+                if not self._wanted(row):
+                    _skip(records, length, path)
+                else:
+                    head = _http_head(records, length) if http else b""
+                    row["payload_bytes"] = int(h["payload-length"]) if "payload-length" in h else length - len(head)
+                    if self.payload and kind in ("response", "resource", "conversion"):
+                        row["payload"] = _take(records, length - len(head), path)
+                    else:
+                        _skip(records, length - len(head), path)
+                    yield row
+                _skip(records, 4, path)
+
     def _rows(self, part: Split) -> Iterator[dict]:
         if not part.path:
             return
+        if part.end < 0:
+            yield from self._plain_rows(part.path)
+            return
         fs, name = _open(part.path)
         with fs.open_input_file(name) as f:
             at, held, base = part.start, b"", part.start
@@ -185,8 +294,8 @@ class WarcReader(DataSourceReader):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
-        self.path = options["path"].rstrip("/")
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.overwrite = options["path"].rstrip("/"), overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = _open(self.path)
@@ -214,8 +323,10 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages) -> None:
         fs, root = _open(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/manifest.json") as f:
-            f.write(json.dumps([(m.path, m.splits) for m in messages if m is not None and m.path]).encode())
+        there = [i.base_name for i in fs.get_file_info(pafs.FileSelector(root)) if i.base_name.startswith("manifest-")]
+        manifest = {"replaces": there if self.overwrite else [], "files": [(m.path, m.splits) for m in messages if m is not None and m.path]}
+        with fs.open_output_stream(f"{root}/manifest-{uuid.uuid4().hex}.json", compression=None) as f:
+            f.write(json.dumps(manifest).encode())
 
     def abort(self, messages) -> None:
         fs, root = _open(self.path)
@@ -236,7 +347,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def _register(spark: SparkSession) -> None:
@@ -258,9 +369,10 @@ def to_records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     )
 
 
-def write_warc(pages: DataFrame, path: str) -> None:
+def write_warc(pages: DataFrame, path: str, mode: str = "append") -> None:
+    """Write the pages; ``append`` adds to an archive, ``overwrite`` replaces what it holds."""
     _register(pages.sparkSession)
-    to_records(pages).write.format("warc_pages").mode("append").save(path)
+    to_records(pages).write.format("warc_pages").mode(mode).save(path)
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
