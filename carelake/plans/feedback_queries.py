@@ -11,6 +11,7 @@ from carelake.plans.fixtures import feedback, patients, patients_raw, with_views
 from carelake.plans.registry import query
 from carelake.session import run_dir
 from carelake.sources import tables as src
+from carelake.streaming import correction_stream
 from carelake.streaming import feedback_stream as stream
 
 # ---- sources ------------------------------------------------------------------------------
@@ -149,3 +150,17 @@ def feedback_ingest(spark, sf_dir):
 @query("feedback_stats_stream", f"SELECT {_STATS} FROM ({_INGESTED}) i")
 def feedback_stats_stream(spark, sf_dir):
     return stream.stats_once(spark, sf_dir)
+
+
+_DAY = 86_400_000
+
+
+@query("corrections_stream", f"""WITH e AS (SELECT event_id AS feedback_id, epoch_ms(ts) AS t, CASE WHEN value > 50 THEN 1 ELSE 0 END AS risk,
+  CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 1 WHEN ts < TIMESTAMP '2024-01-25' THEN 2 ELSE 3 END AS wave FROM events WHERE event_type = 'error'),
+mark AS (SELECT max(CASE WHEN wave = 1 THEN CASE WHEN feedback_id % 3 = 0 THEN t + 3600000 ELSE t END END) - {2 * _DAY} AS first,
+  max(CASE WHEN feedback_id % 3 = 0 THEN t + 3600000 WHEN wave = 1 AND feedback_id % 3 = 1 THEN t + 3600000 ELSE t END) - {2 * _DAY} AS last FROM e),
+r AS (SELECT feedback_id, risk, t + {3 * _DAY} < last AS over, feedback_id % 3 = 0 OR wave = 1 AND feedback_id % 3 = 1 AND t + 3600000 > first AS in_time FROM e, mark)
+SELECT feedback_id, CASE WHEN in_time THEN risk END AS feedback_risk, CASE WHEN in_time THEN 'corrected' ELSE 'expired' END AS status FROM r WHERE in_time OR over""")
+def corrections_stream(spark, sf_dir):
+    """Corrections that meet their pending rows in a stream, among repeated and late ones."""
+    return correction_stream.resolve_waves(spark, correction_stream.waves(spark, sf_dir))
