@@ -387,3 +387,24 @@ def test_search_texts_keep_the_factor_query_and_a_whole_chunk(spark):
     assert set(found.values()) == set(chunks.values())
     assert found[900, 0] == found[1, 0] and len({found[5, o] for o in range(4)}) > 1
     assert all(r["search_text"] == r["query_text"] for r in model_queries.search_texts(plan, frame.limit(0)).collect())
+
+
+def test_quantiles_by_digits(spark):
+    r = np.random.default_rng(9)
+    columns = {
+        "wide": np.concatenate([r.normal(0, 1, 500) * 10.0 ** r.integers(-300, 300, 500), [0.0, -0.0, 5e-324, -1.7e308, 1.7e308]]),
+        "close": 1.0 + r.integers(0, 9, 505) * 2.0**-52, "same": np.full(505, -3.5), "ints": r.integers(-5, 5, 505).astype(float),
+    }
+    names = [*columns, "none"]
+    rows = [(*map(float, v), None) for v in zip(*columns.values(), strict=True)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(7)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    found = {(q["column"], q["p"]): q["value"] for q in ranks.exact_quantiles(df, names, probs).collect()}
+    assert len(found) == 4 * len(probs)
+    for c, x in columns.items():
+        x = np.sort(x)
+        for p in probs:
+            pos = p * 504
+            low, high = x[int(np.floor(pos))], x[int(np.ceil(pos))]
+            assert found[c, p] == low + (high - low) * (pos - np.floor(pos))
+    assert ranks.exact_quantiles(df.limit(0), names, probs).count() == 0
