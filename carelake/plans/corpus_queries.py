@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from carelake.functions import text as tx
 from carelake.functions.columns import WHITESPACE, WS_CLASS
-from carelake.operators import corpus, graph_index, metrics, neighbours, retrieve, risk, split
+from carelake.operators import corpus, graph_index, long_texts, metrics, neighbours, retrieve, risk, split
 from carelake.plans import clinical as cfg
 from carelake.plans.fixtures import patients, with_views
 from carelake.plans.metric_queries import SCALED_VIEW
@@ -94,6 +94,13 @@ def chunk_windows(spark, sf_dir):
     return corpus.chunk_windows(docs, ["doc_id"], tail=True).select("doc_id", "window_id", "start", "end")
 
 
+@query("chunk_windows_segments", _windows(tail=True) + ' SELECT doc_id, CAST(i AS INTEGER) AS window_id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM win')
+def chunk_windows_segments(spark, sf_dir):
+    """The same windows with every text of four windows or more cut by segments of its own."""
+    docs = spread(table(spark, sf_dir, "documents"))
+    return long_texts.all_windows(docs, ["doc_id"], tail=True, long_chars=2400, segment_chars=1200).select("doc_id", "window_id", "start", "end")
+
+
 @query("chunk_windows_no_tail", _windows(tail=False) + ' SELECT doc_id, CAST(i AS INTEGER) AS window_id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM win')
 def chunk_windows_no_tail(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents"))
