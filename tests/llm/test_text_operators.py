@@ -295,9 +295,9 @@ def test_guess_cost_equals_all_segmentations():
             for start in range(end):
                 piece = value[start:end]
                 step = min(S._segment(piece), S._brute(piece))
-                for size in range(1, len(piece) // 2 + 1) if len(piece) > 2 else ():
+                for size in range(1, min(S.LONGEST, len(piece) // 2) + 1) if len(piece) > 2 else ():
                     if piece[:size] * (len(piece) // size) == piece:
-                        step = min(step, S._brute(piece[:size]) + np.log10(len(piece) // size))
+                        step = min(step, min(S._brute(piece[:size]), S._segment(piece[:size])) + np.log10(len(piece) // size))
                 cost[end] = min(cost[end], cost[start] + step)
         return cost[-1]
 
@@ -307,3 +307,23 @@ def test_guess_cost_equals_all_segmentations():
         value = "".join(p * int(rng.choice([1, 1, 2, 3, 9])) for p in parts)[:70]
         whole = brute(value)
         assert guess_cost(value, 1000.0) == pytest.approx(whole) and guess_cost(value) == pytest.approx(min(whole, 10.0)), value
+
+
+def test_words_of_a_vocabulary_are_cheap_and_random_letters_are_not():
+    ranks = S.word_ranks(S.default_vocabulary())
+    assert ranks["password"] == 1 and 20_000 < len(ranks) < 50_000
+    for plain in ("butterflies", "university", "monday2021", "Correction", "thebluehouse", "hahahahahahaha"):
+        assert find_secrets("pwd: " + plain, ranks) == [], plain
+    for value in ("qzxvkjwpmrtbhdlf", "xK9$mQ", "bq7zkx2v", "Vq8-Zr4_Tk"):
+        assert find_secrets("pwd: " + value, ranks) == [("guess", 5, 5 + len(value))], value
+
+
+def test_secrets_take_linear_time():
+    import time
+
+    ranks = S.word_ranks(S.default_vocabulary())
+    values = ["a" * 100_000, "ab" * 50_000, "password" * 12_500, "0" * 100_000, "aab" * 30_000, "20210506" * 12_000, "x9" * 3 + "q" * 100_000]
+    for text in ["pwd: " + v for v in values] + ["secret=abcdefgh " * 60_000, "pwd: Xk9$mQ2!vT7# " * 20_000]:
+        start = time.perf_counter()
+        find_secrets(text, ranks)
+        assert time.perf_counter() - start < 5, text[:30]
