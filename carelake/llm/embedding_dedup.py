@@ -6,18 +6,21 @@ target recall: the sum may exceed that of its nearest cell by a margin, which is
 neighbours at the threshold around sampled vectors. Every vector of a visited cell is verified by its cosine in double
 precision. All vectors are indexed and all are queries.
 
-Equal vectors count as one with a multiplicity. A cell is cut into blocks of bounded size and its visitors stream past
+Of two cells only one visits the other, so a pair is met once at most and counted for both its ends. Vectors of different lengths
+link with nothing of each other; a length with more than a block of vectors has an index of its own, the others are compared
+whole. Equal vectors count as one with a multiplicity. A cell is cut into blocks of bounded size and its visitors stream past
 each block, so a cell that holds a third of all vectors is many tasks. Links are counted and reduced to a spanning set
 inside a block; pairs are never listed.
 
-Defined results: vectors that are null, empty, zero or have null or non-finite components, or another length than most,
-link with nothing; rows without an id too, and they are kept; ties go to the smallest id; an empty table gives no rows.
+Defined results: vectors that are null, empty, zero or have null or non-finite components link with nothing; rows without an id
+too, and they are kept; ties go to the smallest id; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from carelake.llm.components import connected_components
 from carelake.session import materialize
 
-SAMPLE, CELL, RECALL, BLOCK, CHUNK = 20_000, 400, 0.99, 2048, 4096
+SAMPLE, CELL, RECALL, BLOCK, CHUNK = 20_000, 400, 0.995, 2048, 4096
 _OUT = "id long, n long, other long"
 
 
@@ -101,8 +104,13 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
 
 
-def _place(index, visiting: bool) -> Callable:
-    """Members with their own cell, or visitors with every other cell of their traversal."""
+def _visited(own: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Whether vectors of the cell ``own`` are the ones that visit ``cell``; for two cells it is true one way round."""
+    return (cell != own) & ((cell > own) == ((cell + own) % 2 == 0))
+
+
+def _place(index, first: int, visiting: bool) -> Callable:
+    """Members with their own cell, or visitors with the other cells of their traversal; cells are numbered from ``first``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,12 +120,12 @@ def _place(index, visiting: bool) -> Callable:
                 own = index.value.cells(x)
                 if visiting:
                     row, cell = index.value.visits(x)
-                    other = cell != own[row]
-                    row, cell = row[other], cell[other]
+                    goes = _visited(own[row], cell)
+                    row, cell = row[goes], cell[goes]
                     part = part.take(pa.array(row))
                 else:
                     cell = own
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), *part.columns], names=["cell", *part.schema.names])
+                yield pa.RecordBatch.from_arrays([pa.array(cell + first, pa.int64()), *part.columns], names=["cell", *part.schema.names])
 
     return run
 
@@ -140,13 +148,13 @@ def _compare(threshold: float) -> Callable:
     """Sorted by cell, block and guest: a block's members come first, then its visitors in chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, waiting, members = None, [], None
+        key, waiting, members, gained = None, [], None, None
 
         def rows(ids, counts, others) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(others, pa.int64())], names=["id", "n", "other"])
 
         def settle() -> Iterator[pa.RecordBatch]:
-            nonlocal members, waiting
+            nonlocal members, waiting, gained
             if members is None and waiting:
                 ids = np.concatenate([w[0] for w in waiting])
                 x, m = np.concatenate([w[1] for w in waiting]), np.concatenate([w[2] for w in waiting])
@@ -156,31 +164,39 @@ def _compare(threshold: float) -> Callable:
                 root = ids[turn][_roots(near[np.ix_(turn, turn)])]
                 back = np.empty_like(turn)
                 back[turn] = np.arange(len(turn))
-                members = ids, x, m, root[back]
+                members, gained = (ids, x, m, root[back]), np.zeros(len(ids), np.int64)
                 yield rows(ids, near @ m, members[3])
             waiting = []
 
+        def left() -> Iterator[pa.RecordBatch]:
+            """What the visitors gave to the members."""
+            if members is not None and gained.any():
+                yield rows(members[0], gained, members[0])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             cell, block = batch.column("cell").to_numpy(), batch.column("block").to_numpy()
             guest = batch.column("guest").to_numpy(zero_copy_only=False)
-            ids, m, x = batch.column("id").to_numpy(), batch.column("m").to_numpy(), unit(_vectors(batch.column("embedding")))
+            ids, m, embedding = batch.column("id").to_numpy(), batch.column("m").to_numpy(), batch.column("embedding")
             change = np.flatnonzero((cell[1:] != cell[:-1]) | (block[1:] != block[:-1]) | (guest[1:] != guest[:-1])) + 1
             edges = [0, *change.tolist(), len(cell)]
             for a, b in zip(edges, edges[1:], strict=False):
                 if (now := (cell[a], block[a])) != key:
                     yield from settle()
+                    yield from left()
                     key, members = now, None
+                x = unit(_vectors(embedding.slice(a, b - a)))
                 if not guest[a]:
-                    waiting.append((ids[a:b], x[a:b], m[a:b]))
+                    waiting.append((ids[a:b], x, m[a:b]))
                     continue
                 yield from settle()
                 if members is None:
                     continue  # a cell that nobody lives in
                 for at in range(a, b, CHUNK):
                     to = min(b, at + CHUNK)
-                    near = x[at:to] @ members[1].T >= threshold
+                    near = x[at - a : to - a] @ members[1].T >= threshold
+                    gained += m[at:to] @ near
                     hit = np.flatnonzero(near.any(axis=1))
                     who, other = [], []
                     for i in hit:
@@ -192,6 +208,7 @@ def _compare(threshold: float) -> Callable:
                         first = np.diff(who, prepend=-1) != 0
                         yield rows(ids[who], np.where(first, (near @ members[2])[who - at], 0), other)
         yield from settle()
+        yield from left()
 
     return run
 
@@ -210,23 +227,30 @@ def embedding_links(embeddings: DataFrame, threshold: float = 0.9, recall: float
     every = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     whole = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v).cast("double") != float("inf")))
     usable = every.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & whole & F.exists("embedding", lambda v: v != 0.0))
-    lengths = usable.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    own = usable.where(F.size("embedding") == (lengths[0]["d"] if lengths else 0))
-    vectors = own.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"))
+    vectors = usable.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"))
     vectors = materialize(vectors.select("id", "m", "embedding"), "vectors")
-    index = fit_index(vectors, threshold, recall)
-    if index is None:
-        return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    shared = embeddings.sparkSession.sparkContext.broadcast(index)  # two codebooks of bounded size
     schema = f"cell long, id long, m long, embedding {kind}"
-    members = materialize(vectors.mapInArrow(_place(shared, False), schema), "members")
-    visitors = vectors.mapInArrow(_place(shared, True), schema)
+    size = F.size("embedding")
+    lengths = {r["d"]: r["count"] for r in vectors.groupBy(size.alias("d")).count().collect()}  # one row for each length
+    large = sorted(d for d, n in lengths.items() if n > BLOCK)
+    # a short length is a cell without visitors, numbered below zero
+    own, come, first = [vectors.where(~size.isin(large)).select((-size).cast("long").alias("cell"), "id", "m", "embedding")], [], 0
+    for d in large:
+        mine = vectors.where(size == d)
+        index = fit_index(mine, threshold, recall)
+        shared = embeddings.sparkSession.sparkContext.broadcast(index)  # two codebooks of bounded size
+        own.append(mine.mapInArrow(_place(shared, first, False), schema))
+        come.append(mine.mapInArrow(_place(shared, first, True), schema))
+        first += len(index.words[0]) * len(index.words[1])
+    members = materialize(reduce(DataFrame.unionByName, own), "members")
+    visitors = reduce(DataFrame.unionByName, come) if come else members.limit(0)
     cells = members.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
     home = F.pmod(F.xxhash64("id"), "blocks")
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
-    live = members.join(cells, "cell").withColumn("home", home).select("cell", blocks, "home", "id", "m", "embedding").withColumn("guest", F.col("block") != F.col("home")).drop("home")
-    come = visitors.join(cells, "cell").select("cell", blocks, "id", "m", "embedding", F.lit(True).alias("guest"))
-    rows = live.unionByName(come).repartition("cell", "block").sortWithinPartitions("cell", "block", "guest")
+    live = members.join(cells, "cell").withColumn("home", home).select("cell", blocks, "home", "id", "m", "embedding").withColumn("guest", F.col("block") != F.col("home"))
+    live = live.where(~F.col("guest") | ((F.col("block") > F.col("home")) == ((F.col("block") + F.col("home")) % 2 == 0))).drop("home")  # as cells, blocks visit one way
+    guests = visitors.join(cells, "cell").select("cell", blocks, "id", "m", "embedding", F.lit(True).alias("guest"))
+    rows = live.unionByName(guests).repartition("cell", "block").sortWithinPartitions("cell", "block", "guest")
     found = materialize(rows.mapInArrow(_compare(threshold), _OUT), "links")
     labels = connected_components(found.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
