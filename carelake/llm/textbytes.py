@@ -13,8 +13,6 @@ import numpy as np
 import pyarrow as pa
 
 SHARD_BYTES = 2 << 20
-_MULT = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_MULT, -1, 1 << 64)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Words of letters, digits and everything beyond ASCII, after lower-casing A-Z.
@@ -22,19 +20,6 @@ ALNUM = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256
 #: Words between white space.
 SPACED = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the multiplier and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_MULT, _INV)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every input bit."""
     x = x ^ (x >> np.uint64(30))
@@ -81,15 +66,28 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.bincount(self.doc, minlength=self.n_docs)
 
+    def blocks(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of every word as numbers of eight bytes, the last one filled up with zeros, and where each word's begin."""
+        size = self.ends - self.starts
+        count = (size + 7) >> 3
+        first = np.concatenate(([0], np.cumsum(count)))
+        place = np.arange(first[-1]) - np.repeat(first[:-1], count)
+        padded = np.concatenate((self.buf, np.zeros(8, np.uint8)))
+        any_eight = np.ndarray((len(self.buf) + 1,), "<u8", padded, 0, (1,))
+        out = any_eight[np.repeat(self.starts, count) + 8 * place]
+        left = np.repeat(size, count) - 8 * place
+        short = left < 8
+        out[short] &= (np.uint64(1) << (np.uint64(8) * left[short].astype(np.uint64))) - np.uint64(1)
+        return out, first
+
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word: a polynomial in its bytes, then mixed. It is never 0."""
+        """A 64-bit hash of each word: its blocks are mixed with their places, added and mixed again. It is never 0."""
         if not len(self.starts):
             return np.zeros(0, np.uint64)
-        up, down = powers(len(self.buf) + 1)
-        total = np.empty(len(self.buf) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * up[: len(self.buf)], out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * down[self.starts]
+        blocks, first = self.blocks()
+        place = (np.arange(len(blocks)) - np.repeat(first[:-1], np.diff(first)) + 1).astype(np.uint64)
+        mixed = mix64(blocks + place * np.uint64(0x9E3779B97F4A7C15))
+        h = np.add.reduceat(mixed, first[:-1])
         h = mix64(h + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         h[h == 0] = 1
         return h

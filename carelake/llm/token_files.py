@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm.textbytes import SPACED, shards, words_of
+from carelake.llm.textbytes import SPACED, Words, shards, words_of
 from carelake.session import run_dir
 
 END = 1
@@ -52,7 +52,10 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """Token ids of many texts, each distinct word encoded once while a worker remembers it."""
+    """Token ids of many texts, each distinct word encoded once while a worker remembers it.
+
+    A word is looked up by its hash and then compared with the remembered one byte by byte; one that differs is encoded for itself.
+    """
 
     def __init__(self, json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -65,6 +68,8 @@ class WordEncoder:
         # open addressing by word hash: key and number of the word; 0 is no hash
         self.keys, self.values = np.zeros(4 * CACHE_WORDS, np.uint64), np.zeros(4 * CACHE_WORDS, np.int32)
         self.start, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        # the remembered words: number of bytes, blocks of eight bytes, and where each word's begin
+        self.size, self.blocks, self.first = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(1, np.int64)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """The number of each word, -1 for an unknown one."""
@@ -78,12 +83,31 @@ class WordEncoder:
             slot[left] = (slot[left] + 1) % len(self.keys)
         return out
 
-    def _add(self, h: np.ndarray, chunks: list[str]) -> None:
+    def _same(self, words: Words, blocks: np.ndarray, first: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether each word is the remembered one in its place."""
+        same = (words.ends - words.starts) == self.size[place]
+        count = np.where(same, np.diff(first), 0)
+        each = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        differ = blocks[np.repeat(first[:-1], count) + each] != self.blocks[np.repeat(self.first[place], count) + each]
+        if differ.any():
+            same[np.unique(np.repeat(np.arange(len(count)), count)[differ])] = False
+        return same
+
+    def _encoded(self, chunks: list[str]) -> list[list[int]]:
         lists = []
         for k in range(0, len(chunks), 10_000):
             lists += [e.ids for e in self.tokenizer.encode_batch_fast(chunks[k : k + 10_000], add_special_tokens=False)]
+        return lists
+
+    def _add(self, h: np.ndarray, words: Words, at: np.ndarray, blocks: np.ndarray, first: np.ndarray) -> None:
+        raw = words.buf.tobytes()
+        lists = self._encoded([raw[a:b].decode() for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)])
+        counts = np.diff(first)[at]
+        self.size = np.append(self.size, (words.ends - words.starts)[at])
+        self.blocks = np.append(self.blocks, blocks[np.repeat(first[at], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)])
+        self.first = np.append(self.first, self.first[-1] + np.cumsum(counts))
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        first = len(self.start)
+        known = len(self.start)
         self.start = np.append(self.start, len(self.ids) + np.cumsum(sizes) - sizes)
         self.count = np.append(self.count, sizes)
         self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())))
@@ -92,7 +116,7 @@ class WordEncoder:
             free = left[self.keys[slot[left]] == 0]
             _, one = np.unique(slot[free], return_index=True)
             won = free[one]
-            self.keys[slot[won]], self.values[slot[won]] = h[won], first + won
+            self.keys[slot[won]], self.values[slot[won]] = h[won], known + won
             left = np.setdiff1d(left, won, assume_unique=True)
             slot[left] = (slot[left] + 1) % len(self.keys)
 
@@ -100,6 +124,7 @@ class WordEncoder:
         """(ids of all texts, each followed by the end id; number of ids of each text)."""
         words = words_of(texts, SPACED, lower=False)
         h = words.hashes()
+        blocks, first = words.blocks()
         if len(self.start) > CACHE_WORDS:
             self.forget()
         place = self._find(h)
@@ -107,21 +132,32 @@ class WordEncoder:
         if len(new):
             each, at = np.unique(h[new], return_index=True)
             if len(each) + len(self.start) > 3 * CACHE_WORDS:  # a giant text: a table for it alone
-                self.keys, self.values = np.zeros(4 * len(each), np.uint64), np.zeros(4 * len(each), np.int32)
-                self.start, self.count, self.ids = self.start[:0], self.count[:0], self.ids[:0]
+                self.forget()
                 each, at = np.unique(h, return_index=True)
                 new = np.arange(len(h))
-            raw, at = words.buf.tobytes(), new[at]
-            self._add(each, [raw[a:b].decode() for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)])
+                self.keys, self.values = np.zeros(4 * len(each), np.uint64), np.zeros(4 * len(each), np.int32)
+            self._add(each, words, new[at], blocks, first)
             place[new] = self._find(h[new])
-        n = self.count[place]
+        other = np.flatnonzero(~self._same(words, blocks, first, place))
+        if len(other):  # other words with the hash of a remembered one
+            raw, start, count, ids = words.buf.tobytes(), self.start, self.count, self.ids
+            lists = self._encoded([raw[words.starts[i] : words.ends[i]].decode() for i in other.tolist()])
+            sizes = np.array([len(x) for x in lists])
+            place[other] = len(start) + np.arange(len(other))
+            start, count = np.append(start, len(ids) + np.cumsum(sizes) - sizes), np.append(count, sizes)
+            return self._filled(words, place, start, count, np.append(ids, np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))), end)
+        return self._filled(words, place, self.start, self.count, self.ids, end)
+
+    @staticmethod
+    def _filled(words: Words, place: np.ndarray, start: np.ndarray, count: np.ndarray, ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        n = count[place]
         sizes = np.bincount(words.doc, weights=n, minlength=words.n_docs).astype(np.int64) + 1
         out = np.empty(sizes.sum(), np.uint32)
         ends = np.cumsum(sizes) - 1
         body = np.ones(len(out), bool)
         body[ends] = False
         out[ends] = end
-        out[body] = self.ids[np.arange(n.sum()) + np.repeat(self.start[place] - np.cumsum(n) + n, n)]
+        out[body] = ids[np.arange(n.sum()) + np.repeat(start[place] - np.cumsum(n) + n, n)]
         return out, sizes
 
 
