@@ -25,36 +25,60 @@ from carelake.session import materialize
 
 WINDOW = 10
 #: A block of the benchmark that is broadcast holds at most so many bytes of text, or a single longer item.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 _BITS, _DEPTH = 21, 12
 _LOW = np.uint64((1 << _BITS) - 1)
 
 
 class Queries:
-    """The distinct windows of a benchmark block, with the items that hold them."""
+    """The distinct windows of a benchmark block, with the items that hold them.
+
+    Windows are places in the words of the block, so a word costs 8 bytes and a window about 40. The search keys, 64 bytes a window,
+    are made where they are used.
+    """
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         self.window = window
-        texts = pa.array([t for _, t in items], pa.string())
-        words = words_of(texts, ALNUM)
-        hashes, counts = words.hashes(), words.counts
+        words = words_of(pa.array([t for _, t in items], pa.string()), ALNUM)
+        self.words, counts = words.hashes(), words.counts
         first = np.concatenate(([0], np.cumsum(counts)))
-        rows: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for i, n in enumerate(counts):
-            h = tuple(hashes[first[i] : first[i + 1]].tolist())
-            for j in range(max(1, n - window + 1) if n else 0):
-                rows.setdefault(h[j : j + window], []).append((i, j))
+        n = np.where(counts > 0, np.maximum(counts - window + 1, 1), 0)
+        item = np.repeat(np.arange(len(items)), n)
+        at = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
+        length = np.minimum(counts[item], window)
+        start = first[item] + at
+        order = np.lexsort((*((self._word(start, length, j)) for j in range(window)), length))
+        new = np.ones(len(order), bool)
+        new[1:] = length[order[1:]] != length[order[:-1]]
+        for j in range(window):
+            h = self._word(start[order], length[order], j)
+            new[1:] |= h[1:] != h[:-1]
+        head = order[new]
         self.names = [None if i is None else str(i) for i, _ in items]
-        self.length = np.array([len(w) for w in rows], np.int64)
-        self.hashes = np.zeros((len(rows), window), np.uint64)
-        for k, w in enumerate(rows):
-            self.hashes[k, : len(w)] = w
-        self.first = np.concatenate(([0], np.cumsum([len(v) for v in rows.values()]))).astype(np.int64)
-        self.places = np.array([p for v in rows.values() for p in v], np.int64).reshape(-1, 2)
-        codes = np.zeros((len(rows), _DEPTH), np.uint64)
-        codes[:, :window] = code(self.hashes) * (self.hashes != 0)
-        open_ = np.arange(_DEPTH)[None, :] >= self.length[:, None]
-        self.low, self.high = packed(codes), packed(np.where(open_, _LOW, codes))
+        self.start, self.length = start[head], length[head]
+        self.first = np.concatenate((np.flatnonzero(new), [len(order)])).astype(np.int64)
+        self.places = np.stack((item[order], at[order]), 1)
+
+    def _word(self, start: np.ndarray, length: np.ndarray, j: int) -> np.ndarray:
+        """The hash of the j-th word of each window, 0 behind its end."""
+        if not len(self.words):
+            return np.zeros(len(start), np.uint64)
+        return np.where(j < length, self.words[np.minimum(start + j, len(self.words) - 1)], np.uint64(0))
+
+    def word(self, which: np.ndarray, j: int) -> np.ndarray:
+        return self._word(self.start[which], self.length[which], j)
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """The lowest and the highest sort key of a suffix that begins with each window."""
+        if not hasattr(self, "_keys"):
+            codes = np.zeros((len(self.length), _DEPTH), np.uint64)
+            for j in range(self.window):
+                h = self._word(self.start, self.length, j)
+                codes[:, j] = code(h) * (h != 0)
+            low = packed(codes)
+            codes[np.arange(_DEPTH)[None, :] >= self.length[:, None]] = _LOW
+            self._keys = low, packed(codes)
+        return self._keys
 
 
 def code(hashes: np.ndarray) -> np.ndarray:
@@ -119,7 +143,8 @@ def matches(words: Words, q: Queries) -> tuple[np.ndarray, np.ndarray]:
     spaced[place] = hashes
     codes = code(spaced) * (spaced != 0)
     order, key = suffix_array(codes)
-    low, high = bound(order, key, q.low, False), bound(order, key, q.high, True)
+    least, most = q.keys()
+    low, high = bound(order, key, least, False), bound(order, key, most, True)
     found = high - low
     which = np.repeat(np.arange(len(found)), found)
     if not len(which):
@@ -127,7 +152,7 @@ def matches(words: Words, q: Queries) -> tuple[np.ndarray, np.ndarray]:
     at = order[np.arange(len(which)) - np.repeat(np.cumsum(found) - found, found) + np.repeat(low, found)]
     ok = np.ones(len(which), bool)
     for j in range(q.window):
-        ok &= (j >= q.length[which]) | (spaced[at + j] == q.hashes[which, j])
+        ok &= (j >= q.length[which]) | (spaced[at + j] == q.word(which, j))
     back = np.zeros(len(spaced), np.int64)
     back[place] = np.arange(len(hashes))
     return back[at[ok]], which[ok]

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FOLDS = 5
+#: Bytes of text in a training sample, in equal parts for its classes.
+SAMPLE_BYTES = 32 << 20
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -14,19 +16,29 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict[int, float]]:
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int = SAMPLE_BYTES) -> tuple[DataFrame, dict[int, float]]:
     """(text, y) of at most ``per_class`` labelled rows of each class, and the weight of a row of each class.
 
-    Rows of the held-out fold never take part. The sample is the rows with the smallest hashes of their ids; it is
-    bounded, so it is sent to the scan of the documents. Weights restore the classes' shares among all labelled rows.
+    Rows of the held-out fold never take part. The sample is the rows with the smallest hashes of their ids; of these, in that
+    order, a row whose text no longer fits into its class's part of ``max_bytes`` is passed over. It is bounded in rows and bytes,
+    so it is sent to the scan of the documents. Weights restore the classes' shares among all labelled rows.
     """
     rows = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(~held_out()).where("doc_id is not null and y in (0, 1)")
     counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("y")]
     some = rows.where("y = 0").orderBy(*order).limit(per_class).unionAll(rows.where("y = 1").orderBy(*order).limit(per_class))
-    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "y")
+    sizes = docs.select("doc_id", F.octet_length("text").alias("size")).join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.sum("size").alias("size"))
+    left = {y: max_bytes // max(1, len(counts)) for y in counts}
+    used, kept = dict.fromkeys(counts, 0), []
+    for r in sizes.orderBy(*order).collect():
+        if (r["size"] or 0) <= left[r["y"]]:
+            left[r["y"]] -= r["size"] or 0
+            used[r["y"]] += 1
+            kept.append((r["doc_id"], r["y"]))
+    known = docs.sparkSession.createDataFrame(kept, sizes.select("doc_id", "y").schema)
+    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y")
     total = sum(counts.values())
-    return texts, {y: n / total / min(n, per_class) for y, n in counts.items()}
+    return texts, {y: n / total / max(1, used[y]) for y, n in counts.items()}
 
 
 class Adam:

@@ -26,7 +26,7 @@ def test_matches_oracle(spark, name):
 
 
 def test_registered():
-    assert set(QUERIES) <= set(entry.queries()) and {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in QUERIES if n != "pipeline"}
+    assert set(QUERIES) <= set(entry.queries()) and {f"op{i}" for i in range(1, 14)} == {n.split("_")[0] for n in QUERIES if n != "pipeline"}
 
 
 # embeddings
