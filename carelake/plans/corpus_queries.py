@@ -10,7 +10,7 @@ from carelake.operators import corpus, graph_index, long_texts, metrics, neighbo
 from carelake.plans import clinical as cfg
 from carelake.plans.fixtures import patients, with_views
 from carelake.plans.metric_queries import SCALED_VIEW
-from carelake.plans.record_queries import _summary_sql
+from carelake.plans.record_queries import _FACTOR_ROWS, _summary_sql
 from carelake.plans.registry import query
 from carelake.session import materialize, run_dir, spread
 from carelake.sources.tables import table, write_index
@@ -301,7 +301,27 @@ _WORST = """, ranked AS (SELECT *, greatest(
        WHEN dijastolicki_krvni_tlak >= 85 THEN 2 WHEN dijastolicki_krvni_tlak >= 80 THEN 1 ELSE 0 END) AS worst FROM weighted)"""
 
 
-@query("advice_report", with_views("weighted", _WORST + ", " + _FUSED[5:] + f""",
+FACTOR_NAMES = list(cfg.QUERY_PHRASES)
+
+# Every patient's searches: one for each factor, whose vector is the one with the factor's number, and the general one, number 0.
+_ASKED = f"""plan AS (SELECT patient_id, CAST(row_number() OVER (PARTITION BY patient_id ORDER BY weight DESC, ord) - 1 AS INTEGER) AS query_ord, weight,
+  list_position([{", ".join(f"'{n}'" for n in FACTOR_NAMES)}], factor) AS query_id FROM named
+  UNION ALL SELECT patient_id, CAST((SELECT count(*) FROM named n WHERE n.patient_id = w.patient_id) AS INTEGER), 1, 0 FROM weighted w),
+req AS (SELECT patient_id AS request_id, query_ord, weight, vec_id, rank, rel, text FROM plan JOIN valid USING (query_id)),
+firsts AS (SELECT * FROM req QUALIFY row_number() OVER (PARTITION BY request_id, substr(text, 1, 80) ORDER BY query_ord, rank) = 1),
+fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY round(rel * (1 + weight * 0.1::DOUBLE), 12) DESC, query_ord, rank) AS INTEGER) AS fused_rank FROM firsts)"""
+
+
+def _asked(spark, sf_dir, people):
+    """The fused hits of every patient's searches; the hits are few for each factor, so they go to the patients."""
+    plan = risk.multi_query_plan(people, "patient_id", risk.factors_column(risk.factor_slots()), F.lit(None).cast("string"))
+    number = F.array_position(F.lit([n.replace("_", " ") for n in FACTOR_NAMES]), F.col("query_text"))
+    hits = _valid_hits(spark, sf_dir, cfg.HITS_PER_QUERY).where(F.col("query_id") <= len(FACTOR_NAMES))
+    asked = plan.select("patient_id", "query_ord", "weight", number.alias("query_id")).join(F.broadcast(hits), "query_id")
+    return retrieve.fuse(asked, "patient_id")
+
+
+@query("advice_report", with_views("weighted", _FACTOR_ROWS + _WORST + ", " + _TOPK.format(k=6) + ", " + _TEXTS + ", " + _ASKED + f""",
 shown AS (SELECT request_id, text, rel, row_number() OVER (PARTITION BY request_id ORDER BY fused_rank) AS no FROM fused WHERE fused_rank <= 8 AND length(text) >= 40 QUALIFY no <= 4),
 lists AS (SELECT request_id, count(*) AS n, string_agg(concat('**Preporuka ', no, '** (relevantnost: ', CAST(round_even(rel * 100, 0) AS INTEGER), '%):', chr(10), text, chr(10)), chr(10) ORDER BY no) AS body
   FROM shown GROUP BY request_id)
@@ -310,11 +330,23 @@ SELECT patient_id, CAST(COALESCE(n, 0) AS INTEGER) AS n_items, CASE WHEN n IS NU
 FROM ranked LEFT JOIN lists ON patient_id = request_id"""))
 def advice_report(spark, sf_dir):
     slots = risk.factor_slots()
-    people = risk.with_classes(patients(spark, sf_dir)).select(
-        "patient_id", cfg.TARGET, risk.summary_column(slots).alias("summary")
-    )
-    fused = _fused(spark, sf_dir).withColumnRenamed("request_id", "patient_id")
-    return retrieve.advice(people, fused, "patient_id", F.col(cfg.TARGET), F.col("summary"))
+    classed = risk.with_classes(patients(spark, sf_dir))
+    people = classed.select("patient_id", cfg.TARGET, risk.summary_column(slots).alias("summary"))
+    return retrieve.advice(people, _asked(spark, sf_dir, classed), "patient_id", F.col(cfg.TARGET), F.col("summary"))
+
+
+@query("advice_by_factor", with_views("weighted", _FACTOR_ROWS + ", " + _TOPK.format(k=6) + ", " + _TEXTS + ", " + _ASKED + """,
+best AS (SELECT request_id, vec_id FROM fused WHERE fused_rank = 1),
+led AS (SELECT patient_id, query_id FROM plan WHERE query_ord = 0)
+SELECT CAST(query_id AS BIGINT) AS query_id, count(*) AS patients, count(DISTINCT vec_id) AS first_items FROM led LEFT JOIN best ON request_id = patient_id GROUP BY query_id"""))
+def advice_by_factor(spark, sf_dir):
+    """For each heaviest factor (0 for none) its patients and how many different items come first for them."""
+    classed = risk.with_classes(patients(spark, sf_dir))
+    plan = risk.multi_query_plan(classed, "patient_id", risk.factors_column(risk.factor_slots()), F.lit(None).cast("string"))
+    number = F.array_position(F.lit([n.replace("_", " ") for n in FACTOR_NAMES]), F.col("query_text"))
+    led = plan.where("query_ord = 0").select("patient_id", number.alias("query_id"))
+    best = _asked(spark, sf_dir, classed).where("fused_rank = 1").select("patient_id", "vec_id")
+    return led.join(best, "patient_id", "left").groupBy("query_id").agg(F.count("*").alias("patients"), F.count_distinct("vec_id").alias("first_items"))
 
 
 # ---- nearest neighbours -------------------------------------------------------------------

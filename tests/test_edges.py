@@ -374,21 +374,6 @@ def test_repeated_corrections_and_crosstab_values(spark):
         profile.crosstab(df, "r", "c", ["x", "y"]).collect()
 
 
-def test_search_texts_keep_the_factor_query_and_a_whole_chunk(spark):
-    chunks = {f"{1000 * i + 7}-{i % 3}": f"chunk {i} " + "x" * 600 + f" end {i}" for i in range(40)}  # no id is below the count
-    frame = spark.createDataFrame(list(chunks.items()), "chunk_key string, text string")
-    plan = [(p, o, 5 - o, f"factor {o} of {p}") for p in range(100) for o in range(4)] + [(900, 0, 1, "factor 0 of 1")]
-    plan = spark.createDataFrame(plan, "patient_id long, query_ord int, weight int, query_text string")
-    topics, n = model_queries.numbered_topics(frame)
-    assert n == 40 and sorted(r["_no"] for r in topics.collect()) == list(range(40))
-    rows = model_queries.search_texts(plan, frame).collect()
-    assert len(rows) == 401
-    found = {(r["patient_id"], r["query_ord"]): r["search_text"].removeprefix(r["query_text"] + " ") for r in rows}
-    assert set(found.values()) == set(chunks.values())
-    assert found[900, 0] == found[1, 0] and len({found[5, o] for o in range(4)}) > 1
-    assert all(r["search_text"] == r["query_text"] for r in model_queries.search_texts(plan, frame.limit(0)).collect())
-
-
 def test_quantiles_by_digits(spark):
     r = np.random.default_rng(9)
     columns = {
