@@ -29,25 +29,26 @@ def band_table(spark, bands=cfg.BANDS) -> DataFrame:
 
 
 SALTS = 32
+#: Bands that are sent to the rows; more are joined by parameter and salt.
+SHIPPED_BANDS = 10_000
 
 
-def classify_by_table(long: DataFrame, bands: DataFrame) -> DataFrame:
+def classify_by_table(long: DataFrame, bands: DataFrame, shipped: int = SHIPPED_BANDS) -> DataFrame:
     """Range join of ``(.., param, value)`` rows with a band table on parameter and interval.
 
-    A few parameters hold all rows, so rows are dealt over salts and each band is given to every salt; the join
-    then spreads over parameters times salts. Bands of a parameter do not overlap, so at most one matches.
+    Bands are counted: up to ``shipped`` of them go to the rows, which stay where they are. A longer table is joined; as a
+    few parameters hold all rows, rows are then dealt over salts and each band is given to every salt. Bands of a parameter do not
+    overlap, so at most one matches.
     """
-    b = bands.select(
-        F.col("param").alias("_p"), "label", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s")
-    )
-    salted = long.withColumn("_salt", F.pmod(F.xxhash64(*long.columns), F.lit(SALTS)).cast("int"))
-    inside = (
-        (F.col("param") == F.col("_p")) & (F.col("_salt") == F.col("_s"))
-        & (F.col("value") >= F.col("lo")) & (F.col("value") < F.col("hi"))
-    )
-    return salted.join(b, inside, "left").select(
-        *long.columns, F.coalesce("label", F.lit(cfg.UNKNOWN_CLASS)).alias("label")
-    )
+    b = bands.select(F.col("param").alias("_p"), "label", "lo", "hi")
+    inside = (F.col("param") == F.col("_p")) & (F.col("value") >= F.col("lo")) & (F.col("value") < F.col("hi"))
+    if b.limit(shipped + 1).count() <= shipped:
+        joined = long.join(F.broadcast(b), inside, "left")
+    else:
+        salted = long.withColumn("_salt", F.pmod(F.xxhash64(*long.columns), F.lit(SALTS)).cast("int"))
+        spread = b.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
+        joined = salted.join(spread, inside & (F.col("_salt") == F.col("_s")), "left")
+    return joined.select(*long.columns, F.coalesce("label", F.lit(cfg.UNKNOWN_CLASS)).alias("label"))
 
 
 def worse_class(a: Column, b: Column, order: Sequence[tuple[str, str]] = cfg.PRESSURE_ORDER) -> tuple[Column, Column]:

@@ -67,7 +67,7 @@ SELECT patient_id, nullif(concat_ws('; ', CASE WHEN gone <> '' THEN concat('miss
 def score_batch_errors(spark, sf_dir):
     """Every request gets a row; a bad one names its fields and stops no other."""
     train, _ = models.train_test(models.labelled(patients(spark, sf_dir)))
-    out = models.score_batch(models.train_forest(train, numTrees=5, maxDepth=4), patients_dirty(spark, sf_dir))
+    out = models.score_batch(models.train_forest(train), patients_dirty(spark, sf_dir))
     return out.select("patient_id", "error", F.col("risk_level").isNotNull().alias("scored"))
 
 
@@ -135,11 +135,11 @@ def feature_importance_check(spark, sf_dir):
 
 
 @query("model_run_check", with_views("patients", f"""SELECT '1.0' AS version, (SELECT count(*) FROM patients) AS samples, {len(cfg.FEATURES)}::INTEGER AS n_features,
-  '{",".join(cfg.FEATURES)}' AS feature_names, 20::INTEGER AS n_trees, 5::INTEGER AS max_depth"""))
+  '{",".join(cfg.FEATURES)}' AS feature_names, {cfg.FOREST["numTrees"]}::INTEGER AS n_trees, {cfg.FOREST["maxDepth"]}::INTEGER AS max_depth"""))
 def model_run_check(spark, sf_dir):
     """The run log without its time."""
     rows, path = models.labelled(patients(spark, sf_dir)), run_dir(spark, "model-runs")
-    models.log_run(spark, path, "1.0", rows.count(), models.train_forest(rows, numTrees=20, maxDepth=5))
+    models.log_run(spark, path, "1.0", rows.count(), models.train_forest(rows))
     return spark.read.parquet(path).select("version", "samples", "n_features", "feature_names", "n_trees", "max_depth")
 
 
