@@ -81,3 +81,48 @@ def test_broken_archives_are_named(spark, tmp_path):
             W.read_warc(spark, str(tmp_path / path)).collect()
     (tmp_path / "none").mkdir()
     assert W.read_warc(spark, str(tmp_path / "none")).count() == 0
+
+
+def brute_groups(rows):
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def templated(n, copies=0):
+    """Texts of one template that differ in about a quarter of their words at one place, and near copies of some of them."""
+    template = [f"same{i}" for i in range(160)]
+    rows = [(i, " ".join(template + [f"own{i}x{k}" for k in range(60)])) for i in range(n)]
+    return rows + [(n + j, rows[3 * j][1] + f" more{j}") for j in range(copies)]
+
+
+def test_texts_of_one_template_are_not_linked_but_their_copies_are(spark, monkeypatch):
+    rows = templated(60, 15)
+    for name, value in (("TEXT_BLOCK", 8), ("FAN", 3), ("BUCKET_BLOCK", 16), ("PICKED", 2)):
+        monkeypatch.setattr(N, name, value)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(docs).collect()}
+    assert got == brute_groups(rows)
+
+
+def test_texts_that_cannot_link_leave_large_clusters(spark):
+    rows = [(i, t) for i, t in templated(40, 5)]
+    many = spark.createDataFrame([(7, i % 4, 4, i, t) for i, t in rows], "cluster long, block long, blocks long, id long, text string")
+    left = {r["id"] for r in N._linkable(many).collect()}
+    assert left == {40 + j for j in range(5)} | {3 * j for j in range(5)}
+    assert N._linkable(many).columns == many.columns
