@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,9 @@ LOWER[65:91] += 32
 #: Words of letters, digits and everything beyond ASCII, after lower-casing A-Z.
 ALNUM = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 #: Words between white space.
-SPACED = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
+SPACED = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])#: The lowest bytes of a number that are kept for a word's last block, by their number.
+_KEEP = np.array([0] + [(1 << 8 * k) - 1 for k in range(1, 9)], np.uint64)
+
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every input bit."""
@@ -66,28 +69,38 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.bincount(self.doc, minlength=self.n_docs)
 
+    @cached_property
     def blocks(self) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of every word as numbers of eight bytes, the last one filled up with zeros, and where each word's begin."""
         size = self.ends - self.starts
         count = (size + 7) >> 3
         first = np.concatenate(([0], np.cumsum(count)))
-        place = np.arange(first[-1]) - np.repeat(first[:-1], count)
         padded = np.concatenate((self.buf, np.zeros(8, np.uint8)))
         any_eight = np.ndarray((len(self.buf) + 1,), "<u8", padded, 0, (1,))
-        out = any_eight[np.repeat(self.starts, count) + 8 * place]
-        left = np.repeat(size, count) - 8 * place
-        short = left < 8
-        out[short] &= (np.uint64(1) << (np.uint64(8) * left[short].astype(np.uint64))) - np.uint64(1)
+        # words of one block, and then those of more
+        out = np.empty(first[-1], np.uint64)
+        one = count == 1
+        out[first[:-1][one]] = any_eight[self.starts[one]]
+        long = np.flatnonzero(~one)
+        place = np.arange(count[long].sum()) - np.repeat(np.cumsum(count[long]) - count[long], count[long])
+        out[np.repeat(first[:-1][long], count[long]) + place] = any_eight[np.repeat(self.starts[long], count[long]) + 8 * place]
+        out[first[1:] - 1] &= _KEEP[size - 8 * (count - 1)]
         return out, first
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word: its blocks are mixed with their places, added and mixed again. It is never 0."""
         if not len(self.starts):
             return np.zeros(0, np.uint64)
-        blocks, first = self.blocks()
-        place = (np.arange(len(blocks)) - np.repeat(first[:-1], np.diff(first)) + 1).astype(np.uint64)
-        mixed = mix64(blocks + place * np.uint64(0x9E3779B97F4A7C15))
-        h = np.add.reduceat(mixed, first[:-1])
+        blocks, first = self.blocks
+        step = np.uint64(0x9E3779B97F4A7C15)
+        h = mix64(blocks[first[:-1]] + step)
+        long = np.flatnonzero(np.diff(first) > 1)
+        if len(long):
+            more = np.diff(first)[long] - 1
+            start = np.cumsum(more) - more
+            place = np.arange(more.sum()) - np.repeat(start, more) + 1
+            at = np.repeat(first[:-1][long], more) + place
+            h[long] += np.add.reduceat(mix64(blocks[at] + (place + 1).astype(np.uint64) * step), start)
         h = mix64(h + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         h[h == 0] = 1
         return h

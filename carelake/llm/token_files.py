@@ -86,11 +86,13 @@ class WordEncoder:
     def _same(self, words: Words, blocks: np.ndarray, first: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Whether each word is the remembered one in its place."""
         same = (words.ends - words.starts) == self.size[place]
-        count = np.where(same, np.diff(first), 0)
-        each = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        differ = blocks[np.repeat(first[:-1], count) + each] != self.blocks[np.repeat(self.first[place], count) + each]
+        same &= blocks[first[:-1]] == self.blocks[self.first[place]]
+        long = np.flatnonzero(same & (np.diff(first) > 1))  # the first block is compared, now the others
+        count = np.diff(first)[long] - 1
+        each = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + 1
+        differ = blocks[np.repeat(first[:-1][long], count) + each] != self.blocks[np.repeat(self.first[place[long]], count) + each]
         if differ.any():
-            same[np.unique(np.repeat(np.arange(len(count)), count)[differ])] = False
+            same[np.unique(np.repeat(long, count)[differ])] = False
         return same
 
     def _encoded(self, chunks: list[str]) -> list[list[int]]:
@@ -124,7 +126,7 @@ class WordEncoder:
         """(ids of all texts, each followed by the end id; number of ids of each text)."""
         words = words_of(texts, SPACED, lower=False)
         h = words.hashes()
-        blocks, first = words.blocks()
+        blocks, first = words.blocks
         if len(self.start) > CACHE_WORDS:
             self.forget()
         place = self._find(h)
