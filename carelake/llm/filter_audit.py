@@ -180,13 +180,13 @@ def _row_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "digest", "fails_c", "fails_d", "n_words", "n_distinct"])
 
 
-def term_matrix(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
-    """The vocabulary (word, term) and the matrix in shards, one row each.
-
-    A shard has doc_ids, parts, digests, fails_c, fails_d for its documents, and as packed numbers indptr (64 bits), codes
-    (terms, 64 bits) and counts (32 bits). No two words share a term; terms have gaps.
-    """
+def _shard_fields(docs: DataFrame) -> str:
     kind = docs.schema["doc_id"].dataType.simpleString()
+    return f"doc_ids array<{kind}>, parts array<string>, digests array<binary>, fails_c array<boolean>, fails_d array<boolean>, indptr binary, codes binary, counts binary"
+
+
+def _coded(docs: DataFrame, shard_bytes: int, bucket_bytes: int) -> tuple[DataFrame, DataFrame, int]:
+    """Cells of the vocabulary by bucket, every shard's own row with its terms behind it, and the bits of a bucket."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,8 +195,7 @@ def term_matrix(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_bytes: i
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
-    fields = f"doc_ids array<{kind}>, parts array<string>, digests array<binary>, fails_c array<boolean>, fails_d array<boolean>, indptr binary, codes binary, counts binary"
-    local = rows.mapInArrow(build, f"{fields}, words binary").withColumn("shard", F.monotonically_increasing_id())
+    local = rows.mapInArrow(build, f"{_shard_fields(docs)}, words binary").withColumn("shard", F.monotonically_increasing_id())
     local = materialize(local, "shards")
     total = local.agg(F.sum(F.length("words"))).first()[0] or 0
     bits = max(0, (total // bucket_bytes).bit_length())
@@ -205,14 +204,25 @@ def term_matrix(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_bytes: i
     terms = cells.mapInArrow(_terms(bits), "shard long, bucket long, terms binary")
     own = local.drop("words").withColumn("bucket", F.lit(-1).cast("long"))
     both = own.unionByName(terms, allowMissingColumns=True).repartition("shard").sortWithinPartitions("shard", "bucket")
-    return cells.mapInArrow(_vocabulary(bits), "word string, term long"), both.mapInArrow(_recode, fields)
+    return cells, both, bits
+
+
+def term_matrix(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
+    """The vocabulary (word, term) and the matrix in shards, one row each.
+
+    A shard has doc_ids, parts, digests, fails_c, fails_d for its documents, and as packed numbers indptr (64 bits), codes
+    (terms, 64 bits) and counts (32 bits). No two words share a term; terms have gaps.
+    """
+    cells, both, bits = _coded(docs, shard_bytes, bucket_bytes)
+    return cells.mapInArrow(_vocabulary(bits), "word string, term long"), both.mapInArrow(_recode, _shard_fields(docs))
 
 
 def failed_filters(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, part and ``fails``, the letters of the filters that the document fails, for every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    _, matrix = term_matrix(docs, shard_bytes)
-    rows = matrix.mapInArrow(_row_totals, f"doc_id {kind}, part string, digest binary, fails_c boolean, fails_d boolean, n_words bigint, n_distinct bigint")
+    _, both, _ = _coded(docs, shard_bytes, BUCKET_BYTES)
+    # the recoded shards are summed in the same Python worker
+    rows = both.mapInArrow(lambda batches: _row_totals(_recode(batches)), f"doc_id {kind}, part string, digest binary, fails_c boolean, fails_d boolean, n_words bigint, n_distinct bigint")
     rows = materialize(rows, "matrix-rows")
     copies = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     copies = materialize(copies.where("least < most").select("digest", "least"), "copies")
