@@ -213,6 +213,13 @@ def zone_display(spark, sf_dir):
     return patients(spark, sf_dir).select("patient_id", F.inline(risk.zones_column())).select("patient_id", "param", "zone")
 
 
+@query("percent_text", "SELECT o_orderkey, printf('%.1f%%', (o_orderkey % 1601) / 16.0::DOUBLE) AS percent FROM orders")
+def percent_text(spark, sf_dir):
+    """Shares as the scoring writes them; every eighth one is a tie."""
+    share = (F.col("o_orderkey") % 1601) / F.lit(16.0)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(fx.format_fixed(share, 1), F.lit("%")).alias("percent"))
+
+
 @query(
     "gauge_percent",
     with_views("patients", " UNION ALL ".join(

@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 from carelake.functions import columns as fx
 from carelake.functions import tails
 from carelake.functions import text as tx
-from carelake.operators import corpus, feedback, metrics, models, profile, ranks, retrieve, split
+from carelake.operators import corpus, feedback, metrics, models, profile, ranks, retrieve, risk, split
 from carelake.plans import clinical as cfg
-from carelake.plans import model_queries
 from carelake.session import checkpoint_root, run_dir
 from carelake.sources import tables
 
@@ -393,3 +392,11 @@ def test_quantiles_by_digits(spark):
             low, high = x[int(np.floor(pos))], x[int(np.ceil(pos))]
             assert found[c, p] == low + (high - low) * (pos - np.floor(pos))
     assert ranks.exact_quantiles(df.limit(0), names, probs).count() == 0
+
+
+def test_many_bands_are_joined_by_salt(spark):
+    bands = spark.createDataFrame([(p, i, f"{p}{i}", 10.0 * i, 10.0 * (i + 1)) for p in "ab" for i in range(5)], "param string, ord int, label string, lo double, hi double")
+    rows = spark.createDataFrame([(i, "abc"[i % 3], float(i % 60)) for i in range(600)] + [(900, "a", None), (901, None, 5.0)], "id int, param string, value double")
+    both = [sorted((tuple(r) for r in risk.classify_by_table(rows, bands, shipped).collect()), key=repr) for shipped in (10_000, 3)]
+    assert both[0] == both[1] and len(both[0]) == 602
+    assert {r[3] for r in both[0] if r[1] == "a" and r[2] == 15.0} == {"a1"} and {r[3] for r in both[0] if r[1] in ("c", None)} == {cfg.UNKNOWN_CLASS}
