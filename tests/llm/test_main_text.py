@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from carelake.llm.html_main_text import _apply_marks, _attributes, main_text, parse_blocks  # noqa: F401
+from carelake.llm.html_main_text import _attributes, main_text
 
 ART = "This is a full article paragraph with quite a few words in it so that the reader will surely see it as content and keep it. " * 3
 TEXT = ART.strip()
