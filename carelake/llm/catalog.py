@@ -65,7 +65,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op10_secrets")
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_report(_table(spark, sf_dir, "documents"))
+    return secret_report(_table(spark, sf_dir, "documents"), whole=True)
 
 
 @_query("op7_warc", oracles.OP7)

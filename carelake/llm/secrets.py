@@ -5,7 +5,7 @@ walks and brute-force spans. Words cost by their rank among common passwords and
 brute-force span what random ones do. A value after a credential key whose cost is high is a secret, whatever its alphabet or
 length; plain words or a date after such a key are not.
 
-Spans are (kind, start, end) in code points, end exclusive. Kinds in order: assign (the value), access, hex, guess. A guess
+Spans are (kind, start, end) in code points, end exclusive. Kinds in order: assign (the value, or the whole match), access, hex, guess. A guess
 span is added only where no base span covers it.
 
 Defined results: a null text is empty and has no spans; repeated rows each get their own result.
@@ -224,12 +224,12 @@ def _prefixes(ranks: dict[str, int]) -> frozenset[str]:
     return _prefix_set(id(ranks), len(ranks))
 
 
-def find_secrets(text: str, ranks: dict[str, int] = _RANK) -> list[tuple[str, int, int]]:
-    """All spans of one text by start, then kind."""
-    low = text.lower()
+def find_secrets(text: str, ranks: dict[str, int] = _RANK, whole: bool = False) -> list[tuple[str, int, int]]:
+    """All spans of one text by start, then kind. An assign span is the value, or with ``whole`` all of its match."""
+    low, part = text.lower(), 0 if whole else 2
     spans: list[tuple[str, int, int]] = []
     if any(h in low for h in _ASSIGN_HINTS):
-        spans += [("assign", m.start(2), m.end(2)) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+        spans += [("assign", m.start(part), m.end(part)) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     if "AKIA" in text:
         spans += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     spans += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
@@ -250,11 +250,11 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def _scan(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], held, whole: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for t in batch.column("text"):
-            spans = find_secrets(t.as_py() or "", held.value)
+            spans = find_secrets(t.as_py() or "", held.value, whole)
             base = [s for s in spans if s[0] != "guess"]
             n = [sum(s[0] == k for s in spans) for k in KINDS]
             rows.append((*n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)))
@@ -264,13 +264,13 @@ def _scan(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", *names])
 
 
-def secret_report(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def secret_report(docs: DataFrame, vocabulary: str | None = None, whole: bool = False) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans. No row is shuffled.
 
     ``vocabulary`` is a vocabulary file with word ends, by default that of a public tokenizer; its words, at most as many as it
-    has tokens, go to the tasks.
+    has tokens, go to the tasks. ``whole`` reports assignments from their key to the end of the value, not the value alone.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(word_ranks(vocabulary or default_vocabulary()))
     fields = f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: _scan(batches, held), fields)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: _scan(batches, held, whole), fields)
