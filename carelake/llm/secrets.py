@@ -53,6 +53,8 @@ _WALKS = tuple(w + "|" + w[::-1] for w in ("qwertyuiop", "asdfghjkl", "zxcvbnm",
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d")
 #: Letters of the longest word, date and repeated unit; longer walks are taken as far as they go.
 LONGEST = 20
+#: Letters of a value that is compared with itself letter by letter; longer ones as arrays.
+SHORT = 64
 #: log10 guesses of a brute-force span: to begin one, and for each character by what the span is made of.
 START = 1.0
 LETTER, DIGIT, LETTER_OR_DIGIT, ANY = math.log10(26), 1.0, math.log10(62), math.log10(95)
@@ -107,8 +109,18 @@ def _segment(text: str, ranks: dict[str, int] = _RANK) -> float:
     return best
 
 
-def _agreement(value: str) -> list[np.ndarray]:
+def _run_lengths(value: str, u: int) -> list[int]:
+    out = [0] * len(value)
+    for at in range(len(value) - u - 1, -1, -1) if u else ():
+        if value[at] == value[at + u]:
+            out[at] = out[at + 1] + 1
+    return out
+
+
+def _agreement(value: str) -> list[np.ndarray] | list[list[int]]:
     """For every unit size: how many characters from each place on equal the one a unit later."""
+    if len(value) <= SHORT:
+        return [_run_lengths(value, u) for u in range(min(LONGEST, len(value) // 2) + 1)]
     points = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
     n, out = len(points), [np.zeros(len(points), np.int64)]
     for u in range(1, min(LONGEST, n // 2) + 1):

@@ -34,3 +34,12 @@ def test_assignments_are_whole_matches(spark, tmp_path):
 def test_the_operator_still_gives_values():
     assert find_secrets("secret=abcdefg") == [("assign", 7, 14)]
     assert find_secrets("secret=abcdefg", whole=True) == [("assign", 0, 14)]
+
+
+def test_short_and_long_values_agree_with_themselves_alike(monkeypatch):
+    from carelake.llm import secrets as S
+
+    values = ["", "a", "aa", "abab", "aaaaabaaaa", "xyzxyzxyzx", "Xk9$mQ2!vT7#", "0101é0101é01", "ab" * 31 + "c"]
+    short = [[list(map(int, row)) for row in S._agreement(v)] for v in values]
+    monkeypatch.setattr(S, "SHORT", -1)
+    assert short == [[list(map(int, row)) for row in S._agreement(v)] for v in values]
