@@ -247,23 +247,43 @@ def relevant(hits: DataFrame, floor: float = cfg.RELEVANCE_FLOOR) -> DataFrame:
     return hits.where(F.col("relevance") >= floor)
 
 
-def with_valid_text(hits: DataFrame, chunks: DataFrame, corpus_id: str, text: str = "text", terms: Sequence[str] = tuple(cfg.TABLE_TERMS)) -> DataFrame:
-    """Attach the repaired chunk text and drop hits without a usable one.
+def valid_texts(chunks: DataFrame, corpus_id: str, text: str = "text", terms: Sequence[str] = tuple(cfg.TABLE_TERMS)) -> DataFrame:
+    """The repaired text of every chunk that has a usable one.
 
-    The text is checked once per chunk; exploding the usable ones, unlike a filter, does not check it again.
+    A text is checked once; exploding the usable ones, unlike a filter, does not check it again.
     """
     usable = F.filter(F.array(tx.validate(F.col(text), terms)), lambda t: t != "")
-    checked = chunks.select(corpus_id, text).select(corpus_id, F.explode(usable).alias("text"))
-    return hits.join(checked, corpus_id)
+    return chunks.select(corpus_id, text).select(corpus_id, F.explode(usable).alias("text"))
+
+
+def with_valid_text(hits: DataFrame, chunks: DataFrame, corpus_id: str, text: str = "text", terms: Sequence[str] = tuple(cfg.TABLE_TERMS)) -> DataFrame:
+    """Attach the repaired chunk text and drop hits without a usable one."""
+    return hits.join(valid_texts(chunks, corpus_id, text, terms), corpus_id)
+
+
+def _with_head(rows: DataFrame, prefix: int) -> DataFrame:
+    return rows.withColumns({"head": F.unhex(F.md5(F.substring("text", 1, prefix))), "chars": F.length("text")})
+
+
+def without_text(rows: DataFrame, prefix: int = cfg.DEDUP_PREFIX) -> DataFrame:
+    """What fusion and advice need of a text until it is shown: the hash of its prefix as ``head``, and its length as ``chars``."""
+    return _with_head(rows, prefix).drop("text")
+
+
+def with_text(rows: DataFrame, texts: DataFrame, corpus_id: str, prefix: int = cfg.DEDUP_PREFIX) -> DataFrame:
+    """Rows ``without_text`` with it again, also where an id has several texts."""
+    keys = [corpus_id, "head", "chars"]
+    return rows.join(_with_head(texts.select(corpus_id, "text"), prefix).dropDuplicates(keys), keys)
 
 
 def fuse(hits: DataFrame, request: str, prefix: int = cfg.DEDUP_PREFIX, step: float = cfg.WEIGHT_STEP) -> DataFrame:
     """Merge the hits of a request's queries.
 
     Of hits with the same text prefix the first by (query_ord, rank) stays; the rest is ordered by weighted
-    score, earlier hits first on a tie. A request has at most queries × k hits.
+    score, earlier hits first on a tie. A request has at most queries × k hits. Hits ``without_text`` are told apart by ``head``.
     """
-    first = Window.partitionBy(request, F.substring("text", 1, prefix)).orderBy("query_ord", "rank")
+    head = F.col("head") if "head" in hits.columns else F.substring("text", 1, prefix)
+    first = Window.partitionBy(request, head).orderBy("query_ord", "rank")
     by_score = Window.partitionBy(request).orderBy(F.desc(F.round("weighted_score", 12)), "query_ord", "rank")
     return (
         hits.withColumn("_seen", F.row_number().over(first))
@@ -274,41 +294,48 @@ def fuse(hits: DataFrame, request: str, prefix: int = cfg.DEDUP_PREFIX, step: fl
     )
 
 
-def advice(people: DataFrame, fused: DataFrame, request: str, level: Column, summary: Column, n: int = cfg.ADVICE_ITEMS) -> DataFrame:
-    """Advice text per person: banner, summary and the first n usable hits, or a fallback."""
-    shown = F.length("text") >= cfg.CHUNK_MIN_CHARS
+def advice(
+    people: DataFrame, fused: DataFrame, request: str, level: Column, summary: Column, n: int = cfg.ADVICE_ITEMS,
+    key: str | None = None, texts: DataFrame | None = None, corpus_id: str | None = None,
+) -> DataFrame:
+    """Advice text per person: banner, summary and the first n usable hits, or a fallback.
+
+    Several people may share a ``request``; ``key`` then names the person. Hits ``without_text`` get theirs from ``texts`` by
+    ``corpus_id``, and only those that are shown.
+    """
+    shown = (F.col("chars") if "chars" in fused.columns else F.length("text")) >= cfg.CHUNK_MIN_CHARS
     number = F.count_if(shown).over(Window.partitionBy(request).orderBy("fused_rank"))
     percent = F.rint(F.col("relevance") * 100).cast("int").cast("string")
     item = F.concat(
         render(cfg.ADVICE_ITEM, {"n": F.col("_no").cast("string"), "p": percent}), F.lit("\n"), F.col("text"), F.lit("\n")
     )
     # at most 2n hits per request; a request without a usable one keeps an empty list
-    items = (
-        fused.where(F.col("fused_rank") <= 2 * n)
-        .withColumn("_no", number)
-        .groupBy(request)
-        .agg(F.sort_array(F.collect_list(F.when(shown & (F.col("_no") <= n), F.struct("_no", item.alias("_item"))))).alias("_items"))
-    )
+    first = fused.where(F.col("fused_rank") <= 2 * n).withColumn("_no", number).withColumn("_shown", shown & (F.col("_no") <= n))
+    if texts is not None:
+        first = with_text(first.where(F.col("_shown") | (F.col("fused_rank") == 1)), texts, corpus_id)
+    items = first.groupBy(request).agg(F.sort_array(F.collect_list(F.when(F.col("_shown"), F.struct("_no", item.alias("_item"))))).alias("_items"))
     listed = F.array_join(F.transform("_items", lambda x: x["_item"]), "\n")
     body = F.when(F.size("_items") > 0, listed).otherwise(F.lit(cfg.ADVICE_EMPTY))
     text = F.when(
         F.col("_items").isNotNull(), F.concat_ws("\n", risk.banner_column(level), summary, body)
     ).otherwise(F.lit(cfg.ADVICE_NONE))
     joined = people.join(items, request, "left")
-    return joined.select(request, F.coalesce(F.size("_items"), F.lit(0)).alias("n_items"), text.alias("advice"))
+    return joined.select(key or request, F.coalesce(F.size("_items"), F.lit(0)).alias("n_items"), text.alias("advice"))
 
 
 def search_requests(
     plan: DataFrame, index: DataFrame, encoder, request: str, corpus_id: str, k: int = cfg.HITS_PER_QUERY,
-    floor: float = cfg.RELEVANCE_FLOOR, terms: Sequence[str] = tuple(cfg.TABLE_TERMS),
+    floor: float = cfg.RELEVANCE_FLOOR, terms: Sequence[str] = tuple(cfg.TABLE_TERMS), texts: bool = True,
 ) -> DataFrame:
     """Run the queries of all requests against the index and fuse the hits per request.
 
-    Equal query texts are searched once.
+    Equal query texts are searched once. Hits are fused ``without_text``; with ``texts`` they get it afterwards.
     """
     keyed = plan.withColumn("_query", F.md5("query_text"))
-    texts = keyed.groupBy("_query").agg(F.min("query_text").alias("query_text"))
-    vectors = materialize(encoder.encode(texts, "query_text").drop("query_text"), "query-vectors")
+    asked = keyed.groupBy("_query").agg(F.min("query_text").alias("query_text"))
+    vectors = materialize(encoder.encode(asked, "query_text").drop("query_text"), "query-vectors")
     hits = relevant(top_k(index, vectors, k, corpus_id, "_query"), floor)
-    valid = materialize(with_valid_text(hits, index, corpus_id, terms=terms), "query-hits")
-    return fuse(valid.join(keyed.select("_query", request, "query_ord", "weight"), "_query"), request)
+    usable = valid_texts(index, corpus_id, terms=terms)
+    found = materialize(hits.join(without_text(usable), corpus_id).drop("distance"), "query-hits")
+    fused = fuse(found.join(keyed.select("_query", request, "query_ord", "weight"), "_query"), request)
+    return with_text(fused, usable, corpus_id) if texts else fused
