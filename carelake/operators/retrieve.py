@@ -28,6 +28,8 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 20_000
 # rows that fit the cells of an approximate search, and of them rows that set its number of visits
 FIT_ROWS, PROBE_ROWS = 50_000, 5_000
+# copies of queries, and distances to cells, that a task makes at once
+PROBED_ROWS, PROBED_CELLS = 10_000, 4_000_000
 ROUND_TO = {"cosine": 12, "euclidean": 9}
 
 
@@ -218,16 +220,18 @@ def top_k_probed(
         probes = _probes_for(_matrix(rows.column("_v"), rows.num_rows), centers, k, recall)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, min(PROBED_ROWS // max(1, min(probes, cells)), PROBED_CELLS // len(centers)))
+        norms = (centers * centers).sum(1)[None, :]
         for batch in batches:
-            m = _unit(_matrix(batch.column("_v"), batch.num_rows))
-            d = (centers * centers).sum(1)[None, :] - 2.0 * m @ centers.T
-            chosen = np.argsort(d, axis=1, kind="stable")[:, :probes]
-            at = np.repeat(np.arange(batch.num_rows), chosen.shape[1])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_qid").take(pa.array(at)), batch.column("_v").take(pa.array(at)),
-                 pa.array(chosen.ravel().astype("int32"))],
-                ["_qid", "_v", "cell"],
-            )
+            for part in (batch.slice(at, step) for at in range(0, batch.num_rows, step)):
+                d = norms - 2.0 * _unit(_matrix(part.column("_v"), part.num_rows)) @ centers.T
+                chosen = np.argsort(d, axis=1, kind="stable")[:, :probes]
+                at = np.repeat(np.arange(part.num_rows), chosen.shape[1])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("_qid").take(pa.array(at)), part.column("_v").take(pa.array(at)),
+                     pa.array(chosen.ravel().astype("int32"))],
+                    ["_qid", "_v", "cell"],
+                )
 
     placed = model.transform(clustered).select("_id", "_v", F.col("prediction").alias("cell"))
     probed = q.mapInArrow(nearest, f"_qid {dict(q.dtypes)['_qid']}, _v array<double>, cell int")
