@@ -35,3 +35,36 @@ def test_requests_are_fused_once_and_without_texts(spark):
     assert fused.select("request").distinct().count() <= requests < people.count()
     plan = cq._plan(people)
     assert plan.count() == people.select("request", F.size("factors").alias("n")).distinct().agg(F.sum(F.col("n") + 1)).first()[0]
+
+
+def test_single_precision_vectors_travel_as_they_are(spark):
+    import numpy as np
+
+    m = np.random.default_rng(2).normal(size=(60, 5)).astype("float32")
+    rows = [(i, v.tolist()) for i, v in enumerate(m)]
+    found = []
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+        queries = df.withColumnRenamed("vec_id", "query_id")
+        c, q = retrieve._sides(df, queries, "vec_id", "query_id", "embedding")
+        assert dict(c.dtypes)["_v"] == dict(q.dtypes)["_v"] == f"array<{kind}>"
+        for search in (lambda: retrieve.top_k(df, queries, 4, "vec_id", "query_id", broadcast_bytes=0), lambda: retrieve.top_k_probed(df, queries, 4, "vec_id", "query_id", cells=3, probes=3)):
+            found.append(sorted(map(tuple, search().select("query_id", "rank", "vec_id", "relevance").collect())))
+    assert all(f == found[0] for f in found)
+
+
+def test_requests_get_texts_at_once_or_later(spark):
+    long = "Long enough advice text to be listed as an item, number"
+    index = spark.createDataFrame([(str(i), f"{long} {i}.", [1.0, i / 10]) for i in range(8)], "key string, text string, embedding array<double>")
+    plan = spark.createDataFrame([("a", 0, 2, "x"), ("a", 1, 1, "y"), ("b", 0, 1, "x")], "request string, query_ord int, weight int, query_text string")
+
+    class Encoder:
+        def encode(self, df, text):
+            return df.withColumn("embedding", F.array(F.lit(1.0), F.when(F.col(text) == "x", 0.1).otherwise(0.6)))
+
+    whole = retrieve.search_requests(plan, index, Encoder(), "request", "key", k=3)
+    usable = retrieve.valid_texts(index, "key")
+    slim = retrieve.search_requests(plan, index, Encoder(), "request", "key", k=3, usable=usable)
+    cols = ["request", "fused_rank", "key", "weighted_score", "text"]
+    got, expected = (sorted(map(tuple, d.select(cols).collect())) for d in (retrieve.with_text(slim, usable, "key"), whole))
+    assert "text" not in slim.columns and got == expected and len(got) >= 6
