@@ -10,8 +10,9 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
-from functools import partial
+from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,31 +105,32 @@ def score_batch(model: PipelineModel, requests: DataFrame, features: Sequence[st
     A request with a missing field, or with one that is no finite number, becomes an error row that names it and does
     not stop the others.
     """
-    given = requests.withColumn("_given", F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in features])))
+    given = requests.withColumn("_given", F.array(*[F.col(c).isNotNull() for c in features]))
     read = coerce_numbers(given, features)
-    unread = [F.when(F.col(c).isNull() & F.array_contains("_given", c), F.lit(c)) for c in features]
-    absent = [F.when(~F.array_contains("_given", c), F.lit(c)) for c in features]
+    was = [F.get("_given", F.lit(i)) for i in range(len(features))]
+    unread = [F.when(F.col(c).isNull() & w, F.lit(c)) for c, w in zip(features, was, strict=True)]
+    absent = [F.when(~w, F.lit(c)) for c, w in zip(features, was, strict=True)]
     temp = celsius(F.col("tjelesna_temp"), cfg.FAHRENHEIT_ABOVE)
+    complete = reduce(and_, [F.col(c).isNotNull() for c in features])
+    error = F.concat_ws("; ", _named("missing: ", absent), _named("not a number: ", unread))
+    # incomplete rows pass the model with zeros, so that the requests are read once and no condition is evaluated below their reading
     ready = read.select(
-        key, *[(temp if c == "tjelesna_temp" else F.col(c)).alias(c) for c in features],
-        F.array_compact(F.array(*absent)).alias("_missing"), F.array_compact(F.array(*unread)).alias("_unread"),
+        key, *[F.coalesce(temp if c == "tjelesna_temp" else F.col(c), F.lit(0.0)).alias(c) for c in features],
+        complete.alias("_complete"), F.when(~complete, error).alias("error"),
     )
-    complete = (F.size("_missing") == 0) & (F.size("_unread") == 0)
     level = F.when(F.col("prediction") == 1, "High").otherwise("Low")
     best = F.greatest("p_low", "p_high")
-    good = apply_model(model, ready.where(complete)).select(
-        key, level.alias("risk_level"), F.col("prediction").alias("risk_code"), best.alias("confidence"), "p_low", "p_high",
-        F.concat(format_fixed(best * 100, 1), F.lit("%")).alias("confidence_text"), F.lit(None).cast("string").alias("error"),
-    )
-    bad = ready.where(~complete).select(
-        key,
-        F.concat_ws(
-            "; ",
-            F.when(F.size("_missing") > 0, F.concat(F.lit("missing: "), F.array_join("_missing", ", "))),
-            F.when(F.size("_unread") > 0, F.concat(F.lit("not a number: "), F.array_join("_unread", ", "))),
-        ).alias("error"),
-    )
-    return good.unionByName(bad, allowMissingColumns=True)
+    found = {
+        "risk_level": level, "risk_code": F.col("prediction"), "confidence": best, "p_low": F.col("p_low"), "p_high": F.col("p_high"),
+        "confidence_text": F.concat(format_fixed(best * 100, 1), F.lit("%")),
+    }
+    return apply_model(model, ready).select(key, *[F.when(F.col("_complete"), v).alias(name) for name, v in found.items()], "error")
+
+
+def _named(what: str, names: Sequence[Column]) -> Column:
+    """The names that are not null after what they are, or null if there are none."""
+    listed = F.array_compact(F.array(*names))
+    return F.when(F.size(listed) > 0, F.concat(F.lit(what), F.array_join(listed, ", ")))
 
 
 def evaluate(predicted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
