@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, replace  # noqa: F401 - members are changed by it
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,8 @@ SHIP_BYTES = 64 << 20
 GRAIN = 24
 #: Rounds of boosting between two writes of the margins, when the rows do not fit a task.
 ROUNDS_PER_WRITE = 10
+#: Rows that are summed together on the way to the histograms of all rows.
+BLOCK_ROWS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -151,31 +153,43 @@ def _gain(left: tuple, whole: tuple, member: Member) -> np.ndarray:
     return worth(*left) + worth(*right) - worth(*whole)
 
 
-def _cuts_of(at: np.ndarray, bins: np.ndarray, sums: list[np.ndarray], n_nodes: int, member: Member) -> tuple[np.ndarray, np.ndarray]:
-    """Best cut of one column for each node: gain (minus infinity if none) and bin. ``sums`` are rows, weight, first, second."""
-    key = at * BINS + bins
-    if n_nodes * BINS <= 8 * len(key):
-        parts = [np.bincount(key, s, n_nodes * BINS).reshape(n_nodes, BINS).cumsum(1) for s in sums]
-        whole = [p[:, -1:] for p in parts]
-        allowed = (parts[0] >= member.min_leaf) & (whole[0] - parts[0] >= member.min_leaf)
-        if member.min_weight:
-            allowed &= (parts[3] >= member.min_weight) & (whole[3] - parts[3] >= member.min_weight)
-        # only bins that hold rows end a cut, as in the sparse form
-        allowed &= np.diff(parts[0], axis=1, prepend=0) > 0
-        gain = np.where(allowed, _gain(tuple(parts[1:]), tuple(whole[1:]), member), -np.inf)
-        best = gain.argmax(1)
-        return gain[np.arange(n_nodes), best], best
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    last = np.flatnonzero(np.append(key[1:] != key[:-1], True))
-    node = key[last] // BINS
+#: A weighted label is added to its weight in steps of this size, so that both are summed at once.
+_LABEL = float(1 << 26)
+
+
+def _packed(sums: Sequence[np.ndarray], member: Member) -> list[np.ndarray | None]:
+    """The sums that need a pass of their own: a row counts once, a boosted row weighs 1, and weight and label of a forest go together."""
+    if member.rounds:
+        return [None, None, *sums[2:]]
+    return [None, sums[1] + _LABEL * sums[2], None, None] if sums[1].sum() < _LABEL else list(sums)
+
+
+def _totals(key: np.ndarray, sums: Sequence[np.ndarray | None], size: int) -> list[np.ndarray]:
+    """Rows, weight, first and second sum of each key, as float numbers."""
+    _, weight, first, second = sums
+    n = np.bincount(key, minlength=size).astype(float)
+    if first is None:  # whole numbers, so nothing is lost by adding them up together
+        both = np.bincount(key, weight, size)
+        label = np.floor(both / _LABEL)
+        return [n, both - label * _LABEL, label, np.zeros(size)]
+    return [n, n if weight is None else np.bincount(key, weight, size), np.bincount(key, first, size), np.bincount(key, second, size)]
+
+
+def _best_bins(some: np.ndarray, sums: Sequence[np.ndarray], n_nodes: int, member: Member) -> tuple[np.ndarray, np.ndarray]:
+    """Best cut of one column for each node: gain (minus infinity if none) and bin.
+
+    ``some`` are the cells (node * ``BINS`` + bin) that hold rows, ascending, ``sums`` what they hold: rows, weight, first, second.
+    """
+    node = some // BINS
     start = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
-    parts = [np.cumsum(s[order])[last] for s in sums]
     size = np.diff(np.append(start, len(node)))
-    before = [np.repeat(np.append(0, p[start[1:] - 1]), size) for p in parts]
-    end = [np.repeat(p[np.append(start[1:], len(node)) - 1], size) for p in parts]
-    left = [p - b for p, b in zip(parts, before, strict=True)]
-    whole = [e - b for e, b in zip(end, before, strict=True)]
+    left, whole = [], []
+    for s in sums:
+        run = np.cumsum(s)
+        last = run[np.append(start[1:], len(node)) - 1]
+        before = np.append(0.0, last[:-1])
+        left.append(run - np.repeat(before, size))
+        whole.append(np.repeat(last - before, size))
     allowed = (left[0] >= member.min_leaf) & (whole[0] - left[0] >= member.min_leaf)
     if member.min_weight:
         allowed &= (left[3] >= member.min_weight) & (whole[3] - left[3] >= member.min_weight)
@@ -183,10 +197,25 @@ def _cuts_of(at: np.ndarray, bins: np.ndarray, sums: list[np.ndarray], n_nodes:
     top = np.maximum.reduceat(gain, start)
     first = np.minimum.reduceat(np.where(gain == np.repeat(top, size), np.arange(len(node)), len(node)), start)
     out_gain, out_bin = np.full(n_nodes, -np.inf), np.zeros(n_nodes, np.int64)
-    out_gain[node[start]], out_bin[node[start]] = top, key[last][first] % BINS
+    out_gain[node[start]], out_bin[node[start]] = top, some[first] % BINS
     return out_gain, out_bin
 
 
+def _cuts_of(at: np.ndarray, bins: np.ndarray, sums: Sequence[np.ndarray | None], n_nodes: int, member: Member) -> tuple[np.ndarray, np.ndarray]:
+    """Best cut of one column for each node, gain and bin, over rows in nodes ``at`` and ``bins``."""
+    key = at * BINS + bins
+    if n_nodes * BINS <= 16 * len(key):
+        total = _totals(key, sums, n_nodes * BINS)
+        some = np.flatnonzero(total[0])
+        return _best_bins(some, [t[some] for t in total], n_nodes, member)
+    # few rows in many cells: those that hold rows are numbered first
+    order = np.argsort(key)
+    key = key[order]
+    first = np.append(True, key[1:] != key[:-1])
+    some = key[first]
+    return _best_bins(some, _totals(np.cumsum(first) - 1, [None if s is None else s[order] for s in sums], len(some)), n_nodes, member)
+
+
 def _value(whole: Sequence[np.ndarray], member: Member) -> np.ndarray:
     w, first, second = whole
     if member.rounds:
@@ -198,7 +227,7 @@ def _value(whole: Sequence[np.ndarray], member: Member) -> np.ndarray:
 NODE = np.dtype([("column", "i1"), ("bin", "u1"), ("left", "<i4"), ("value", "<f4")])
 
 
-def grow(x: np.ndarray, sums: list[np.ndarray], root: int, depth: int, member: Member) -> tuple[np.ndarray, np.ndarray]:
+def grow(x: np.ndarray, sums: Sequence[np.ndarray], root: int, depth: int, member: Member) -> tuple[np.ndarray, np.ndarray]:
     """A subtree of the node with the number ``root`` over its rows, and the gains of the columns.
 
     ``sums`` holds for each row 1, its weight, and the first and second quantity that leaves and gains are made of: the weighted
@@ -207,11 +236,11 @@ def grow(x: np.ndarray, sums: list[np.ndarray], root: int, depth: int, member: M
     n_columns = x.shape[1]
     columns = min(member.columns or n_columns, n_columns)
     nodes, out, gains = np.array([root], np.uint64), [], np.zeros(n_columns)
-    at = np.zeros(len(x), np.int64)
+    at, sums = np.zeros(len(x), np.int64), _packed(sums, member)
     placed = 1
     while len(nodes):
         k = len(nodes)
-        whole = [np.bincount(at, s, k) for s in sums]
+        whole = _totals(at, sums, k)
         level = np.zeros(k, NODE)
         level["column"], level["value"] = -1, _value(whole[1:], member)
         open_ = whole[0] >= member.min_split
@@ -219,20 +248,24 @@ def grow(x: np.ndarray, sums: list[np.ndarray], root: int, depth: int, member: M
             open_[:] = False
         elif not member.rounds:
             open_ &= (whole[2] > 0) & (whole[2] < whole[1])
+        if not open_.any():
+            out.append(level)
+            break
         best, cut, column = np.full(k, -np.inf), np.zeros(k, np.int64), np.full(k, -1)
         order = _tried(nodes, n_columns, member.seed)
+        # rows of the nodes that are tried, their places in x, nodes among the tried ones, and sums
+        few, rows, where, mine = _inside(open_, at, np.arange(len(x)), sums)
+        flat, start = x.reshape(-1), rows * n_columns
         for place in range(n_columns):
             if place >= columns:  # only nodes without any cut so far look further
-                open_here = open_ & (best == -np.inf)
-            else:
-                open_here = open_
-            if not open_here.any():
-                continue
-            rows = np.flatnonzero(open_here[at])
-            where = at[rows]
-            few, where = np.unique(where, return_inverse=True) if not open_here.all() else (np.arange(k), where)
+                none = best[few] == -np.inf
+                if not none.any():
+                    break
+                if not none.all():
+                    kept, rows, where, mine = _inside(none, where, rows, mine)
+                    few, start = few[kept], rows * n_columns
             c = order[few, place]
-            gain, b = _cuts_of(where, x[rows, c[where]].astype(np.int64), [s[rows] for s in sums], len(few), member)
+            gain, b = _cuts_of(where, flat[start + c[where]], mine, len(few), member)
             better = gain > best[few]
             best[few[better]], cut[few[better]], column[few[better]] = gain[better], b[better], c[better]
         split = best > (1e-9 if member.rounds else -np.inf)
@@ -242,9 +275,10 @@ def grow(x: np.ndarray, sums: list[np.ndarray], root: int, depth: int, member: M
         level["left"][split] = placed + 2 * number[split]
         placed += 2 * int(split.sum())
         out.append(level)
-        keep = split[at]
-        x, at, sums = x[keep], at[keep], [s[keep] for s in sums]
-        right = x[np.arange(len(x)), column[at]] > cut[at]
+        if not split.all():
+            keep = split[at]
+            x, at, sums = x[keep], at[keep], [None if s is None else s[keep] for s in sums]
+        right = x.reshape(-1)[np.arange(len(x)) * n_columns + column[at]] > cut[at]
         at = 2 * number[at] + right
         children = np.empty(2 * int(split.sum()), np.uint64)
         children[0::2], children[1::2] = _child(nodes[split], 0), _child(nodes[split], 1)
@@ -252,15 +286,37 @@ def grow(x: np.ndarray, sums: list[np.ndarray], root: int, depth: int, member: M
     return np.concatenate(out), gains
 
 
+def _inside(wanted: np.ndarray, at: np.ndarray, rows: np.ndarray, sums: Sequence[np.ndarray | None]) -> tuple:
+    """The wanted nodes, and of their rows the places, the nodes numbered among the wanted ones, and the sums."""
+    nodes = np.flatnonzero(wanted)
+    if len(nodes) == len(wanted):
+        return nodes, rows, at, sums
+    kept = np.flatnonzero(wanted[at])
+    return nodes, rows[kept], (np.cumsum(wanted) - 1)[at[kept]], [None if s is None else s[kept] for s in sums]
+
+
 def leaves(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
     """The node of the tree that each row ends in."""
-    at = np.zeros(len(x), np.int64)
-    moving = np.arange(len(x)) if tree["column"][0] >= 0 else np.zeros(0, np.int64)
-    while len(moving):
-        node = tree[at[moving]]
-        at[moving] = node["left"] + (x[moving, node["column"]] > node["bin"])
-        moving = moving[tree["column"][at[moving]] >= 0]
-    return at
+    out = np.zeros(len(x), np.int64)
+    if len(tree) == 1 or not len(x):
+        return out
+    leaf = tree["column"] < 0
+    # a leaf leads to itself, so rows that have arrived may walk on with the others
+    left, column, last = np.where(leaf, np.arange(len(tree)), tree["left"]), np.where(leaf, 0, tree["column"]).astype(np.int64), np.where(leaf, BINS - 1, tree["bin"]).astype(np.uint8)
+    flat, rows, at = np.ascontiguousarray(x).reshape(-1), None, out.copy()
+    start = np.arange(len(x)) * x.shape[1]
+    while True:
+        at = left[at] + (flat[start + column[at]] > last[at])
+        moving = ~leaf[at]
+        n = np.count_nonzero(moving)
+        if n > len(at) // 2:
+            continue
+        if rows is None:
+            rows = np.arange(len(x))
+        out[rows] = at
+        if not n:
+            return out
+        rows, at, start = rows[moving], at[moving], start[moving]
 
 
 def _sums(rows: Rows, member: Member) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -296,59 +352,85 @@ def _base(positive: float, n: int) -> float:
 # ---- growth over all rows -------------------------------------------------------------------
 
 
-def _histograms(rows: DataFrame, held, read: Callable, n_columns: int) -> DataFrame:
-    """(member, node, v) with the sums of every column and bin, added up inside tasks and then by Spark.
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to at least ``BLOCK_ROWS`` rows, so that the sums of a block are few beside its rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= BLOCK_ROWS:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
+
+
+def _histograms(rows: DataFrame, held, read: Callable, members: list[Member], n_columns: int, places: Callable) -> DataFrame:
+    """(member, node, v) with the sums of the bins of every tried column, added up inside tasks and then by Spark.
 
-    ``read`` yields (member, nodes, node of each row, x, sums) for the open nodes of a member.
+    ``read`` yields (member, nodes, their numbers, node of each row, x, sums) for the open nodes of a member; ``places`` says
+    which of the columns of a node, in the order they are tried, are summed for a member.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for member, nodes, at, x, sums in read(Rows.of(batch), batch, held.value):
-                for j in range(n_columns):
-                    key = at * BINS + x[:, j]
-                    for i, s in enumerate(sums):
-                        part = np.bincount(key, s, len(nodes) * BINS).reshape(len(nodes), BINS)
-                        for k in np.unique(at):
-                            total.setdefault((member, nodes[k]), np.zeros((n_columns, len(sums), BINS)))[j, i] += part[k]
-        for (member, node), v in total.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([member], pa.int32()), pa.array([node], pa.int64()), pa.array([v.ravel()], pa.list_(pa.float64()))], names=["member", "node", "v"]
-            )
+        total: dict[int, tuple[list[int], np.ndarray]] = {}
+        for batch in _blocks(batches):
+            for m, nodes, numbers, at, x, sums in read(Rows.of(batch), batch, held.value):
+                order, tried = _tried(numbers, n_columns, members[m].seed), places(members[m])
+                flat, start, sums = x.reshape(-1), np.arange(len(x)) * n_columns, _packed(sums, members[m])
+                if m not in total:
+                    total[m] = nodes, np.zeros((len(nodes), len(tried), 4, BINS))
+                for i, place in enumerate(tried):
+                    c = order[:, place]
+                    parts = _totals(at * BINS + flat[start + c[at]], sums, len(nodes) * BINS)
+                    for j, part in enumerate(parts):
+                        total[m][1][:, i, j] += part.reshape(len(nodes), BINS)
+        for m, (nodes, v) in total.items():
+            for node, sums in zip(nodes, v, strict=True):
+                if sums[0, 0].any():
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([m], pa.int32()), pa.array([node], pa.int64()), pa.array([sums.ravel()], pa.list_(pa.float64()))], names=["member", "node", "v"]
+                    )
 
     found = rows.mapInArrow(run, "member int, node long, v array<double>")
     added = found.groupBy("member", "node").agg(Summarizer.sum(array_to_vector("v")).alias("v"))
     return added.select("member", "node", vector_to_array("v").alias("v"))
 
 
-def _best_cuts(histograms: DataFrame, members: list[Member], n_columns: int, numbers: dict[tuple[int, int], int]) -> dict[tuple[int, int], tuple]:
-    """For each open node rows, value, column, bin, gain and rows on the left; one row for each node comes to the driver."""
+_CUT = "member int, node int, n double, value double, column int, bin int, gain double, n_left double, left double, right double, open boolean"
+
+
+def _best_cuts(histograms: DataFrame, members: list[Member], n_columns: int, numbers: dict[tuple[int, int], int], places: Callable) -> dict[tuple[int, int], tuple]:
+    """For each open node rows, value, column, bin, gain, rows on the left, values of both sides and whether it may be cut; one row for each node comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for m, node, v in zip(*(batch.column(c).to_pylist() for c in ("member", "node", "v")), strict=True):
-                member, sums = members[m], np.array(v).reshape(n_columns, 4, BINS)
+                member = members[m]
+                tried = places(member)
+                sums = np.array(v).reshape(len(tried), 4, BINS)
                 whole = sums[0].sum(1)
-                best, column, cut, left = -np.inf, -1, 0, 0.0
+                best, column, cut, left = -np.inf, -1, 0, np.zeros(4)
                 pure = not member.rounds and not 0 < whole[2] < whole[1]
-                if whole[0] >= member.min_split and not pure:
+                may = bool(whole[0] >= member.min_split and not pure)
+                if may:
                     order = _tried(np.array([numbers[m, node]], np.uint64), n_columns, member.seed)[0]
-                    for place, c in enumerate(order):
+                    for i, place in enumerate(tried):
                         if place >= (member.columns or n_columns) and best > -np.inf:
                             break
-                        full = np.flatnonzero(sums[c, 0] > 0)
-                        at = np.zeros(len(full), np.int64)
-                        gain, b = _cuts_of(at, full, list(sums[c][:, full]), 1, replace(member))
+                        full = np.flatnonzero(sums[i, 0] > 0)
+                        gain, b = _best_bins(full, list(sums[i][:, full]), 1, member)
                         if gain[0] > best:
-                            best, column, cut, left = gain[0], int(c), int(b[0]), float(sums[c, 0, : b[0] + 1].sum())
-                value = float(_value(tuple(np.array([w]) for w in whole[1:]), member)[0])
-                out = [[m], [node], [float(whole[0])], [value], [column], [cut], [float(best)], [left]]
-                types = [pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(out, types, strict=True)], names=["member", "node", "n", "value", "column", "bin", "gain", "n_left"])
+                            best, column, cut, left = gain[0], int(order[place]), int(b[0]), sums[i][:, : b[0] + 1].sum(1)
+                values = [float(_value(tuple(np.array([w]) for w in part[1:]), member)[0]) for part in (whole, left, whole - left)]
+                yield pa.RecordBatch.from_pylist([{
+                    "member": m, "node": node, "n": float(whole[0]), "value": values[0], "column": column, "bin": cut, "gain": float(best),
+                    "n_left": float(left[0]), "left": values[1], "right": values[2], "open": may,
+                }], schema)
 
-    found = histograms.mapInArrow(run, "member int, node long, n double, value double, column int, bin int, gain double, n_left double")
-    return {(r["member"], r["node"]): tuple(r)[2:] for r in found.collect()}
+    types = {"int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+    schema = pa.schema([(name, types[kind]) for name, kind in (f.split(" ") for f in _CUT.split(", "))])
+    return {(r["member"], r["node"]): tuple(r)[2:] for r in histograms.mapInArrow(run, _CUT).collect()}
 
 
 class _Top:
@@ -360,10 +442,10 @@ class _Top:
         self.numbers, self.depths, self.rows = [root], [0], [math.inf]
         self.gains = np.zeros(n_columns)
 
-    def split(self, at: int, column: int, cut: int, gain: float, n: float, n_left: float) -> tuple[int, int]:
+    def split(self, at: int, column: int, cut: int, gain: float, n: float, n_left: float, values: tuple[float, float]) -> tuple[int, int]:
         left = len(self.nodes)
         more = np.zeros(2, NODE)
-        more["column"] = -1
+        more["column"], more["value"] = -1, values
         self.nodes = np.concatenate([self.nodes, more])
         self.nodes[at]["column"], self.nodes[at]["bin"], self.nodes[at]["left"] = column, cut, left
         for right, rows in ((0, n_left), (1, n - n_left)):
@@ -381,32 +463,43 @@ def _grow_tops(rows: DataFrame, members: list[Member], tops: list[_Top], open_:
         ask = [sorted(i for i in nodes if tops[m].rows[i] > limit and tops[m].depths[i] < members[m].max_depth) for m, nodes in enumerate(open_)]
         if not any(ask):
             return
-        held = sc.broadcast(([t.nodes for t in tops], ask, extra))
-
-        def read(block: Rows, batch: pa.RecordBatch, shared):
-            trees, wanted, more = shared
-            for m, nodes in enumerate(wanted):
-                if nodes:
-                    seen, sums = read_sums(block, batch, m, more)
-                    place = np.full(len(trees[m]), -1)
-                    place[nodes] = np.arange(len(nodes))
-                    at = place[leaves(trees[m], block.x[seen])]
-                    inside = at >= 0
-                    if inside.any():
-                        yield m, nodes, at[inside], block.x[seen][inside], [s[inside] for s in sums]
-
-        numbers = {(m, i): tops[m].numbers[i] for m, nodes in enumerate(ask) for i in nodes}
-        found = _best_cuts(_histograms(rows, held, read, n_columns), members, n_columns, numbers)
+
+        def cut(ask: list[list[int]], places: Callable) -> dict[tuple[int, int], tuple]:
+            numbers = {(m, i): tops[m].numbers[i] for m, nodes in enumerate(ask) for i in nodes}
+            held = sc.broadcast(([t.nodes for t in tops], [(nodes, np.array([numbers[m, i] for i in nodes], np.uint64)) for m, nodes in enumerate(ask)], extra))
+
+            def read(block: Rows, batch: pa.RecordBatch, shared):
+                trees, wanted, more = shared
+                for m, (nodes, own) in enumerate(wanted):
+                    if nodes:
+                        seen, sums = read_sums(block, batch, m, more)
+                        x = block.x[seen]
+                        place = np.full(len(trees[m]), -1)
+                        place[nodes] = np.arange(len(nodes))
+                        at = place[leaves(trees[m], x)]
+                        inside = at >= 0
+                        if inside.all():
+                            yield m, nodes, own, at, x, sums
+                        elif inside.any():
+                            yield m, nodes, own, at[inside], x[inside], [s[inside] for s in sums]
+
+            return _best_cuts(_histograms(rows, held, read, members, n_columns, places), members, n_columns, numbers, places)
+
+        found = cut(ask, lambda member: range(min(member.columns or n_columns, n_columns)))
+        # nodes that none of their columns can cut look at the others
+        none = [[i for i in nodes if (m, i) in found and found[m, i][-1] and found[m, i][2] < 0 and (members[m].columns or n_columns) < n_columns] for m, nodes in enumerate(ask)]
+        if any(none):
+            found |= cut(none, lambda member: range(member.columns or n_columns, n_columns))
         for m, nodes in enumerate(ask):
             for i in nodes:
                 open_[m].discard(i)
-                n, value, column, cut, gain, n_left = found.get((m, i), (0.0, 0.0, -1, 0, 0.0, 0.0))
+                n, value, column, at, gain, n_left, left, right, _ = found.get((m, i), (0.0, 0.0, -1, 0, 0.0, 0.0, 0.0, 0.0, False))
                 tops[m].nodes[i]["value"], tops[m].rows[i] = value, n
                 if n <= limit and not members[m].rounds:
                     if n:
                         open_[m].add(i)  # it fits a task, which repeats this cut there
                 elif column >= 0 and gain > (1e-9 if members[m].rounds else -math.inf):
-                    open_[m].update(tops[m].split(i, column, cut, gain, n, n_left))
+                    open_[m].update(tops[m].split(i, column, at, gain, n, n_left, (left, right)))
 
 
 _SUBTREE = "member int, node int, tree binary, gains array<double>, base double, round int"
@@ -420,16 +513,22 @@ def _yield_tree(m: int, node: int, tree: np.ndarray, gains: np.ndarray, base: fl
 
 
 def _dealt(rows: DataFrame, held, see: Callable, finish: Callable, tasks: int) -> DataFrame:
-    """Packed rows go to one group for each (member, node); ``finish`` completes a group."""
+    """Packed rows go to one group for each (member, node); ``finish`` completes a group. Their sums are counts and labels, a byte each."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _blocks(batches):
             block = Rows.of(batch)
-            for m, node, slot, seen, sums in see(block, held.value):
-                if len(seen):
-                    parts = [block.x[seen].tobytes(), np.stack(sums).astype(np.float32).tobytes()]
+            for m, nodes, slots, at, seen, sums in see(block, held.value):
+                order = np.argsort(at, kind="stable")
+                ends = np.searchsorted(at[order], np.arange(len(nodes) + 1))
+                x, packed = block.x[seen[order]], np.stack(sums).astype(np.uint8)[:, order]
+                some = [(slot, node, a, b) for node, slot, a, b in zip(nodes, slots, ends[:-1], ends[1:], strict=True) if a < b]
+                if some:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([slot], pa.int32()), pa.array([m], pa.int32()), pa.array([node], pa.int32()), *(pa.array([p], pa.binary()) for p in parts)],
+                        [
+                            pa.array([e[0] for e in some], pa.int32()), pa.array([m] * len(some), pa.int32()), pa.array([e[1] for e in some], pa.int32()),
+                            pa.array([x[a:b].tobytes() for _, _, a, b in some], pa.binary()), pa.array([packed[:, a:b].tobytes() for _, _, a, b in some], pa.binary()),
+                        ],
                         names=["slot", "member", "node", "x", "sums"],
                     )
 
@@ -451,7 +550,7 @@ def _dealt(rows: DataFrame, held, see: Callable, finish: Callable, tasks: int) -
 
 def _joined(parts: list[tuple[bytes, bytes]], n_columns: int, n_sums: int) -> tuple[np.ndarray, list[np.ndarray]]:
     x = np.concatenate([np.frombuffer(p, np.uint8) for p, _ in parts]).reshape(-1, n_columns)
-    sums = np.concatenate([np.frombuffer(s, np.float32).reshape(n_sums, -1) for _, s in parts], axis=1).astype(float)
+    sums = np.concatenate([np.frombuffer(s, np.uint8).reshape(n_sums, -1) for _, s in parts], axis=1).astype(float)
     return x, list(sums)
 
 
@@ -488,7 +587,9 @@ def grow_forests(rows: DataFrame, members: list[Member], n_columns: int, n_rows:
         t.rows[0] = n_rows
     open_ = [{0} for _ in members]
     _grow_tops(rows, members, tops, open_, task_rows, lambda block, batch, m, extra: _sums(block, members[m]), n_columns)
-    groups = [(m, i) for m, nodes in enumerate(open_) for i in sorted(nodes)]
+    # a node at the largest depth has its value from the cut above it, so its rows are not dealt if the tree has other subtrees
+    grown = [{i for i in nodes if tops[m].depths[i] < members[m].max_depth} or nodes for m, nodes in enumerate(open_)]
+    groups = [(m, i) for m, nodes in enumerate(grown) for i in sorted(nodes)]
     slots, tasks = _slots(groups, rows)
     numbers = {(m, i): (tops[m].numbers[i], tops[m].depths[i]) for m, i in groups}
     held = rows.sparkSession.sparkContext.broadcast(([t.nodes for t in tops], slots, numbers))
@@ -500,10 +601,9 @@ def grow_forests(rows: DataFrame, members: list[Member], n_columns: int, n_rows:
             wanted.setdefault(m, []).append(i)
         for m, nodes in wanted.items():
             seen, sums = _sums(block, members[m])
-            at = leaves(trees[m], block.x[seen])
-            for i in nodes:
-                here = at == i if len(trees[m]) > 1 else slice(None)
-                yield m, i, slots[m, i], seen[here], [s[here] for s in sums[1:3]]
+            place = np.full(len(trees[m]), len(nodes))
+            place[nodes] = np.arange(len(nodes))
+            yield m, nodes, [slots[m, i] for i in nodes], place[leaves(trees[m], block.x[seen])], seen, sums[1:3]
 
     def finish(m: int, node: int, parts, shared):
         x, (w, s) = _joined(parts, n_columns, 2)
@@ -522,7 +622,7 @@ def _boost_in_tasks(rows: DataFrame, members: list[Member], n_columns: int) -> D
     def see(block: Rows, slots):
         for m, member in enumerate(members):
             seen = np.flatnonzero(block.fold != member.without) if member.without >= 0 else np.arange(len(block.y))
-            yield m, 0, slots[m, 0], seen, [block.y[seen]]
+            yield m, [0], [slots[m, 0]], np.zeros(len(seen), np.int64), seen, [block.y[seen]]
 
     def finish(m: int, node: int, parts, _):
         x, (y,) = _joined(parts, n_columns, 1)
@@ -556,7 +656,6 @@ def _boost_over_all(rows: DataFrame, members: list[Member], n_columns: int) -> D
         tops = [_Top(r + 1, n_columns) for _ in members]
         open_ = [{0} if x else set() for x in live]
         _grow_tops(state, members, tops, open_, 0, read_sums, n_columns, recent)
-        _leaf_values(state, members, tops, open_, read_sums, recent)
         for m, t in enumerate(tops):
             if live[m]:
                 recent[m].append(t.nodes)
@@ -576,35 +675,6 @@ def _boost_over_all(rows: DataFrame, members: list[Member], n_columns: int) -> D
     return materialize(spark.createDataFrame(out, _SUBTREE), "boosted")
 
 
-def _leaf_values(rows: DataFrame, members: list[Member], tops: list[_Top], open_: list[set[int]], read_sums: Callable, recent) -> None:
-    """Values of the nodes that the depth has closed; one row for each comes to the driver."""
-    held = rows.sparkSession.sparkContext.broadcast(([t.nodes for t in tops], [sorted(o) for o in open_], recent))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees, wanted, more = held.value
-        total: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            block = Rows.of(batch)
-            for m, nodes in enumerate(wanted):
-                if nodes:
-                    seen, sums = read_sums(block, batch, m, more)
-                    at = leaves(trees[m], block.x[seen])
-                    got = np.stack([np.bincount(at, s, len(trees[m])) for s in sums[1:]])
-                    for i in nodes:
-                        total[m, i] = total.get((m, i), 0.0) + got[:, i]
-        if total:
-            keys, sums = list(total), np.stack(list(total.values()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), *(pa.array(sums[:, j]) for j in range(3))],
-                names=["member", "node", "w", "g", "h"],
-            )
-
-    if any(open_):
-        found = rows.mapInArrow(run, "member int, node int, w double, g double, h double").groupBy("member", "node").agg(*[F.sum(c).alias(c) for c in "wgh"])
-        for r in found.collect():
-            tops[r["member"]].nodes[r["node"]]["value"] = _value(tuple(np.array([r[c]]) for c in "wgh"), members[r["member"]])[0]
-
-
 def train(df: DataFrame, members: list[Member], features: Sequence[str], key: str, task_rows: int = TASK_ROWS) -> Ensemble:
     """Grow all members on ``df`` (key, label 0/1, features, and ``fold`` if members leave one out)."""
     cuts = cut_points(df, features)
