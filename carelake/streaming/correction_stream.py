@@ -1,10 +1,12 @@
-"""Corrections joined to pending feedback as both arrive, with state and timers for each feedback id.
+"""Corrections joined to pending feedback as both arrive, with state and a timer for each feedback id.
 
 A pending row (the user disagreed and gave no label) waits for a correction for ``wait`` after it was submitted. With one in time it
 leaves as ``corrected``, otherwise its timer lets it leave as ``expired`` without a label. A correction that comes first waits as
 long for its pending row. Of the corrections that are there when a row is resolved the latest counts, on a tie the greatest text.
 The state outlives the answer until the timer, so repeated pending rows and corrections do nothing. Rows behind the watermark
 (``delay`` behind the newest row) are late and dropped by the engine. State is a few values for each id that is open.
+
+The ids are dealt over ``BUCKETS`` groups, so that a call of the state function serves many ids; a group's timer is the earliest of its ids.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from carelake.sources.tables import table
 
 RECORD = "feedback_id long, at timestamp, pending boolean, correct_risk string"
 OUT = "feedback_id long, feedback_risk int, status string"
-STATE = "pending_ms long, correct_ms long, correct_risk string, done boolean"
+STATE = "ids array<long>, pending_ms array<long>, correct_ms array<long>, correct_risk array<string>, done array<boolean>, timer_ms array<long>"
+BUCKETS = 1024
 
 
 def records(pending: DataFrame, corrections: DataFrame) -> DataFrame:
@@ -33,37 +36,48 @@ def records(pending: DataFrame, corrections: DataFrame) -> DataFrame:
 
 
 def _resolve(wait_ms: int):
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending, corrected, risk, done = state.get if state.exists else (-1, -1, "", False)
-        answer = None
-        if state.hasTimedOut:
-            if pending >= 0 and not done:
-                answer = (key[0], None, "expired")
+    def run(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # by id: pending, corrected, risk, done, timer
+        open_ = {i: v for i, *v in zip(*state.get, strict=True)} if state.exists else {}
+        now, seen, answers = state.getCurrentWatermarkMs(), {}, []
+        for part in () if state.hasTimedOut else parts:
+            ms = part["at"].astype("datetime64[ms]").astype("int64")
+            ids = (None if pd.isna(i) else int(i) for i in part["feedback_id"].array)
+            for i, t, is_pending, risk in zip(ids, ms.tolist(), part["pending"].tolist(), part["correct_risk"].tolist(), strict=True):
+                if i not in seen:
+                    seen[i] = open_.pop(i, [-1, -1, "", False, 0])
+                v = seen[i]
+                if is_pending:
+                    v[0] = min(t, v[0]) if v[0] >= 0 else t
+                elif not v[3]:
+                    v[1], v[2] = max((v[1], v[2]), (t, risk))
+        for i, (pending, _, _, done, timer) in list(open_.items()):
+            if timer < now:
+                if pending >= 0 and not done:
+                    answers.append((i, None, "expired"))
+                del open_[i]
+        for i, v in seen.items():
+            if v[0] >= 0 and v[1] >= 0 and not v[3]:
+                answers.append((i, int(v[2] == "High"), "corrected"))
+                v[3] = True
+            v[4] = max((v[0] if v[0] >= 0 else v[1]) + wait_ms, now + 1)
+        open_.update(seen)
+        if open_:
+            state.update(tuple(map(list, zip(*((i, *v) for i, v in open_.items()), strict=True))))
+            state.setTimeoutTimestamp(max(min(v[4] for v in open_.values()), now + 1))
+        elif state.exists:
             state.remove()
-        else:
-            for part in parts:
-                ms = part["at"].astype("datetime64[ms]").astype("int64")
-                mine = ms[part["pending"]]
-                if len(mine):
-                    pending = min([int(mine.min()), *([pending] if pending >= 0 else [])])
-                for t, r in zip(ms[~part["pending"]], part["correct_risk"][~part["pending"]], strict=True):
-                    if not done:
-                        corrected, risk = max((corrected, risk), (int(t), r))
-            if pending >= 0 and corrected >= 0 and not done:
-                answer, done = (key[0], int(risk == "High"), "corrected"), True
-            state.update((pending, corrected, risk, done))
-            until = (pending if pending >= 0 else corrected) + wait_ms
-            state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-        if answer:
-            out = pd.DataFrame([answer], columns=["feedback_id", "feedback_risk", "status"])
-            yield out.astype({"feedback_risk": "Int32"})
+        if answers:
+            yield pd.DataFrame(answers, columns=["feedback_id", "feedback_risk", "status"]).astype({"feedback_id": "Int64", "feedback_risk": "Int32"})
 
     return run
 
 
-def resolved(stream: DataFrame, delay: str = "2 days", wait_ms: int = 3 * 86_400_000) -> DataFrame:
+def resolved(stream: DataFrame, delay: str = "2 days", wait_ms: int = 3 * 86_400_000, buckets: int = BUCKETS) -> DataFrame:
     """Each pending row once, when it is corrected or its time is over: feedback_id, feedback_risk, status."""
-    grouped = stream.withWatermark("at", delay).groupBy("feedback_id")
+    # unknown ids have a group of their own, as a column with nulls would be read as numbers that are not whole
+    bucket = F.coalesce(F.when(F.col("feedback_id").isNotNull(), F.pmod(F.xxhash64("feedback_id"), F.lit(buckets))), F.lit(-1))
+    grouped = stream.withWatermark("at", delay).withColumn("bucket", bucket).groupBy("bucket")
     return grouped.applyInPandasWithState(_resolve(wait_ms), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
