@@ -106,7 +106,8 @@ class Words:
         return h
 
 
-def words_of(texts: pa.Array, inside: np.ndarray, lower: bool = True) -> Words:
+def words_of(texts: pa.Array, inside: np.ndarray, lower: bool = True, parted: np.ndarray | None = None) -> Words:
+    """Words of bytes that are ``inside``; ``parted`` has kinds 1 and 2 of bytes between which words are cut as well."""
     buf, offsets = text_bytes(texts)
     if lower:
         buf = LOWER[buf]
@@ -117,6 +118,9 @@ def words_of(texts: pa.Array, inside: np.ndarray, lower: bool = True) -> Words:
     word = inside[buf]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True  # a word never runs over into the next text
+    if parted is not None:
+        kind = parted[buf]
+        cut[1:n] |= kind[1:] * kind[:-1] == 2
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = word[:-1]

@@ -11,6 +11,8 @@ uint32 crc32 of its words, then the words as uint32.
 
 Texts are encoded word by word: the tokenizer drops white space and never joins across it, so equal words between white
 space have equal ids and each distinct one of a shard is encoded once, by the tokenizers library.
+Where the tokenizer's own pattern always cuts between ASCII letters or digits and punctuation, words are cut there too, so a word
+is not encoded again for each comma that follows it.
 
 Defined results: a null text is empty and gives the end id alone; documents follow ascending ids, null first; rows that
 repeat an id follow each other, equal texts together; an empty table gives an empty folder and no rows.
@@ -18,6 +20,7 @@ repeat an id follow each other, equal texts together; an empty table gives an em
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -39,6 +42,12 @@ LANES, CHECK = 32, 512
 BLOCK_IDS, GROUP_IDS = 1 << 16, 1 << 21
 #: Words whose ids a worker remembers; when there are more it starts again.
 CACHE_WORDS = 1_000_000
+#: Bytes of text that are encoded together, and words that the tokenizer gets as one text.
+ENCODE_BYTES, TOGETHER = 1 << 20, 128
+#: The pattern of tokenizers that part letters, digits and the rest; an apostrophe may go with what follows.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: 1 for ASCII letters and digits, 2 for ASCII punctuation but the apostrophe: such a pattern cuts between the two.
+PARTED = np.array([1 if chr(b).isalnum() else 2 if 32 < b < 127 and b != 39 else 0 for b in range(128)] + [0] * 128, np.uint8)
 MAGIC = 0x31534E52
 _LOW = np.uint64(1 << 31)
 _ENCODED = "part long, block long, base long, n_ids long, kind string, docs array<long>, sizes array<long>, ids binary"
@@ -57,19 +66,36 @@ class WordEncoder:
     A word is looked up by its hash and then compared with the remembered one byte by byte; one that differs is encoded for itself.
     """
 
-    def __init__(self, json: str):
+    def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(json)
+        self.tokenizer = Tokenizer.from_str(tokenizer)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.parted = PARTED if self._parts_words() else None
         self.forget()
 
-    def forget(self) -> None:
+    def _parts_words(self) -> bool:
+        """Whether the tokenizer is known to cut wherever ``PARTED`` does: by its pattern, after steps that neither move nor join ASCII."""
+
+        def steps(part, inner: str) -> list[dict]:
+            state = json.loads(part.__getstate__()) if part else {}
+            return state.get(inner, [state])
+
+        cuts = steps(self.tokenizer.pre_tokenizer, "pretokenizers")
+        cut = [s for s in cuts if s.get("type") == "Split" and s["pattern"] == {"Regex": _PATTERN} and s["invert"] and s["behavior"] == "Removed"]
+        plain = [s for s in cuts if s.get("type") == "ByteLevel" and not s["add_prefix_space"] and not s["use_regex"]]
+        space = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+        kept = all(s.get("type") in (None, "NFC", "Lowercase") or s == space for s in steps(self.tokenizer.normalizer, "normalizers"))
+        return cuts[:1] == cut and len(cut) + len(plain) == len(cuts) and kept
+
+    def forget(self, slots: int = 0) -> None:
         # open addressing by word hash: key and number of the word; 0 is no hash
-        self.keys, self.values = np.zeros(4 * CACHE_WORDS, np.uint64), np.zeros(4 * CACHE_WORDS, np.int32)
-        self.start, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        # the remembered words: number of bytes, blocks of eight bytes, and where each word's begin
-        self.size, self.blocks, self.first = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(1, np.int64)
+        slots = max(slots, 2 * CACHE_WORDS)
+        self.keys, self.values = np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
+        # the remembered words: ids, number of bytes, blocks of eight bytes, and where each word's ids and blocks begin
+        self.start, self.ids = np.zeros(1, np.uint32), np.zeros(0, np.uint32)
+        self.size, self.blocks, self.first = np.zeros(0, np.uint32), np.zeros(0, np.uint64), np.zeros(1, np.uint32)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """The number of each word, -1 for an unknown one."""
@@ -95,24 +121,34 @@ class WordEncoder:
             same[np.unique(np.repeat(long, count)[differ])] = False
         return same
 
-    def _encoded(self, chunks: list[str]) -> list[list[int]]:
-        lists = []
-        for k in range(0, len(chunks), 10_000):
-            lists += [e.ids for e in self.tokenizer.encode_batch_fast(chunks[k : k + 10_000], add_special_tokens=False)]
-        return lists
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has; words of a text are told apart by the places of their ids in it."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for k in range(0, len(words), 64 * TOGETHER):
+            some = [words[i : i + TOGETHER] for i in range(k, min(k + 64 * TOGETHER, len(words)), TOGETHER)]
+            for own, e in zip(some, self.tokenizer.encode_batch([" ".join(x) for x in some], add_special_tokens=False), strict=True):
+                span = np.fromiter(chain.from_iterable(e.offsets), np.int64).reshape(-1, 2)
+                ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
+                first, last = np.searchsorted(ends, span[:, 0], "right"), np.searchsorted(ends, span[:, 1] - 1, "right")
+                if (first == last).all() and (first[1:] >= first[:-1]).all():
+                    ids.append(np.array(e.ids, np.uint32))
+                    sizes.append(np.bincount(first, minlength=len(own)))
+                else:  # ids that are not within a word
+                    each = [x.ids for x in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
+                    ids.append(np.fromiter(chain.from_iterable(each), np.uint32))
+                    sizes.append(np.array([len(x) for x in each]))
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def _add(self, h: np.ndarray, words: Words, at: np.ndarray, blocks: np.ndarray, first: np.ndarray) -> None:
         raw = words.buf.tobytes()
-        lists = self._encoded([raw[a:b].decode() for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)])
+        ids, sizes = self._encoded([raw[a:b].decode() for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)])
         counts = np.diff(first)[at]
-        self.size = np.append(self.size, (words.ends - words.starts)[at])
+        self.size = np.append(self.size, (words.ends - words.starts)[at].astype(np.uint32))
         self.blocks = np.append(self.blocks, blocks[np.repeat(first[at], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)])
-        self.first = np.append(self.first, self.first[-1] + np.cumsum(counts))
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        known = len(self.start)
-        self.start = np.append(self.start, len(self.ids) + np.cumsum(sizes) - sizes)
-        self.count = np.append(self.count, sizes)
-        self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())))
+        self.first = np.append(self.first, (int(self.first[-1]) + np.cumsum(counts)).astype(np.uint32))
+        known = len(self.start) - 1
+        self.start = np.append(self.start, (len(self.ids) + np.cumsum(sizes)).astype(np.uint32))
+        self.ids = np.append(self.ids, ids)
         left, slot = np.arange(len(h)), (h % np.uint64(len(self.keys))).astype(np.int64)
         while len(left):
             free = left[self.keys[slot[left]] == 0]
@@ -122,51 +158,58 @@ class WordEncoder:
             left = np.setdiff1d(left, won, assume_unique=True)
             slot[left] = (slot[left] + 1) % len(self.keys)
 
+    def _holds_added(self, raw: bytes) -> bool:
+        return any(a in raw for a in self.added)
+
     def encode(self, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by the end id; number of ids of each text)."""
-        words = words_of(texts, SPACED, lower=False)
+        words = words_of(texts, SPACED, lower=False, parted=self.parted)
+        if self.parted is not None and self._holds_added(words.buf.tobytes()):
+            words = words_of(texts, SPACED, lower=False)  # an added token is found before the pattern is
         h = words.hashes()
         blocks, first = words.blocks
-        if len(self.start) > CACHE_WORDS:
+        if len(self.size) > CACHE_WORDS:
             self.forget()
         place = self._find(h)
         new = np.flatnonzero(place < 0)
         if len(new):
             each, at = np.unique(h[new], return_index=True)
-            if len(each) + len(self.start) > 3 * CACHE_WORDS:  # a giant text: a table for it alone
-                self.forget()
+            if 4 * (len(each) + len(self.size)) > 3 * len(self.keys):  # a giant text: a table for it alone
                 each, at = np.unique(h, return_index=True)
                 new = np.arange(len(h))
-                self.keys, self.values = np.zeros(4 * len(each), np.uint64), np.zeros(4 * len(each), np.int32)
+                self.forget(2 * len(each))
             self._add(each, words, new[at], blocks, first)
             place[new] = self._find(h[new])
         other = np.flatnonzero(~self._same(words, blocks, first, place))
         if len(other):  # other words with the hash of a remembered one
-            raw, start, count, ids = words.buf.tobytes(), self.start, self.count, self.ids
-            lists = self._encoded([raw[words.starts[i] : words.ends[i]].decode() for i in other.tolist()])
-            sizes = np.array([len(x) for x in lists])
-            place[other] = len(start) + np.arange(len(other))
-            start, count = np.append(start, len(ids) + np.cumsum(sizes) - sizes), np.append(count, sizes)
-            return self._filled(words, place, start, count, np.append(ids, np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))), end)
-        return self._filled(words, place, self.start, self.count, self.ids, end)
+            raw = words.buf.tobytes()
+            more, sizes = self._encoded([raw[words.starts[i] : words.ends[i]].decode() for i in other.tolist()])
+            place[other] = len(self.size) + np.arange(len(other))
+            start = np.append(self.start, (len(self.ids) + np.cumsum(sizes)).astype(np.uint32))
+            return self._filled(words, place, start, np.append(self.ids, more), end)
+        return self._filled(words, place, self.start, self.ids, end)
 
     @staticmethod
-    def _filled(words: Words, place: np.ndarray, start: np.ndarray, count: np.ndarray, ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-        n = count[place]
+    def _filled(words: Words, place: np.ndarray, start: np.ndarray, ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each text's words from their places among the encoded ones; a word's ids end where the next one's start."""
+        begin = start[place].astype(np.int64)
+        n = start[place + 1] - begin
         sizes = np.bincount(words.doc, weights=n, minlength=words.n_docs).astype(np.int64) + 1
         out = np.empty(sizes.sum(), np.uint32)
         ends = np.cumsum(sizes) - 1
         body = np.ones(len(out), bool)
         body[ends] = False
         out[ends] = end
-        out[body] = ids[np.arange(n.sum()) + np.repeat(start[place] - np.cumsum(n) + n, n)]
+        at = np.repeat(begin - np.cumsum(n) + n, n)
+        at += np.arange(len(at))
+        out[body] = ids[at]
         return out, sizes
 
 
 @lru_cache(maxsize=1)
-def _encoder(json: str) -> WordEncoder:
+def _encoder(tokenizer: str) -> WordEncoder:
     """Kept by a worker from task to task."""
-    return WordEncoder(json)
+    return WordEncoder(tokenizer)
 
 
 class Coder:
@@ -292,14 +335,14 @@ def unpack_block(raw: bytes) -> tuple[list[int | None], np.ndarray, list[tuple[n
     return [int(i) if k else None for i, k in zip(ids, known, strict=True)], sizes, segments
 
 
-def _block(json) -> Callable:
+def _block(tokenizer) -> Callable:
     """Encodes sorted documents to blocks of whole documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, number = _encoder(json.value), TaskContext.get().partitionId()
+        encoder, number = _encoder(tokenizer.value), TaskContext.get().partitionId()
         block, base = 0, 0
         for batch in batches:
-            for part in shards(batch, "text"):
+            for part in shards(batch, "text", ENCODE_BYTES):
                 ids = part.column("doc_id").to_pylist()
                 tokens, sizes = encoder.encode(part.column("text"))
                 cut, a, rows = np.concatenate(([0], np.cumsum(sizes))), 0, []
@@ -387,12 +430,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
     spark = docs.sparkSession
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         text = f.read()
-    json = spark.sparkContext.broadcast(text)  # a vocabulary file, a few MB
+    shared = spark.sparkContext.broadcast(text)  # a vocabulary file, a few MB
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = docs.withColumns({"h": F.xxhash64("text"), "m": F.monotonically_increasing_id()})
     ordered = keyed.repartitionByRange("doc_id", "h", "m").sortWithinPartitions("doc_id", "h", "m").select("doc_id", "text")
     encoded = run_dir(spark, "token-ids")
-    ordered.mapInArrow(_block(json), _ENCODED).write.option("compression", "zstd").parquet(encoded)
+    ordered.mapInArrow(_block(shared), _ENCODED).write.option("compression", "zstd").parquet(encoded)
     blocks = spark.read.schema(_ENCODED).parquet(encoded)
     counts = {r["id"]: r["n"] for r in blocks.select("kind", "ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
     size = max([END, *counts]) + 1  # at most the vocabulary
