@@ -19,6 +19,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,9 @@ COMMON_WORDS = (
 ).split()
 _RANK = {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
 _LEET = str.maketrans("013457@$!", "oleastasi")
+_LEET_CHARACTERS = frozenset("013457@$!")
 _WALKS = tuple(w + "|" + w[::-1] for w in ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz", "1qaz2wsx3edc4rfv5tgb6yhn7ujm"))
+_WALK_KEYS = frozenset(w[i : i + 3] for w in _WALKS for i in range(len(w) - 2))
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d")
 #: Letters of the longest word, date and repeated unit; longer walks are taken as far as they go.
 LONGEST = 20
@@ -79,6 +82,7 @@ def word_ranks(path: str) -> dict[str, int]:
     return ranks
 
 
+@lru_cache(4096)
 def _kinds(c: str) -> tuple[bool, bool, bool, bool]:
     """Whether a character is a small letter, a capital, a digit, and a letter or digit; others only cost as any character."""
     if not c.isascii():
@@ -97,21 +101,24 @@ def _segment(text: str, ranks: dict[str, int] = _RANK) -> float:
     """log10 guesses of a whole piece as a word, a date or a walk; infinite if it is none."""
     n, low, best = len(text), text.lower(), math.inf
     if n <= LONGEST:
-        for word, turned in ((low, 0.0), (low.translate(_LEET), 1.0), (low[::-1], 0.3)):
+        leet = low if _LEET_CHARACTERS.isdisjoint(low) else low.translate(_LEET)
+        for word, turned in ((low, 0.0), (leet, 1.0), (low[::-1], 0.3)):
             if rank := ranks.get(word):
                 case = 0.0 if text == low else 0.3 if text in (low.upper(), low.capitalize()) else 0.3 * sum(c.isupper() for c in text)
                 best = min(best, math.log10(rank) + turned + case)
     if n >= 3:
-        if any(low in w for w in _WALKS):
+        if low[:3] in _WALK_KEYS and any(low in w for w in _WALKS):
             best = min(best, 1.5 + 0.3 * n)
-        if _DATE.fullmatch(text):
+        if text[0] in "0123" and _DATE.fullmatch(text):
             best = min(best, 4.6)
     return best
 
 
 def _run_lengths(value: str, u: int) -> list[int]:
     out = [0] * len(value)
-    for at in range(len(value) - u - 1, -1, -1) if u else ():
+    if not u or not any(map(eq, value, value[u:])):
+        return out
+    for at in range(len(value) - u - 1, -1, -1):
         if value[at] == value[at + u]:
             out[at] = out[at + 1] + 1
     return out
@@ -140,9 +147,10 @@ def guess_cost(value: str, enough: float = MIN_COST, ranks: dict[str, int] = _RA
     n = len(value)
     cost = [0.0] + [math.inf] * n
     low, equal = value.lower(), _agreement(value)
+    units = [u for u in range(1, len(equal)) if int(max(equal[u]) if isinstance(equal[u], list) else equal[u].max()) >= u]  # those that some place repeats
     if len(low) != n:  # some letters have no small form of one character
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in value)
-    prefixes = _prefixes(ranks)
+    prefixes, leet = _prefixes(ranks), low.translate(_LEET)
     segments: dict[str, float] = {}
     pieces: dict[str, float] = {}
 
@@ -171,7 +179,7 @@ def guess_cost(value: str, enough: float = MIN_COST, ranks: dict[str, int] = _RA
                 min(open_[4], base) + LETTER_OR_DIGIT if plain else math.inf, min(open_[5], base) + ANY,
             ]
             cost[at] = min(cost[at], *open_)
-            for u in list(repeats):
+            for u in list(repeats) if repeats else ():
                 if repeats[u][0][0] < at:
                     repeats[u] = [r for r in repeats[u] if r[0] >= at]
                     if not repeats[u]:
@@ -189,7 +197,7 @@ def guess_cost(value: str, enough: float = MIN_COST, ranks: dict[str, int] = _RA
                 return enough
             continue
         key = low[at : at + 3]
-        if key in prefixes or key.translate(_LEET) in prefixes or any(key in w for w in _WALKS) or value[at].isdigit():
+        if key in prefixes or key in _WALK_KEYS or value[at] in "0123" or leet[at : at + 3] in prefixes:
             for size in range(3, min(LONGEST, n - at) + 1):
                 step = here + segment(value[at : at + size])
                 if step < enough:
@@ -199,7 +207,9 @@ def guess_cost(value: str, enough: float = MIN_COST, ranks: dict[str, int] = _RA
         while at + size <= n and any(low[at : at + size] in w for w in _WALKS):
             cost[at + size] = min(cost[at + size], here + 1.5 + 0.3 * size)
             reach, size = max(reach, at + size), size + 1
-        for u in range(1, min(LONGEST, (n - at) // 2) + 1):
+        for u in units:
+            if 2 * u > n - at:
+                break
             if equal[u][at] < u:
                 continue
             paid = here + piece(value[at : at + u])
@@ -247,13 +257,18 @@ def find_secrets(text: str, ranks: dict[str, int] = _RANK, whole: bool = False)
     spans += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
     if any(h in low for h in _CONTEXT_HINTS):
         base = sorted((x, y) for _, x, y in spans)
+        costs: dict[str, float] = {}  # each different value is costed once
         at = covered = 0  # base spans that start up to here, and how far they reach
         for m in _CONTEXT.finditer(text):
             a, b = m.span(1)
             b = a + len(m[1].rstrip(".:!?)]}"))
             while at < len(base) and base[at][0] <= a:
                 covered, at = max(covered, base[at][1]), at + 1
-            if covered < b and guess_cost(text[a:b], ranks=ranks) >= MIN_COST:
+            if covered >= b:
+                continue
+            if (cost := costs.get(value := text[a:b])) is None:
+                cost = costs[value] = guess_cost(value, ranks=ranks)
+            if cost >= MIN_COST:
                 spans.append(("guess", a, b))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
